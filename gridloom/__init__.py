@@ -1,0 +1,22 @@
+"""Windowed analytics over integer-indexed cubes, as plain Spark plans.
+
+A cube is a DataFrame with integer dimension columns and value columns. Every operator
+returns a lazy DataFrame or cube, so that Catalyst and adaptive execution plan the work.
+"""
+
+from .cube import Cube
+from .functions.userfunc import create_function
+from .functions.stats import stat
+from .operators.aggregate import aggregate, count_map, mapreduce, mapslices, median, zonal
+from .operators.maps import broadcast, map_cells
+from .operators.moving import rolling, windowed
+from .operators.resample import Axis, interpolate, pyramid
+from .operators.windowed import InputArray, OutWindows, windowed_op
+from .operators.windows import Labels, Points, Ranges, Regular, Repeated, Sliding, Tumbling, Whole
+from .sources.layout import rechunk, run_blocks, write_cube
+
+__all__ = [
+    "Axis", "Cube", "InputArray", "Labels", "OutWindows", "Points", "Ranges", "Regular", "Repeated", "Sliding", "Tumbling", "Whole",
+    "aggregate", "broadcast", "count_map", "create_function", "interpolate", "map_cells", "mapreduce", "mapslices", "median",
+    "pyramid", "rechunk", "rolling", "run_blocks", "stat", "windowed", "windowed_op", "write_cube", "zonal",
+]
