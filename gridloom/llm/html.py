@@ -81,19 +81,11 @@ def infer(pages: list[str]) -> list[dict]:
     for other in order[1:]:  # keep the longest chain that is in order in both
         at = {k: i for i, k in enumerate(other)}
         fixed = _increasing(fixed, [at[k] for k in fixed])
-    frames = {k for s in streams for k, _, f in s if f}
+    places = [_places(s, fixed) for s in streams]
+    article = any(inside for p in places for inside, _ in p)
     wrapper, gaps = [], [_gaps(s, fixed) for s in streams]
-    article = next((k for k in fixed if re.match(r"<(article|main)[.>]", k)), None)
-    depth: list[tuple[str, bool]] = []
     for i, k in enumerate(fixed):
-        tag = re.match(r"</?([^.>]*)", k)[1]
-        if k.startswith("</"):
-            while depth and any(t == tag for t, _ in depth) and depth.pop()[0] != tag:
-                pass
-        elif tag not in VOID:
-            depth.append((tag, k in frames))
-        inside = any(t in ("article", "main") for t, _ in depth)
-        framed = any(f for _, f in depth)
+        inside, framed = all(p[i][0] for p in places), any(p[i][1] for p in places)
         mismatch = [g[i + 1] for g in gaps]
         texts = {"".join(t for key, t, _ in m if key == TEXT).strip() for m in mismatch}
         constant = len(pages) > 2 and len(texts) == 1 and not inside
@@ -101,6 +93,23 @@ def infer(pages: list[str]) -> list[dict]:
     return wrapper
 
 
+def _places(stream: list, fixed: list[str]) -> list[tuple[bool, bool]]:
+    """Of each fixed token, whether what follows it is inside an article, and whether inside a frame."""
+    out: list[tuple[bool, bool]] = []
+    nest: list[tuple[str, bool, bool]] = []  # tag, and the two as they hold inside it
+    for k, tag, frame in stream:
+        if k.startswith("</"):
+            if any(t == tag for t, _, _ in nest):
+                while nest.pop()[0] != tag:
+                    pass
+        elif k != TEXT and tag not in VOID:
+            _, inside, framed = nest[-1] if nest else ("", False, False)
+            nest.append((tag, inside or tag in ("article", "main"), framed or frame))
+        if len(out) < len(fixed) and k == fixed[len(out)]:
+            out.append(nest[-1][1:] if nest else (False, False))
+    return out
+
+
 def _increasing(keys: list[str], at: list[int]) -> list[str]:
     """The keys of a longest increasing chain of places."""
     best: list[tuple[int, int]] = []
