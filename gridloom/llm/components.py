@@ -19,7 +19,7 @@ def _star(pairs: DataFrame, least: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, ws: Workspace) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b); root is the smallest node it reaches."""
+    """(node, root) for the nodes of ``edges`` (a, b) that reach a smaller node; root is the smallest one."""
     now = ws.save(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     before = None
     while True:
