@@ -94,7 +94,7 @@ def infer(pages: list[str]) -> list[dict]:
 
 
 def _places(stream: list, fixed: list[str]) -> list[tuple[bool, bool]]:
-    """Of each fixed token, whether what follows it is inside an article, and whether inside a frame."""
+    """Of each fixed token, whether it is inside an article, and whether inside a frame."""
     out: list[tuple[bool, bool]] = []
     nest: list[tuple[str, bool, bool]] = []  # tag, and the two as they hold inside it
     for k, tag, frame in stream:
@@ -106,7 +106,9 @@ def _places(stream: list, fixed: list[str]) -> list[tuple[bool, bool]]:
             _, inside, framed = nest[-1] if nest else ("", False, False)
             nest.append((tag, inside or tag in ("article", "main"), framed or frame))
         if len(out) < len(fixed) and k == fixed[len(out)]:
-            out.append(nest[-1][1:] if nest else (False, False))
+            # what a frame holds is passed over anyway, so its first token stands for what surrounds it
+            around = nest[:-1] if frame and tag not in VOID else nest
+            out.append(around[-1][1:] if around else (False, False))
     return out
 
 
@@ -158,10 +160,14 @@ def apply(wrapper: list[dict], page: str) -> str:
         wrapper = infer([page])
     out: list[str] = []
     block: list[str] = []
-    at, content, skip, nested = 0, not wrapper, "", 0
+    article = any(re.match(r"<(article|main)[.>]", w["token"]) for w in wrapper)
+    at, content, skip, nested = 0, not article, "", 0
     for key, text, frame in stream:
         if at < len(wrapper) and key == wrapper[at]["token"]:
-            content = wrapper[at]["content"]
+            if wrapper[at]["content"]:  # a frame that was never closed ends here at last
+                content, skip = True, skip if frame else ""
+            elif not skip:
+                content = False
             at += 1
         if skip:  # inside a frame that the wrapper doesn't know
             if text == skip and key != TEXT:
