@@ -59,6 +59,15 @@ class Cube:
         """A cube without dimensions: one number that takes part in no loop."""
         return cls(spark.range(1).select(F.lit(x).alias(value)), (), (value,), {}, {})
 
+    @classmethod
+    def product(cls, spark: SparkSession, **lists: Sequence) -> "Cube":
+        """Every combination of the lists' entries: dimensions of their lengths, one value column a list."""
+        dims = tuple(f"i_{n}" for n in lists)
+        rows = cls(spark.range(0).select(*(F.col("id").alias(d) for d in dims)), dims, (), {d: len(v) for d, v in zip(dims, lists.values())}, {d: 1 for d in dims}).grid()
+        for d, (n, v) in zip(dims, lists.items()):
+            rows = rows.withColumn(n, F.element_at(F.array(*map(F.lit, v)), F.col(d).cast("int")))
+        return cls(rows, dims, tuple(lists), {d: len(v) for d, v in zip(dims, lists.values())}, {d: 1 for d in dims})
+
     # -- shape -------------------------------------------------------------------------
     def measured(self) -> "Cube":
         """The cube with all its lengths known; one aggregation if any is not."""

@@ -39,3 +39,14 @@ def read_columns(df: DataFrame) -> list[list[str]]:
 def is_fused(df: DataFrame) -> bool:
     """Whether stacked maps have become one projection."""
     return optimized(df).count("Project ") <= 1
+
+
+def reused(df: DataFrame) -> int:
+    """How many shuffles are read again instead of being made again."""
+    return nodes(df)["ReusedExchange"]
+
+
+def describe(df: DataFrame) -> str:
+    """Operators, shuffles, pushed filters and columns read, and Spark's own estimate of sizes."""
+    cost = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("cost"))
+    return "\n".join([f"operators: {dict(nodes(df))}", f"shuffles: {shuffles(df)}", f"pushed: {pushed(df)}", f"columns: {read_columns(df)}", cost])

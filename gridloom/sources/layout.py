@@ -31,10 +31,25 @@ def write_cube(cube: Cube, path: str, chunks: Mapping[str, int] | None = None, s
     df.write.mode(mode).parquet(path)
 
 
-def rechunk(cube: Cube, chunks: Mapping[str, int], path: str, mode: str = "errorifexists") -> Cube:
+def same_shape(cube: Cube, shape: Mapping[str, int]) -> None:
+    """ValueError if the cube hasn't the shape of its target."""
+    c = cube.measured()
+    if {d: c.shape[d] for d in c.dims} != dict(shape):
+        raise ValueError(f"shape {c.shape} for a target of {dict(shape)}")
+
+
+def copy_to(cube: Cube, path: str, shape: Mapping[str, int], chunks: Mapping[str, int] | None = None) -> None:
+    """Work out a cube straight into a target of a given shape and chunking, in place of what was there."""
+    same_shape(cube, shape)
+    write_cube(cube, path, chunks, mode="overwrite")
+
+
+def rechunk(cube: Cube, chunks: Mapping[str, int], path: str, mode: str = "errorifexists", shape: Mapping[str, int] | None = None) -> Cube:
     """The same cells in another chunking, written to ``path`` and read from there."""
     if unknown := set(chunks) - set(cube.dims):
         raise ValueError(f"no dimensions {sorted(unknown)}")
+    if shape is not None:
+        same_shape(cube, shape)
     write_cube(cube, path, chunks, mode=mode)
     back = cube.df.sparkSession.read.parquet(path).select(*cube.dims, *cube.values)
     return Cube(back, cube.dims, cube.values, dict(cube.shape), dict(cube.origin))
@@ -90,16 +105,21 @@ class Manifest:
         self._fs.delete(self._path, True)
 
 
-def run_blocks(cube: Cube, f: Callable[[Cube], DataFrame], ranges: Mapping[str, Sequence[tuple[int, int]]], path: str, mode: str = "overwrite") -> DataFrame:
+def run_blocks(cube: Cube, f: Callable[[Cube], DataFrame], ranges: Mapping[str, Sequence[tuple[int, int]]], path: str, mode: str = "overwrite", progress: Callable[[int, int], None] | None = None) -> DataFrame:
     """``f`` of each block of the cube, written below ``path``; a stopped run goes on with mode ``continue``.
 
+    ``progress`` is called with the number of blocks done and of all blocks after each one.
+
     A block's folder is written as a whole and may be written again, so a block that was
     cut off leaves nothing behind. The manifest goes when all blocks are done.
     """
     spark, dims = cube.df.sparkSession, list(ranges)
     manifest = Manifest(spark, f"{path}/_manifest", blocks_of([list(ranges[d]) for d in dims]), mode)
-    for n, block in manifest.remaining():
+    todo = manifest.remaining()
+    for done, (n, block) in enumerate(todo, len(manifest.blocks) - len(todo) + 1):
         f(cube.subset(**dict(zip(dims, block)))).write.mode("overwrite").parquet(f"{path}/block={n}")
         manifest.add(n)
+        if progress:
+            progress(done, len(manifest.blocks))
     manifest.delete()
     return spark.read.option("basePath", path).parquet(f"{path}/block=*")

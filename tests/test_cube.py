@@ -9,7 +9,7 @@ from gridloom.functions.stats import Mergeable, finite, has_mergeable
 from gridloom.operators import aggregate as A
 from gridloom.operators import maps, moving
 from gridloom.plans import inspect
-from gridloom.sources.layout import Manifest, blocks_of
+from gridloom.sources.layout import Manifest, blocks_of, copy_to, write_cube
 
 
 def vector(spark, data, kind="double"):
@@ -165,6 +165,7 @@ def test_plans(spark, tmp_path):
     assert any("GreaterThanOrEqual(i,10)" in p for p in inspect.pushed(part.df))
     assert inspect.read_columns(part.df) == [["i", "value"]]
     assert inspect.shuffles(aggregate(c, "sum", {"i": 10}).df) == 1
+    assert "shuffles: 1" in inspect.describe(aggregate(c, "sum", {"i": 10}).df)
 
 
 def test_rechunk_and_write(spark, tmp_path):
@@ -172,6 +173,17 @@ def test_rechunk_and_write(spark, tmp_path):
     assert rechunk(c, {"i": 2, "j": 5}, str(tmp_path / "a")).collect() == c.collect()
     with pytest.raises(ValueError, match="no dimensions"):
         rechunk(c, {"z": 2}, str(tmp_path / "b"))
+    with pytest.raises(ValueError, match="target"):
+        rechunk(c, {"i": 2}, str(tmp_path / "c"), shape={"i": 6, "j": 11})
+    copy_to(map_cells(c, lambda v: v * 2), str(tmp_path / "d"), {"i": 6, "j": 10}, {"i": 3})
+    assert spark.read.parquet(str(tmp_path / "d")).agg(F.sum("value")).first()[0] == 2 * sum(range(60))
+    write_cube(c, str(tmp_path / "e"), shape={"i": 4, "j": 10})
+    assert spark.read.parquet(str(tmp_path / "e")).count() == 40
+
+
+def test_product(spark):
+    got = Cube.product(spark, a=[1, 2, 3], b=["x", "y"], c=[1.5, 2.5, 3.5, 4.5]).collect()
+    assert len(got) == 24 and got[1, 1, 1] == (1, "x", 1.5) and got[3, 2, 4] == (3, "y", 4.5)
 
 
 def test_restart(spark, tmp_path):
@@ -189,7 +201,9 @@ def test_restart(spark, tmp_path):
         run_blocks(c, failing, ranges, path)
     with pytest.raises(Exception, match="not again"):
         run_blocks(c, resumed, ranges, str(tmp_path / "other"))
-    got = run_blocks(c, resumed, ranges, path, mode="continue")
+    told = []
+    got = run_blocks(c, resumed, ranges, path, mode="continue", progress=lambda n, of: told.append((n, of)))
+    assert told == [(7, 9), (8, 9), (9, 9)]
     assert sorted(r.value for r in got.collect()) == list(range(1, 31))
     assert not (tmp_path / "run/_manifest").exists()
 

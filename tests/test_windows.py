@@ -99,6 +99,11 @@ def test_contributions_and_shared_chunks():
     assert [blocks.shares_chunk([(i, i) for i in range(1, 5)], pairs, c) for c in (2, 1, 3)] == [False, False, True]
 
 
+def test_split_loops():
+    assert blocks.split_loops(3, [(2, 3)]) == ((2, 3), (1,))
+    assert blocks.split_loops(2, [(1, 2), (2,)]) == ((2,), (1,))
+
+
 def test_plan_blocks():
     arrays = [blocks.Access((1440, 720), (90, 90)), blocks.Access((1440, 720), (180, 60), "write")]
     window = blocks.plan_blocks(arrays, memory=8e6)
