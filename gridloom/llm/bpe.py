@@ -5,7 +5,7 @@ that this worker has not met yet become rows (word, position, token); one recurs
 query joins neighbouring tokens with the merge table and contracts, in every word, the
 leftmost pair of minimum rank, until no word has a pair left. Decoding: the ids are cut
 into runs that begin at tokens with a leading space or newline (any cut is right, as
-decoding is a homomorphism; these repeat), and an ordered aggregation over
+decoding is a homomorphism; words repeat), and an ordered aggregation over
 (run, position, id) rows joined with the vocabulary concatenates each distinct run.
 
 Both are map-only: no shuffle, and memory bounded by ``CACHE`` words and ``BLOCK``
@@ -33,13 +33,13 @@ from pyspark.sql import functions as F
 
 from .common import blocks
 
-#: Distinct words (and decoded runs) that a worker keeps.
-CACHE = 600_000
+#: Distinct words (and decoded runs) of a generation; a worker keeps two of each.
+CACHE = 120_000
 #: Characters of text that are cut at once.
 BLOCK = 2_000_000
 #: Words of a recursive query, and bytes from which a word has a heap of its own:
 #: the recursion takes a step for each merge over all positions of the word.
-QUERY_WORDS, LONG_WORD = 40_000, 256
+QUERY_WORDS, LONG_WORD = 30_000, 256
 
 _ENCODE = """
 with recursive s(k, tok, live) as (
@@ -77,6 +77,27 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+class Recent(dict):
+    """What was met lately: when a generation is full, only what has been met since the one before stays."""
+
+    def __init__(self):
+        super().__init__()
+        self.older: dict = {}
+
+    def missing(self, met: set) -> list:
+        """Of ``met``, what has to be worked out; the rest is at hand afterwards."""
+        if len(self) > CACHE:
+            self.older = dict(self)
+            self.clear()
+        out, older = [], self.older
+        for x in met.difference(self):
+            if (v := older.get(x)) is None:
+                out.append(x)
+            else:
+                self[x] = v
+        return out
+
+
 class Codec:
     """Encoder and decoder over one vocabulary, with a DuckDB database of its own."""
 
@@ -92,14 +113,13 @@ class Codec:
         self.begins = np.zeros(self.size, dtype=bool)
         for b, i in ranks.items():
             self.known[i] = True
-            self.begins[i] = b[:1] in (b" ", b"\n")
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+            self.begins[i] = b[0] < 128 and not b[:1].isalnum()
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
         pairs = [(ranks[b[:i]] << 16 | ranks[b[i:]], m) for b, m in ranks.items() for i in range(1, len(b)) if b[:i] in ranks and b[i:] in ranks]
         self._table("merges", {"pair": np.array([p for p, _ in pairs], dtype=np.uint32), "m": np.array([m for _, m in pairs], dtype=np.uint32)})
         # bytes are shown as the characters from U+0100 on, so that none is a NUL
         self._table("vocabulary", {"id": np.fromiter(ranks.values(), dtype=np.uint32, count=len(ranks)), "chars": [b.decode("latin-1").translate(_UP) for b in ranks]})
-        self.ids: dict[str, bytes] = {}
-        self.runs: dict[bytes, bytes] = {}
+        self.ids, self.runs = Recent(), Recent()
 
     def _table(self, name: str, columns: dict) -> None:
         self.con.register("given", pa.table(columns))
@@ -114,16 +134,12 @@ class Codec:
         out: list[bytes] = []
         for a, b in blocks([len(t) for t in texts], BLOCK):
             words = [self.split(t) for t in texts[a:b]]
-            new = set().union(*words).difference(self.ids)
-            if len(self.ids) + len(new) > CACHE:
-                self.ids.clear()
-                new = set().union(*words)
-            self._learn(new)
+            self._learn(self.ids.missing(set().union(*words)))
             get = self.ids.__getitem__
             out += [b"".join(map(get, w)) for w in words]
         return out
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
         left: list[tuple[str, bytes]] = []
         for w in words:
             b = w.encode()
@@ -172,11 +188,7 @@ class Codec:
         out: list[bytes] = []
         for a, b in blocks([len(x) for x in rows], 4 * BLOCK):
             cut = [self._cut(x) for x in rows[a:b]]
-            new = set().union(*cut).difference(self.runs)
-            if len(self.runs) + len(new) > CACHE:
-                self.runs.clear()
-                new = set().union(*cut)
-            self._spell(list(new))
+            self._spell(self.runs.missing(set().union(*cut)))
             get = self.runs.__getitem__
             out += [b"".join(map(get, c)) for c in cut]
         return out
