@@ -203,3 +203,14 @@ def test_pipeline(spark):
     assert again.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert again.count() == seen["bpe"] == seen["decontamination"]
     assert again.agg(F.min("n_tokens")).first()[0] >= 0 and exact.FIRST > 0
+
+
+def test_bounded_samples(spark, tmp_path):
+    from gridloom.llm.common import sampled, sized
+
+    spark.range(5000).selectExpr("id % 7 as x").repartition(5).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    some = sampled(df, 300)
+    assert len(some) == 300 and [tuple(r) for r in some] == [tuple(r) for r in sampled(df, 300)]
+    assert len(sampled(df, 9000)) == 5000 and len({r["__rid"] for r in some}) == 300
+    assert sized(df).count() == 5000

@@ -124,7 +124,7 @@ def test_warc(spark, tmp_path, least):
     ids = [5, 9, 3, 12, 11, 4, 1, 2, 31, 30, 7, *range(50, 70)]
     rows = [(i, f"http://a/{i} b\n", t, "x") for i, t in zip(ids, texts)] + [(None, None, "same", "x"), (77, "u", "only", "x"), (77, "u", "only", "x")]
     spark.createDataFrame(rows, "page_id long, url string, html string, payload string").repartition(3).write.parquet(str(tmp_path / "t"))
-    path = f"{shared_dir(spark)}/warc-{tmp_path.name}"
+    path = Workspace(spark, "warc-test").path
     manifest = warc.write_warc(spark.read.parquet(str(tmp_path / "t")), path, least)
     assert manifest.agg(F.sum("records")).first()[0] == len(rows)
     back = warc.read_warc(spark, path).collect()
@@ -146,7 +146,7 @@ def test_warc(spark, tmp_path, least):
 
 def test_warc_empty_and_plain(spark, tmp_path):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
-    path = f"{shared_dir(spark)}/warc-e-{tmp_path.name}"
+    path = Workspace(spark, "warc-test").path
     warc.write_warc(empty, path)
     assert warc.read_warc(spark, path).count() == 0
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import bpe, exact, shards, simhash, substrings
 from gridloom.llm.components import components
-from gridloom.llm.common import Workspace, shared_dir
+from gridloom.llm.common import Workspace
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 RANKS = bpe.read_ranks(PATH)
@@ -213,7 +213,7 @@ def test_permutation():
 
 def test_token_shards(spark, tmp_path):
     texts = [t for t in ODD for _ in range(3)]
-    path = f"{shared_dir(spark)}/shards-{tmp_path.name}"
+    path = Workspace(spark, "shards-test").path
     placed = shards.write_shards(docs_of(spark, tmp_path, texts), path, PATH, public_tokenizers.PATTERN, stride=16, shard_docs=10)
     rows = placed.collect()
     assert sorted(x.slot for x in rows) == list(range(len(texts)))
