@@ -95,6 +95,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows (of a few numbers each) up to which a saved table is sent to all tasks.
+BROADCAST_ROWS = 200_000
+
+
+def sized(saved: DataFrame) -> DataFrame:
+    """A saved table of narrow rows, marked for broadcast if its rows, which are counted, are few enough."""
+    return F.broadcast(saved) if saved.count() <= BROADCAST_ROWS else saved
+
+
+def sampled(df: DataFrame, most: int) -> list:
+    """At most ``most`` rows of a scan, chosen by a hash of their row numbers.
+
+    Only about as many reach the driver: a threshold on the hash, not a sort, picks them.
+    """
+    n, h = df.count(), F.expr("pmod(xxhash64(__rid), 1073741824)")
+    rows = with_row_id(df, "__rid").withColumn("__h", h)
+    if n > most:
+        rows = rows.where(F.col("__h") < int((1.1 * most + 100) / n * (1 << 30)))
+    return sorted(rows.collect(), key=lambda r: (r["__h"], r["__rid"]))[:most]
+
+
 def blocks(lengths: list[int], most: int):
     """Ranges of rows with about ``most`` characters in all; a longer row stands alone."""
     begin, total = 0, 0

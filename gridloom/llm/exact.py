@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, Workspace
+from .common import WHITE, Workspace, sized
 
 #: Bytes that the first round compares; each later one compares GROWTH times as many.
 FIRST, GROWTH = 64, 16
@@ -69,7 +69,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = radix_groups(rows, ws, ["doc_id", "rid", "chars", "sha"])
     order = F.struct((-F.col("chars")).alias("x"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("keep_id"), F.col("rid").alias("keep_rid"))
     several = groups.where("n > 1")
-    keepers = several.groupBy("round", "gid").agg(F.min(order).alias("k")).select("round", "gid", "k.keep_id", "k.keep_rid")
+    keepers = sized(ws.save(several.groupBy("round", "gid").agg(F.min(order).alias("k")).select("round", "gid", "k.keep_id", "k.keep_rid"), "keepers"))
     out = ["doc_id", "keep_id", F.col("n").alias("group_size"), F.col("kept"), F.lower(F.hex("sha")).alias("text_sha256"), *(["rid"] if rid_col else [])]
     copies = several.join(keepers, ["round", "gid"]).withColumn("kept", F.col("rid") == F.col("keep_rid"))
     single = groups.where("n = 1").withColumn("keep_id", F.col("doc_id")).withColumn("kept", F.lit(True))
