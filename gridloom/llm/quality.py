@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, sampled
 from .words import WordHashes, mix
 
 #: Labelled rows that the target model is fitted on, at most; buckets; share added to k.
@@ -48,8 +48,8 @@ def _sample(labels: DataFrame, most: int) -> tuple[list, float | None]:
     """Ids of good labelled documents, and the share of good ones among all labelled."""
     good = F.sum((F.col("quality") == 1).cast("long"))
     n, g = labels.where("quality is not null").agg(F.count("*"), good).first()
-    rows = labels.where("quality = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(most).collect()
-    return [r.doc_id for r in rows if r.doc_id is not None], (g / n if n and 0 < g < n else None)
+    rows = sampled(labels.where("quality = 1 and doc_id is not null").select("doc_id"), most)
+    return sorted({r.doc_id for r in rows}), (g / n if n and 0 < g < n else None)
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[np.ndarray | None, float]:
