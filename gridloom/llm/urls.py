@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import sampled
+
 #: The most labelled URLs that a model is fitted on.
 SAMPLE = 4000
 TREES, DEPTH, RATE, BINS = 30, 3, 0.3, 32
@@ -159,9 +161,9 @@ def _leaf(tree, x: np.ndarray) -> np.ndarray:
 
 
 def fit_on(urls: DataFrame, url_col: str = "url", label_col: str | None = None, sample: int = SAMPLE) -> UrlModel:
-    """Fit on at most ``sample`` rows, chosen by hash; without labels the seed list labels them."""
+    """Fit on at most ``sample`` rows of a scan, chosen by hash; without labels the seed list labels them."""
     some = urls.select(F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("u"), (F.col(label_col) if label_col else F.lit(None)).cast("int").alias("y"))
-    rows = some.orderBy(F.xxhash64("u"), "u").limit(sample).collect()
+    rows = sampled(some, sample)
     return UrlModel.fit([r.u for r in rows], [seed_label(r.u) if r.y is None else r.y for r in rows])
 
 
