@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, sized
 from .urls import host_of
 
 #: Pages per host that a wrapper is inferred from, and bytes of wrappers that are broadcast.
@@ -197,12 +197,12 @@ def _fits(wrapper: list[dict], stream: list) -> bool:
 def wrappers(pages: DataFrame, ws: Workspace, sample: int = SAMPLE, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, wrapper as JSON), inferred from up to ``sample`` pages of each host."""
     keyed = pages.select(host_of(F.col(url_col)).alias("host"), F.xxhash64(url_col, F.col("page_id")).alias("h"), F.coalesce(F.col(html_col), F.lit("")).alias("page")).withColumn("slot", F.expr(f"pmod(h, {sample})"))
-    chosen = keyed.groupBy("host", "slot").agg(F.min("h").alias("h"))
+    chosen = sized(ws.save(keyed.groupBy("host", "slot").agg(F.min("h").alias("h")), "chosen"))  # ``sample`` rows a host
     picked = keyed.join(chosen, ["host", "slot", "h"]).select("host", "slot", "page")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         some = sorted(set(pdf["page"]))
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(infer(some[: 4 * sample]))]})
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(infer(some))]})
 
     return ws.save(picked.dropDuplicates(["host", "slot"]).groupBy("host").applyInPandas(run, "host string, wrapper string"), "wrappers")
 
