@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, with_row_id
+from .common import Workspace, sized, with_row_id
 from .words import WordHashes, mix, rolling, window_argmin
 
 WINDOW, SEED = 35, 8
@@ -106,16 +106,17 @@ def recurring(docs: DataFrame, ws: Workspace, text_col: str, window: int = WINDO
     if window - seed > 62:
         raise ValueError("a segment's windows have to fit a mask of 63 bits")
     every = ws.save(_all_segments(docs, text_col, window, seed), "segments")
-    seeds = every.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
+    # counts are tables of their own: a join with an aggregate of the same keys would share its shuffle, which can't be split for a hot key
+    seeds = sized(ws.save(every.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"), "seeds"))
     found = ws.save(every.join(seeds, "seed"), "found")
     ws.drop(every)
     ws.release()
     kinds = ws.save(found.groupBy("seed", "seg", "nw").agg(F.count("*").alias("c"), F.min(F.struct("rid", "a")).alias("rep")).withColumn("cid", F.monotonically_increasing_id()), "kinds")
-    mixed = kinds.groupBy("seed").agg(F.count("*").alias("d")).where("d > 1").select("seed")
+    mixed = sized(ws.save(kinds.groupBy("seed").agg(F.count("*").alias("d")).where("d > 1").select("seed"), "mixed"))
     reps = kinds.join(mixed, "seed").select(F.col("rep.rid").alias("rid"), F.struct("cid", F.col("rep.a").alias("a"), "nw").alias("x")).groupBy("rid").agg(F.collect_list("x").alias("listed"))
     windows = ws.save(_windows(_packed(docs, "rid", text_col).select("rid", "z").join(reps, "rid"), window), "windows")
     ws.release()
-    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
+    twice = sized(ws.save(windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2"), "twice"))
     partly = windows.join(twice, ["w1", "w2"]).groupBy("cid").agg(F.bit_or(F.expr("shiftleft(1L, o)")).alias("some"))
     masks = ws.save(kinds.join(partly, "cid", "left").select("seed", "seg", "nw", F.when(F.col("c") > 1, F.lit(-1).cast("long")).otherwise(F.coalesce("some", F.lit(0).cast("long"))).alias("mask")).where("mask <> 0"), "masks")
     ws.drop(windows)

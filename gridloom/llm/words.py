@@ -12,7 +12,7 @@ _MASK = (1 << 64) - 1
 class WordHashes:
     """Hashes of words, with those of the last ``most`` distinct words kept."""
 
-    def __init__(self, seed: int = 0, most: int = 500_000):
+    def __init__(self, seed: int = 0, most: int = 150_000):
         self.seed, self.most, self.known = seed, most, {}
 
     def __call__(self, words: list) -> np.ndarray:
