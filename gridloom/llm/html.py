@@ -1,18 +1,21 @@
-"""HTML extraction with wrappers: union-free expressions inferred from pages of one host.
-
-A page is a stream of tag and text tokens. For every host the streams of a bounded
-sample of its pages (``SAMPLE``, chosen by hash) are aligned: tags that each page has
-once and in one order become fixed tokens; where the streams differ between two fixed
-tokens, the mismatch is resolved into a text slot, a repeated group with optional
-tokens, or an optional group. The slots that lie inside the article (or, without one,
-outside menus and other frames) are the wrapper's content; each page of the host is
-matched with the wrapper and the blocks of its content are joined. A page that doesn't
-fit its host's wrapper gets a wrapper of its own.
-
-Sampling reads urls first and fetches only the chosen pages. Wrappers are sent to all
-tasks only after their total size has been checked against ``BROADCAST``; beyond it
-pages join them by host. Null pages are empty, null urls share the empty host, repeated
-rows keep a row each, and only the named columns are returned.
+"""HTML extraction with wrappers: union-free expressions inferred from all pages of a template.
+
+A page is a stream of tag and text tokens. Pages of one host that have the same tags once
+each, outside articles and frames and in one order, share a template. Those tags are its
+fixed tokens; what all of its pages have between two of them is resolved into text slots,
+a repeated group with optional tokens, or an optional group. Every page counts: tasks
+summarise their pages for each template, and only the summaries are shuffled and merged.
+
+A page is matched with the whole expression of its template; one that doesn't fit gets a
+wrapper of its own. Its own nesting says which text is inside an article or a frame. With
+an article, the text inside it is content. Without one, it is what lies outside frames,
+but for slots that hold the same text in all of at least ``LEAST`` different pages of the
+template, if any other slot varies.
+
+Wrappers are sent to all tasks only after their total size has been checked against
+``BROADCAST``; beyond it pages join them by host and template. Null pages are empty, null
+urls share the empty host, repeated rows keep a row each, and only the named columns are
+returned.
 """
 
 from __future__ import annotations
@@ -22,17 +25,19 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, sized
+from .common import Workspace
 from .urls import host_of
 
-#: Pages per host that a wrapper is inferred from, and bytes of wrappers that are broadcast.
-SAMPLE, BROADCAST = 8, 32 << 20
+#: Different pages that a text has to be the same in, bytes of wrappers that are broadcast, templates that a task summarises at a time.
+LEAST, BROADCAST, TEMPLATES = 3, 32 << 20, 2000
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -51,6 +56,8 @@ FRAME_WORDS = {
 }
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+#: Closing tags that don't end a frame which was opened after their element.
+LOOSE = INLINE | {"p"}
 TEXT = "#"
 
 
@@ -60,7 +67,7 @@ def tokens(page: str) -> list[tuple[str, str, bool]]:
     for m in _TOKEN.finditer(page):
         if m[3]:
             tag = m[3].lower()
-            names = sorted({w for v in _NAMES.findall(m[4]) for w in re.split(r"[^a-z0-9]+", v.lower()) if w}) if not m[2] and "=" in m[4] else []
+            names = sorted({w for v in _NAMES.findall(m[4]) for w in re.split(r"[^a-z0-9]+", v.lower()) if w.isalpha()}) if not m[2] and "=" in m[4] else []
             frame = not m[2] and (tag in FRAME_TAGS or tag not in ("html", "body", "article", "main") and not FRAME_WORDS.isdisjoint(names))
             out.append((f"</{tag}>" if m[2] else f"<{tag}{''.join('.' + w for w in names)}>", tag, frame))
         elif m[0][0] != "<" or m[0] == "<":
@@ -70,48 +77,89 @@ def tokens(page: str) -> list[tuple[str, str, bool]]:
 
 def infer(pages: list[str]) -> list[dict]:
     """The wrapper: fixed tokens, each with the resolved mismatch that follows it and whether that is content."""
-    streams = [[t for t in tokens(p)] for p in pages]
+    streams = [placed(p) for p in pages]
     once = None
     for s in streams:
-        keys = Counter(k for k, _, _ in s)
-        own = {k for k, n in keys.items() if n == 1 and k != TEXT}
+        own = _once(s)
         once = own if once is None else once & own
-    order = [[k for k, _, _ in s if k in (once or ())] for s in streams]
+    order = [[t[0] for t in s if t[0] in (once or ())] for s in streams]
     fixed = order[0] if order else []
     for other in order[1:]:  # keep the longest chain that is in order in both
         at = {k: i for i, k in enumerate(other)}
         fixed = _increasing(fixed, [at[k] for k in fixed])
-    places = [_places(s, fixed) for s in streams]
-    article = any(inside for p in places for inside, _ in p)
-    wrapper, gaps = [], [_gaps(s, fixed) for s in streams]
-    for i, k in enumerate(fixed):
-        inside, framed = all(p[i][0] for p in places), any(p[i][1] for p in places)
-        mismatch = [g[i + 1] for g in gaps]
-        texts = {"".join(t for key, t, _ in m if key == TEXT).strip() for m in mismatch}
-        constant = len(pages) > 2 and len(texts) == 1 and not inside
-        wrapper.append({"token": k, "gap": resolve([[key for key, _, _ in m] for m in mismatch]), "content": not framed and (inside if article else not constant)})
-    return wrapper
+    return wrapper_of(reduce(merge, (summary(s, fixed, p) for s, p in zip(streams, pages)))) if pages else []
 
 
-def _places(stream: list, fixed: list[str]) -> list[tuple[bool, bool]]:
-    """Of each fixed token, whether it is inside an article, and whether inside a frame."""
-    out: list[tuple[bool, bool]] = []
-    nest: list[tuple[str, bool, bool]] = []  # tag, and the two as they hold inside it
-    for k, tag, frame in stream:
-        if k.startswith("</"):
-            if any(t == tag for t, _, _ in nest):
-                while nest.pop()[0] != tag:
-                    pass
-        elif k != TEXT and tag not in VOID:
-            _, inside, framed = nest[-1] if nest else ("", False, False)
-            nest.append((tag, inside or tag in ("article", "main"), framed or frame))
-        if len(out) < len(fixed) and k == fixed[len(out)]:
+def placed(page: str) -> list[tuple[str, str, bool, bool, bool]]:
+    """``tokens`` with whether each is inside an article, and whether inside a frame, by the page's own nesting."""
+    out = []
+    nest: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]  # tag, whether it is a frame, and the two as they hold inside it
+    opened: Counter = Counter()
+    for k, tag, frame in tokens(page):
+        around = nest[-1]
+        if k == TEXT:
+            pass
+        elif k.startswith("</"):
+            # a closing tag of inline text doesn't end a frame that was opened after it
+            depth = next((i for i in range(len(nest) - 1, 0, -1) if nest[i][0] == tag or nest[i][1] and tag in LOOSE), 0) if opened[tag] else 0
+            if depth and nest[depth][0] == tag:
+                for t, _, _, _ in nest[depth:]:
+                    opened[t] -= 1
+                del nest[depth:]
+            around = nest[-1]
+        elif tag not in VOID:
+            nest.append((tag, frame, around[2] or tag in ("article", "main"), around[3] or frame))
+            opened[tag] += 1
             # what a frame holds is passed over anyway, so its first token stands for what surrounds it
-            around = nest[:-1] if frame and tag not in VOID else nest
-            out.append(around[-1][1:] if around else (False, False))
+            around = around if frame else nest[-1]
+        out.append((k, tag, frame, around[2], around[3]))
     return out
 
 
+def _once(stream: list) -> set[str]:
+    return {k for k, n in Counter(t[0] for t in stream).items() if n == 1 and k != TEXT}
+
+
+def template(stream: list) -> list[str]:
+    """The fixed tokens of a page's template: what it has once, outside articles and frames."""
+    once = _once(stream)
+    return [k for k, _, _, inside, framed in stream if k in once and not inside and not framed]
+
+
+def has_article(stream: list) -> bool:
+    return any(inside and not framed for _, _, _, inside, framed in stream)
+
+
+def summary(stream: list, fixed: list[str], page: str) -> dict:
+    """What one page tells about its template; ``merge`` joins what several tell."""
+    flags, gaps = [], []
+    for t in stream:
+        if len(flags) < len(fixed) and t[0] == fixed[len(flags)]:
+            flags.append([t[3], t[4]])
+            gaps.append([])
+        elif flags:
+            gaps[-1].append(t)
+    out = [_gap([t[0] for t in g]) for g in gaps]
+    for s, g in zip(out, gaps):
+        s["text"] = xxhash.xxh128_hexdigest(x) if (x := "".join(t[1] for t in g if t[0] == TEXT and not t[4]).strip()) else ""
+    return {"pages": [xxhash.xxh128_hexdigest(page.encode("utf-8", "replace"))], "article": has_article(stream), "fixed": fixed, "flags": flags, "gaps": out}
+
+
+def merge(a: dict, b: dict) -> dict:
+    flags = [[x[0] and y[0], x[1] or y[1]] for x, y in zip(a["flags"], b["flags"])]
+    gaps = [_merge_gap(x, y) | {"text": x["text"] if x["text"] == y["text"] else None} for x, y in zip(a["gaps"], b["gaps"])]
+    return {"pages": sorted({*a["pages"], *b["pages"]})[:LEAST], "article": a["article"] or b["article"], "fixed": a["fixed"], "flags": flags, "gaps": gaps}
+
+
+def wrapper_of(s: dict) -> list[dict]:
+    many, varied = len(s["pages"]) >= LEAST, any(g["text"] is None for g in s["gaps"])
+    wrapper = []
+    for k, (inside, framed), g in zip(s["fixed"], s["flags"], s["gaps"]):
+        constant = bool(many and varied and g["text"] and not inside and not s["article"])
+        wrapper.append({"token": k, "gap": _expression(g), "constant": constant, "content": not framed and (inside if s["article"] else not constant)})
+    return wrapper
+
+
 def _increasing(keys: list[str], at: list[int]) -> list[str]:
     """The keys of a longest increasing chain of places."""
     best: list[tuple[int, int]] = []
@@ -125,62 +173,51 @@ def _increasing(keys: list[str], at: list[int]) -> list[str]:
     return out[::-1]
 
 
-def _gaps(stream: list, fixed: list[str]) -> list[list]:
-    out, i = [[]], 0
-    for t in stream:
-        if i < len(fixed) and t[0] == fixed[i]:
-            out.append([])
-            i += 1
-        else:
-            out[-1].append(t)
-    return out
+def _gap(keys: list[str]) -> dict:
+    """The tokens of a gap in the order in which they are first met, how often tags are opened, and all of them while pages agree."""
+    return {"unit": list(dict.fromkeys(keys)), "heads": dict(Counter(k for k in keys if k != TEXT and not k.startswith("</"))), "empty": not keys, "same": keys}
+
+
+def _merge_gap(a: dict, b: dict) -> dict:
+    heads = {k: a["heads"].get(k, 0) + b["heads"].get(k, 0) for k in {**a["heads"], **b["heads"]}}
+    return {"unit": list(dict.fromkeys([*a["unit"], *b["unit"]])), "heads": heads, "empty": a["empty"] or b["empty"], "same": a["same"] if a["same"] == b["same"] else None}
 
 
 def resolve(streams: list[list[str]]) -> list:
     """A union-free expression of the token streams between two fixed tokens."""
-    if all(s == streams[0] for s in streams):
-        return [["slot"] if k == TEXT else ["tag", k] for k in streams[0]]
-    heads = Counter(k for s in streams for k in s if k != TEXT and not k.startswith("</"))
-    if not heads:
-        return [["optional", [["slot"]]]]
-    head = heads.most_common(1)[0][0]
-    unit: list[str] = []
-    for s in streams:  # the tokens of a repetition, in the order in which they are first met
-        for k in s:
-            if k not in unit:
-                unit.append(k)
-    group = [["optional", [["slot"] if k == TEXT else ["tag", k]]] if k != head else ["tag", k] for k in unit]
-    return [["repeated" if all(s for s in streams) else "optional", group]]
+    return _expression(reduce(_merge_gap, map(_gap, streams)))
+
+
+def _expression(gap: dict) -> list:
+    if gap["same"] is not None:
+        return [["slot"] if k == TEXT else ["tag", k] for k in gap["same"]]
+    if not gap["heads"]:
+        return [["optional", [["slot"] if k == TEXT else ["tag", k] for k in gap["unit"]]]]
+    head = max(gap["heads"], key=gap["heads"].get)
+    group = [["optional", [["slot"] if k == TEXT else ["tag", k]]] if k != head else ["tag", k] for k in gap["unit"]]
+    return [["optional" if gap["empty"] else "repeated", group]]
 
 
 def apply(wrapper: list[dict], page: str) -> str:
     """The text of a page: its content slots' blocks, joined by one space."""
-    stream = tokens(page)
+    return _text(wrapper, placed(page), page)
+
+
+def _text(wrapper: list[dict], stream: list, page: str) -> str:
     if not _fits(wrapper, stream):
         wrapper = infer([page])
     out: list[str] = []
     block: list[str] = []
-    article = any(re.match(r"<(article|main)[.>]", w["token"]) for w in wrapper)
-    at, content, skip, nested = 0, not article, "", 0
-    for key, text, frame in stream:
+    article = has_article(stream)
+    at, constant = 0, False
+    for key, text, frame, inside, framed in stream:
         if at < len(wrapper) and key == wrapper[at]["token"]:
-            if wrapper[at]["content"]:  # a frame that was never closed ends here at last
-                content, skip = True, skip if frame else ""
-            elif not skip:
-                content = False
+            constant = wrapper[at]["constant"]
             at += 1
-        if skip:  # inside a frame that the wrapper doesn't know
-            if text == skip and key != TEXT:
-                nested += -1 if key.startswith("</") else 1
-                if not nested:
-                    skip = ""
-            continue
         if key == TEXT:
-            if content:
+            if not framed and (inside if article else not constant):
                 block.append(text)
-        elif frame and text not in VOID and content:
-            skip, nested = text, 1
-        elif text not in INLINE and block:
+        elif block and not framed and not frame and text not in INLINE:
             out.append("".join(block))
             block = []
     out.append("".join(block))
@@ -189,46 +226,80 @@ def apply(wrapper: list[dict], page: str) -> str:
 
 def _fits(wrapper: list[dict], stream: list) -> bool:
     """The fixed tokens occur in order, but for the closing ones at the end, which pages may lack."""
-    it = iter(k for k, _, _ in stream)
+    it = iter(t[0] for t in stream)
     missing = [w["token"] for w in wrapper if w["token"] not in it]
     return bool(wrapper) and (not missing or set(missing) <= {"</body>", "</html>"} and wrapper[-1]["token"] in ("</body>", "</html>"))
 
 
-def wrappers(pages: DataFrame, ws: Workspace, sample: int = SAMPLE, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, wrapper as JSON), inferred from up to ``sample`` pages of each host."""
-    keyed = pages.select(host_of(F.col(url_col)).alias("host"), F.xxhash64(url_col, F.col("page_id")).alias("h"), F.coalesce(F.col(html_col), F.lit("")).alias("page")).withColumn("slot", F.expr(f"pmod(h, {sample})"))
-    chosen = sized(ws.save(keyed.groupBy("host", "slot").agg(F.min("h").alias("h")), "chosen"))  # ``sample`` rows a host
-    picked = keyed.join(chosen, ["host", "slot", "h"]).select("host", "slot", "page")
+def _key(stream: list) -> tuple[str, list[str]]:
+    fixed = template(stream)
+    return xxhash.xxh128_hexdigest("\0".join([str(has_article(stream)), *fixed]).encode("utf-8", "replace")), fixed
+
+
+def wrappers(pages: DataFrame, ws: Workspace, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, template, wrapper as JSON), inferred from all pages of each template."""
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple[str, str], dict] = {}
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([h for h, _ in known], pa.string()), pa.array([t for _, t in known], pa.string()), pa.array(map(json.dumps, known.values()), pa.string())], names=["host", "template", "state"])
+            known.clear()
+            return out
+
+        for batch in batches:
+            for host, page in zip(batch["host"].to_pylist(), batch["page"]):
+                if text := page.as_py():
+                    stream = placed(text)
+                    name, fixed = _key(stream)
+                    one = summary(stream, fixed, text)
+                    known[host, name] = merge(known[host, name], one) if (host, name) in known else one
+                    if len(known) >= TEMPLATES:
+                        yield flush()
+        yield flush()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        some = sorted(set(pdf["page"]))
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(infer(some))]})
+        merged = reduce(merge, map(json.loads, sorted(pdf["state"])))
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "template": [pdf["template"].iloc[0]], "wrapper": [json.dumps(wrapper_of(merged))]})
 
-    return ws.save(picked.dropDuplicates(["host", "slot"]).groupBy("host").applyInPandas(run, "host string, wrapper string"), "wrappers")
+    states = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("page")).mapInArrow(summarise, "host string, template string, state string")
+    return ws.save(states.groupBy("host", "template").applyInPandas(run, "host string, template string, wrapper string"), "wrappers")
 
 
-def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", id_col: str = "page_id", sample: int = SAMPLE) -> DataFrame:
+def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", id_col: str = "page_id") -> DataFrame:
     """(page_id, url, text), a row for each row of ``pages``."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     ws = Workspace(pages.sparkSession, "html")
-    known = wrappers(rows, ws, sample)
-    size = known.agg(F.sum(F.length("wrapper") + F.length("host"))).first()[0] or 0
+    known = wrappers(rows, ws)
+    size = known.agg(F.sum(F.length("wrapper") + F.length("host") + F.length("template"))).first()[0] or 0
     keyed = rows.withColumn("host", host_of(F.col("url")))
-    sent = dict(map(tuple, known.collect())) if size <= BROADCAST else None
+    kind = rows.schema["page_id"].dataType.simpleString()
+    sent = {(r.host, r.template): r.wrapper for r in known.collect()} if size <= BROADCAST else None
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [_key(placed(x.as_py() or ""))[0] for x in batch["html"]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string())], names=["page_id", "url", "html", "host", "template"])
+
     if sent is None:
-        keyed = keyed.join(known, "host", "left")
+        keyed = keyed.mapInArrow(named, f"page_id {kind}, url string, html string, host string, template string").join(known, ["host", "template"], "left").select("page_id", "url", "html", "host", "wrapper")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parsed: dict[str, list] = {}
+        parsed: dict[tuple[str, str], list] = {}
         for batch in batches:
             text = []
             for i in range(len(batch)):
                 page, host = batch["html"][i].as_py(), batch["host"][i].as_py()
-                if host not in parsed:
+                if not page:
+                    text.append("")
+                    continue
+                stream = placed(page)
+                at = host, _key(stream)[0]
+                if at not in parsed:
                     if len(parsed) > 4096:
                         parsed.clear()
-                    parsed[host] = json.loads((sent.get(host) if sent is not None else batch["wrapper"][i].as_py()) or "[]")
-                text.append(apply(parsed[host], page) if page else "")
+                    parsed[at] = json.loads((sent.get(at) if sent is not None else batch["wrapper"][i].as_py()) or "[]")
+                text.append(_text(parsed[at], stream, page))
             yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(text, pa.string())], names=["page_id", "url", "text"])
 
-    return keyed.mapInArrow(run, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string")
+    return keyed.mapInArrow(run, f"page_id {kind}, url string, text string")

@@ -114,6 +114,23 @@ def test_wrapper():
     assert html.infer([]) == [] and html.apply([], "") == ""
 
 
+def test_templates_of_a_host(spark):
+    """Two templates and a rare page kind on one host: each page's own nesting counts, and no page is left out."""
+    frame = lambda k, x: f"<html><head></head><body><nav><a>Menu</a></nav>{x}<footer>Foot</footer></body></html>"
+    pages = [(k, frame(k, f"<article><h1>A{k}</h1><p>one {k}</p></article>"), f"A{k} one {k}") for k in range(40)]
+    pages += [(100 + k, frame(k, f"<div><h1>B{k}</h1></div><section>Join us</section><div>two {k}</div>"), f"B{k} two {k}") for k in range(40)]
+    pages += [(200, frame(0, "<div><h1>C</h1></div><p>rare</p>"), "C rare")]
+    pages += [(300 + k, frame(0, "<div><h1>Same</h1></div><b>copied</b>"), "Same copied") for k in range(5)]
+    df = spark.createDataFrame([(i, f"http://h.org/{i}", h) for i, h, _ in pages], "page_id long, url string, html string")
+    expected = {i: t for i, _, t in pages}
+    assert {r.page_id: r.text for r in html.extract(df.repartition(3)).collect()} == expected
+    joined, html.BROADCAST = html.BROADCAST, -1
+    try:
+        assert {r.page_id: r.text for r in html.extract(df.repartition(5)).collect()} == expected
+    finally:
+        html.BROADCAST = joined
+
+
 def digest(b):
     return base64.b32encode(hashlib.sha1(b).digest()).decode()
 
