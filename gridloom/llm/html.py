@@ -225,10 +225,29 @@ def _text(wrapper: list[dict], stream: list, page: str) -> str:
 
 
 def _fits(wrapper: list[dict], stream: list) -> bool:
-    """The fixed tokens occur in order, but for the closing ones at the end, which pages may lack."""
-    it = iter(t[0] for t in stream)
-    missing = [w["token"] for w in wrapper if w["token"] not in it]
-    return bool(wrapper) and (not missing or set(missing) <= {"</body>", "</html>"} and wrapper[-1]["token"] in ("</body>", "</html>"))
+    """The fixed tokens occur once each and in order, but for the closing ones at the end, which pages may lack, and gaps match their expressions."""
+    place = {w["token"]: i for i, w in enumerate(wrapper)}
+    at, gaps = -1, [[] for _ in wrapper]
+    for t in stream:
+        if (i := place.get(t[0])) is not None:
+            if i != at + 1:
+                return False
+            at = i
+        elif at >= 0:
+            gaps[at].append(t[0])
+    if not wrapper or not {w["token"] for w in wrapper[at + 1 :]} <= {"</body>", "</html>"}:
+        return False
+    return all(_matches(w["gap"], g) for w, g in zip(wrapper[: at + 1], gaps))
+
+
+def _matches(expression: list, keys: list[str]) -> bool:
+    if not expression or expression[0][0] not in ("optional", "repeated"):
+        return keys == [TEXT if x[0] == "slot" else x[1] for x in expression]
+    (kind, group), known = expression[0], set()
+    for x in group:
+        x = x[1][0] if x[0] == "optional" else x
+        known.add(TEXT if x[0] == "slot" else x[1])
+    return known.issuperset(keys) and (kind == "optional" or bool(keys))
 
 
 def _key(stream: list) -> tuple[str, list[str]]:

@@ -131,6 +131,20 @@ def test_templates_of_a_host(spark):
         html.BROADCAST = joined
 
 
+def test_whole_expression():
+    """Pages are matched with gaps too, and a fixed token that occurs again is a misfit."""
+    one = lambda k, more="": f"<html><body><nav>Menu</nav><article><h1>T{k}</h1><p>a{k}</p></article>{more}<footer>F</footer></body></html>"
+    w = html.infer([one(k) for k in range(3)])
+    assert html.apply(w, one(9)) == "T9 a9"
+    assert html.apply(w, one(9, "<article><p>second</p></article>")) == "T9 a9 second"
+    plain = lambda k, more="": f"<html><body><section>Join us{more}</section><main.x>{k}</main.x></body></html>"
+    w = html.infer([plain(k) for k in range(3)])
+    assert html.apply(w, plain(7)) == "7"
+    assert html.apply(w, plain(7, "<table><tr><td>figures</table>")) == "Join us figures 7"
+    cut = plain(8).replace("</body></html>", "")
+    assert html.apply(w, cut) == "8"
+
+
 def digest(b):
     return base64.b32encode(hashlib.sha1(b).digest()).decode()
 
