@@ -82,12 +82,22 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def pin_splits(spark: SparkSession) -> None:
+    """Fix ``spark.sql.files.minPartitionNum`` of the session, unless it is set, to what it stands for now."""
+    name = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or str(spark.sparkContext.defaultParallelism))
+
+
 def with_row_id(df: DataFrame, name: str = "rid") -> DataFrame:
     """A row number that is unique and, over a file scan, the same in each evaluation.
 
     It numbers rows within scan partitions, so it needs no shuffle; ``df`` has to be a
     scan of files (or a narrow plan over one), as a retried task then sees equal rows.
+    Spark cuts files by the number of cores that are registered when a scan is planned;
+    the session's number is fixed here, so that executors may come and go in between.
     """
+    pin_splits(df.sparkSession)
     return df.withColumn(name, F.monotonically_increasing_id())
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, IsNull
 
-from .common import Workspace, sized
+from .common import Workspace, sized, with_row_id
 
 #: An archive is closed beyond so many bytes, and a partition reads files of so many.
 ROLL, PLAN = 128 << 20, 64 << 20
@@ -72,7 +72,7 @@ def write_warc(pages: DataFrame, path: str, least: int = 0, date: str = "2024-01
     """
     spark = pages.sparkSession
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.monotonically_increasing_id().alias("rid")).withColumn("sha", F.unhex(F.sha1("payload")))
+    rows = with_row_id(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))).withColumn("sha", F.unhex(F.sha1("payload")))
     first = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "rid"))
     copied = rows.where(F.octet_length("payload") >= least).groupBy("sha").agg(F.count("*").alias("n"), first.alias("first")).where("n > 1").select("sha", F.col("first.page_id").alias("first_id"), F.col("first.rid").alias("first_rid"))
     copied = sized(Workspace(spark, "warc-copies").save(copied, "copied"))  # a row for each payload that occurs more than once
