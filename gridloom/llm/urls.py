@@ -2,8 +2,10 @@
 
 Features of a URL: length, path depth, digit ratio, character entropy, parameter count,
 and for the host's last one, two and three labels the smoothed share of blocked URLs
-among the labelled ones. The trees are fitted on a bounded labelled sample (``SAMPLE``
-URLs, chosen by hash) on the driver; scoring is map-only and reads one column.
+among the labelled ones. Shares are counted over all rows, pre-aggregated in each task;
+the trees are grown on a bounded labelled sample (``SAMPLE`` URLs, chosen by hash) on the
+driver. Scoring is map-only and reads one column, unless there are so many suffixes
+(over ``common.BROADCAST_ROWS``) that their shares join the URLs instead of being sent.
 
 A null URL, or one without ``://``, has an empty host and path; it is scored like any
 other. Repeated rows keep a row each; other columns are not returned.
@@ -21,14 +23,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sampled
+from . import common
+from .common import Workspace, sampled, sized
 
-#: The most labelled URLs that a model is fitted on.
-SAMPLE = 4000
+#: The most labelled URLs that trees are grown on, and suffixes that a task counts at a time.
+SAMPLE, SUFFIXES = 4000, 200_000
 TREES, DEPTH, RATE, BINS = 30, 3, 0.3, 32
 FEATURES = ("length", "depth", "digit_ratio", "entropy", "parameters", "suffix1", "suffix2", "suffix3")
-#: Words in a host name that mark a URL as unwanted, for labelling a sample.
-SEED_WORDS = ("ads", "adult", "bets", "casino", "cheap", "farm", "pills", "porn", "spam", "track", "win")
+#: Words in a host name that mark a URL as unwanted where labels are missing, by the usual categories of blocklists:
+#: adult, gambling, pharmacy and counterfeits, loans, advertising and tracking, spam and malware, piracy.
+SEED_WORDS = frozenset(
+    "adult cam cams escort escorts erotic hentai milf nude nudes porn porno pornos sex sexy xxx "
+    "bet bets betting bingo casino casinos gambling jackpot lottery poker roulette slots wager "
+    "cialis levitra pharma pharmacy pills steroids viagra counterfeit replica replicas "
+    "loan loans payday "
+    "ad ads adserver adservice adserving advert adverts banners clicks doubleclick popads popunder tracker trackers tracking "
+    "botnet keylogger malware phish phishing scam spam spammer spyware trojan virus "
+    "cracks keygen torrent torrents warez".split()
+)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -63,19 +75,21 @@ def seed_label(url: str) -> int:
 class UrlModel:
     """Boosted regression trees on the logistic loss, over binned features."""
 
-    def __init__(self, trees: list, prior: float, shares: list[dict[str, float]]):
-        self.trees, self.prior, self.shares = trees, prior, shares
+    def __init__(self, trees: list, prior: float, shares: list[dict[str, float]], table: DataFrame | None = None):
+        self.trees, self.prior, self.shares, self.table = trees, prior, shares, table
 
     @classmethod
-    def fit(cls, urls: list[str], labels: list[int]) -> "UrlModel":
+    def fit(cls, urls: list[str], labels: list[int], counts: list[tuple] | None = None) -> "UrlModel":
+        """``counts`` are (k, suffix, half, n, bad) over more URLs than those that the trees are grown on."""
         y = np.asarray(labels, dtype=float)
         if not len(y) or y.min() == y.max():
             return cls([], -8.0 if not len(y) or not y.max() else 8.0, [{}, {}, {}])
         mean = float(y.mean())
         # the shares that a URL is trained with come from the other half, so that they don't hold its own label
         half = np.array([hash_bit(u) for u in urls])
-        shares = [_shares([u for u, h in zip(urls, half) if h != k], y[half != k], mean) for k in (0, 1)]
-        model = cls([], math.log(mean / (1 - mean)), _shares(urls, y, mean))
+        counts = _counts(urls, labels) if counts is None else counts
+        shares = [_shares([c for c in counts if c[2] != k], mean) for k in (0, 1)]
+        model = cls([], math.log(mean / (1 - mean)), _shares(counts, mean))
         x = np.array([features(u, shares[h], mean) for u, h in zip(urls, half)])
         cuts = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
         f = np.full(len(y), model.prior)
@@ -90,11 +104,11 @@ class UrlModel:
     def mean(self) -> float:
         return 1 / (1 + math.exp(-self.prior))
 
-    def score(self, urls: list[str]) -> np.ndarray:
+    def score(self, urls: list[str], shares: list[dict[str, float]] | None = None) -> np.ndarray:
         """The probability that each URL is to be blocked."""
         f = np.full(len(urls), self.prior)
         if self.trees and urls:
-            x = np.array([features(u, self.shares, self.mean) for u in urls])
+            x = np.array([features(u, shares or self.shares, self.mean) for u in urls])
             for t in self.trees:
                 f += RATE * _leaf(t, x)
         return 1 / (1 + np.exp(-f))
@@ -111,13 +125,23 @@ def _suffixes(url: str) -> list[str]:
     return [".".join(labels[-k:]) for k in (1, 2, 3)]
 
 
-def _shares(urls: list[str], y: np.ndarray, mean: float) -> list[dict[str, float]]:
+def _counts(urls: list[str], labels: list[int]) -> list[tuple]:
+    """(k, suffix, half, n, bad): how many URLs have the suffix of k labels, and how many of them are blocked."""
+    n, bad = Counter(), Counter()
+    for u, v in zip(urls, labels):
+        half = hash_bit(u)
+        for k, s in enumerate(_suffixes(u), 1):
+            n[k, s, half] += 1
+            bad[k, s, half] += int(v)
+    return [(*at, c, bad[at]) for at, c in n.items()]
+
+
+def _shares(counts: list[tuple], mean: float) -> list[dict[str, float]]:
     n, bad = defaultdict(Counter), defaultdict(Counter)
-    for u, v in zip(urls, y):
-        for k, s in enumerate(_suffixes(u)):
-            n[k][s] += 1
-            bad[k][s] += v
-    return [{s: (bad[k][s] + mean) / (n[k][s] + 1) for s in n[k]} for k in range(3)]
+    for k, s, _, c, v in counts:
+        n[k][s] += c
+        bad[k][s] += v
+    return [{s: (bad[k][s] + mean) / (n[k][s] + 1) for s in n[k]} for k in (1, 2, 3)]
 
 
 def features(url: str, shares: list[dict[str, float]], mean: float) -> list[float]:
@@ -160,23 +184,77 @@ def _leaf(tree, x: np.ndarray) -> np.ndarray:
     return np.where(x[:, j] < cut, _leaf(low, x), _leaf(high, x))
 
 
+def suffix_counts(labelled: DataFrame) -> DataFrame:
+    """(k, suffix, half, n, bad) over all rows of (u, y); the seed list labels rows whose y is null."""
+    kind = "k int, suffix string, half int, n long, bad long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple, list[int]] = {}
+
+        def flush() -> pa.RecordBatch:
+            rows = [(*at, *c) for at, c in known.items()]
+            known.clear()
+            types = [pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["k", "suffix", "half", "n", "bad"])
+
+        for batch in batches:
+            urls = batch.column(0).to_pylist()
+            for k, s, half, n, bad in _counts(urls, [seed_label(u) if y is None else y for u, y in zip(urls, batch.column(1).to_pylist())]):
+                c = known.setdefault((k, s, half), [0, 0])
+                c[0], c[1] = c[0] + n, c[1] + bad
+            if len(known) > SUFFIXES:
+                yield flush()
+        yield flush()
+
+    return labelled.select("u", "y").mapInArrow(run, kind).groupBy("k", "suffix", "half").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+
+
 def fit_on(urls: DataFrame, url_col: str = "url", label_col: str | None = None, sample: int = SAMPLE) -> UrlModel:
-    """Fit on at most ``sample`` rows of a scan, chosen by hash; without labels the seed list labels them."""
+    """Suffix shares of all rows, and trees of at most ``sample`` rows of a scan, chosen by hash; without labels the seed list labels them."""
+    spark = urls.sparkSession
     some = urls.select(F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("u"), (F.col(label_col) if label_col else F.lit(None)).cast("int").alias("y"))
     rows = sampled(some, sample)
-    return UrlModel.fit([r.u for r in rows], [seed_label(r.u) if r.y is None else r.y for r in rows])
+    ws = Workspace(spark, "urls")
+    counts = ws.save(suffix_counts(some), "suffixes")
+    few = counts.count() <= common.BROADCAST_ROWS
+    wanted = counts
+    if not few:  # the driver needs only the suffixes of the sample
+        met = sorted({(k, s) for r in rows for k, s in enumerate(_suffixes(r.u), 1)})
+        wanted = counts.join(F.broadcast(spark.createDataFrame(met, "k int, suffix string")), ["k", "suffix"]).select(counts.columns)
+    model = UrlModel.fit([r.u for r in rows], [seed_label(r.u) if r.y is None else r.y for r in rows], [tuple(r) for r in wanted.collect()])
+    if not few and model.trees:
+        share = (F.sum("bad") + F.lit(model.mean)) / (F.sum("n") + 1)
+        model.table = ws.save(counts.groupBy("k", "suffix").agg(share.alias("share")), "shares")
+    return model
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], model: UrlModel, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict, score); rules are (verdict, ``host/path``)."""
     url = F.col(url_col).cast("string")
+    shares, table = model.shares, model.table
+    own = UrlModel(model.trees, model.prior, [{}, {}, {}] if table is not None else shares)  # without the table, which can't be sent
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = list(zip(*(_suffixes(x or "") for x in batch.column(1).to_pylist()))) or [()] * 3
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.string()) for c in cols)], names=["page_id", "u", "s1", "s2", "s3"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score([x or "" for x in batch.column(1).to_pylist()]))], names=["page_id", "u", "score"])
+            urls = [x or "" for x in batch.column(1).to_pylist()]
+            joined = None
+            if batch.num_columns > 2:
+                joined = [{_suffixes(u)[k]: v for u, v in zip(urls, batch.column(2 + k).to_pylist()) if v is not None} for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(own.score(urls, joined))], names=["page_id", "u", "score"])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    scored = pages.select(F.col(id_col).alias("page_id"), url.alias("u")).mapInArrow(run, f"page_id {kind}, u string, score double")
+    rows = pages.select(F.col(id_col).alias("page_id"), url.alias("u"))
+    if table is not None:
+        rows = rows.mapInArrow(cut, f"page_id {kind}, u string, s1 string, s2 string, s3 string")
+        for k in (1, 2, 3):
+            rows = rows.join(sized(table.where(F.col("k") == k).select(F.col("suffix").alias(f"s{k}"), F.col("share").alias(f"share{k}"))), f"s{k}", "left")
+        rows = rows.select("page_id", "u", "share1", "share2", "share3")
+    scored = rows.mapInArrow(run, f"page_id {kind}, u string, score double")
     parts = scored.select("page_id", "score", host_of(F.col("u")).alias("host"), path_of(F.col("u")).alias("path"))
     ruled = parts.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     verdict = F.when(F.col("score") >= 0.5, "block").otherwise("allow")

@@ -72,6 +72,23 @@ def test_fit_on_table(spark):
     assert urls.seed_label("http://a-casino.com/x") == 1 and urls.seed_label("http://news.com/casino") == 0
 
 
+def test_suffixes_of_all_rows(spark, tmp_path, monkeypatch):
+    """Hosts that the sample of trees misses have shares of their own, sent or joined."""
+    rows = labelled(400, 5) + [(f"http://h{i}.example.com/a", i % 2) for i in range(300)]
+    spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, y int").repartition(3).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    model = urls.fit_on(df, label_col="y", sample=60)
+    every = urls._shares(urls._counts(*map(list, zip(*rows))), model.mean)
+    assert model.trees and model.table is None and [set(x) for x in model.shares] == [set(x) for x in every]
+    assert all(abs(model.shares[k][s] - v) < 1e-9 for k in range(3) for s, v in every[k].items())
+    sent = {r.page_id: r.score for r in urls.filter_urls(df, RULES, model).collect()}
+    monkeypatch.setattr(urls.common, "BROADCAST_ROWS", 10)
+    model = urls.fit_on(df, label_col="y", sample=60)
+    assert model.table is not None and len(model.shares[2]) < len(every[2])
+    joined = {r.page_id: r.score for r in urls.filter_urls(df, RULES, model).collect()}
+    assert sent.keys() == joined.keys() and all(abs(sent[i] - joined[i]) < 1e-9 for i in sent)
+
+
 def page(host, k, body, menu="Home", extra=""):
     return f"""<!DOCTYPE html><html lang=en><head><meta charset=utf-8><title>T{k}</title><style>p{{x:1}}</style><script>var a="</p><article>";</script></head>
 <body><header><a href=/>{host}</a></header><nav class="menu"><ul>{"".join(f"<li><a href='/{i}'>{menu} {i}</a></li>" for i in range(k % 4 + 1))}</ul></nav>{extra}
