@@ -8,21 +8,29 @@ into runs that begin at tokens with a leading space or newline (any cut is right
 decoding is a homomorphism; words repeat), and an ordered aggregation over
 (run, position, id) rows joined with the vocabulary concatenates each distinct run.
 
-Both are map-only: no shuffle, and memory bounded by ``CACHE`` words and ``BLOCK``
-characters (or one longer text).
+The recursion takes as many steps over a word as it has merges, so words are contracted
+in pieces. Where no token of the vocabulary holds the two bytes around a place, no merge
+can cross it, and the word is cut there. What is still longer than ``PIECE`` bytes is
+contracted in overlapping pieces, which are spliced at a token that both have at one
+place: a sequence of tokens is the encoding of its bytes exactly if each two neighbours
+are the encoding of theirs, and all neighbours of the spliced sequence are neighbours in
+a piece. Without a common token a longer piece is taken, the whole word at the last.
+
+Both are map-only: no shuffle, and memory bounded by ``CACHE`` bytes of words, ``STEPS``
+rows of a recursion and ``BLOCK`` characters (or one longer text).
 
 Null texts count as empty: zero tokens. Repeated rows and ids are encoded each by
-itself; only the id column and the outputs are returned, so that further columns can't
-clash. Ids outside the vocabulary raise ``ValueError``.
+itself, an empty table gives no rows; only the id column and the outputs are returned,
+so that further columns can't clash. Ids outside the vocabulary raise ``ValueError``.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Generator, Iterator
 
 import duckdb
 import numpy as np
@@ -31,15 +39,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks
+from .common import blocks, trim
 
-#: Distinct words (and decoded runs) of a generation; a worker keeps two of each.
-CACHE = 120_000
+#: Bytes, roughly, of a generation of words (and of decoded runs); a worker keeps two of each.
+CACHE = 16 << 20
 #: Characters of text that are cut at once.
-BLOCK = 2_000_000
-#: Words of a recursive query, and bytes from which a word has a heap of its own:
-#: the recursion takes a step for each merge over all positions of the word.
-QUERY_WORDS, LONG_WORD = 30_000, 256
+BLOCK = 1 << 20
+#: Bytes of a piece, rows that a recursive query makes at most, and runs that are decoded at once.
+PIECE, STEPS, QUERY_RUNS = 96, 2_000_000, 30_000
 
 _ENCODE = """
 with recursive s(k, tok, live) as (
@@ -80,21 +87,26 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Recent(dict):
     """What was met lately: when a generation is full, only what has been met since the one before stays."""
 
-    def __init__(self):
+    def __init__(self, most: int | None = None):
         super().__init__()
         self.older: dict = {}
+        self.most, self.size = most or CACHE, 0
+
+    def add(self, key, value: bytes) -> None:
+        self[key] = value
+        self.size += len(key) + len(value) + 160  # what two objects and their places take besides
 
     def missing(self, met: set) -> list:
         """Of ``met``, what has to be worked out; the rest is at hand afterwards."""
-        if len(self) > CACHE:
-            self.older = dict(self)
+        if self.size > self.most:
+            self.older, self.size = dict(self), 0
             self.clear()
         out, older = [], self.older
         for x in met.difference(self):
             if (v := older.get(x)) is None:
                 out.append(x)
             else:
-                self[x] = v
+                self.add(x, v)
         return out
 
 
@@ -111,10 +123,15 @@ class Codec:
         self.size = max(ranks.values()) + 1
         self.known = np.zeros(self.size, dtype=bool)
         self.begins = np.zeros(self.size, dtype=bool)
+        self.sizes = np.zeros(self.size, dtype=np.int64)
+        #: whether a token holds the two bytes side by side
+        self.joins = np.zeros((256, 256), dtype=bool)
         for b, i in ranks.items():
             self.known[i] = True
             self.begins[i] = b[0] < 128 and not b[:1].isalnum()
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
+            self.sizes[i] = len(b)
+            self.joins[list(b[:-1]), list(b[1:])] = True
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         pairs = [(ranks[b[:i]] << 16 | ranks[b[i:]], m) for b, m in ranks.items() for i in range(1, len(b)) if b[:i] in ranks and b[i:] in ranks]
         self._table("merges", {"pair": np.array([p for p, _ in pairs], dtype=np.uint32), "m": np.array([m for _, m in pairs], dtype=np.uint32)})
         # bytes are shown as the characters from U+0100 on, so that none is a NUL
@@ -140,53 +157,106 @@ class Codec:
         return out
 
     def _learn(self, words: list[str]) -> None:
-        left: list[tuple[str, bytes]] = []
+        """Work out the ids of new words."""
+        whole: list[tuple[str, bytes]] = []
+        waiting: list[tuple[Generator, list[bytes]]] = []
         for w in words:
             b = w.encode()
             if (i := self.ranks.get(b)) is not None:
-                self.ids[w] = i.to_bytes(4, "little")
-            elif len(b) >= LONG_WORD:
-                self.ids[w] = np.array(self._merge_long(b), dtype="<u4").tobytes()
+                self.ids.add(w, i.to_bytes(4, "little"))
+            elif len(b) <= PIECE:
+                whole.append((w, b))
             else:
-                left.append((w, b))
-        for a in range(0, len(left), QUERY_WORDS):
-            some = left[a : a + QUERY_WORDS]
-            n = np.fromiter((len(b) for _, b in some), dtype=np.int64, count=len(some))
-            begins = np.cumsum(n) - n
+                run = self._spliced(w, b)
+                waiting.append((run, next(run)))
+        for (w, _), ids in zip(whole, self._contract([b for _, b in whole])):
+            self.ids.add(w, ids)
+        # a few long words at a time, so that their pieces are bounded too
+        while waiting:
+            some, n = [], 0
+            while waiting and n < BLOCK:
+                some.append(waiting.pop())
+                n += sum(map(len, some[-1][1]))
+            pieces = list({p for _, asked in some for p in asked})
+            got = dict(zip(pieces, self._contract(pieces)))
+            for run, asked in some:
+                if more := run.send([got[p] for p in asked]):
+                    waiting.append((run, more))
+
+    def _contract(self, words: list[bytes]) -> list[bytes]:
+        """Of each short word its ids, packed: the recursive query."""
+        out: list[bytes] = []
+        for a, b in blocks([len(w) * len(w) for w in words], STEPS):
+            some = words[a:b]
+            n = np.fromiter(map(len, some), dtype=np.int64, count=len(some))
             self._table("words", {
                 "w": np.repeat(np.arange(len(some), dtype=np.uint32), n),
-                "pos": (np.arange(n.sum()) - np.repeat(begins, n)).astype(np.uint32),
-                "tok": self.byte_ids[np.frombuffer(b"".join(b for _, b in some), dtype=np.uint8)],
+                "pos": (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint32),
+                "tok": self.byte_ids[np.frombuffer(b"".join(some), dtype=np.uint8)],
             })
             got = self.con.sql(_ENCODE).to_arrow_table()
             ids = got["tok"].to_numpy().astype("<u4").tobytes()
             ends = (4 * np.cumsum(np.bincount(got["w"].to_numpy(), minlength=len(some)))).tolist()
-            self.ids.update((w, ids[x:y]) for (w, _), x, y in zip(some, [0, *ends], ends))
-
-    def _merge_long(self, b: bytes) -> list[int]:
-        """The same contraction for one long word, by a heap of (rank, position)."""
-        tok = [b[i : i + 1] for i in range(len(b))]
-        left, right = list(range(-1, len(b) - 1)), list(range(1, len(b) + 1))
-        heap = [(r, i, tok[i], tok[i + 1]) for i in range(len(b) - 1) if (r := self.ranks.get(tok[i] + tok[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, i, x, y = heapq.heappop(heap)
-            j = right[i]
-            if tok[i] != x or j >= len(b) or tok[j] != y:
-                continue  # one of the two has been merged since
-            tok[i], tok[j] = x + y, b""
-            right[i] = right[j]
-            if right[i] < len(b):
-                left[right[i]] = i
-            for p, q in ((left[i], i), (i, right[i])):
-                if p >= 0 and q < len(b) and (r := self.ranks.get(tok[p] + tok[q])) is not None:
-                    heapq.heappush(heap, (r, p, tok[p], tok[q]))
-        return [self.ranks[t] for t in tok if t]
+            out += [ids[x:y] for x, y in zip([0, *ends], ends)]
+        return out
+
+    def _spliced(self, w: str, b: bytes) -> Generator:
+        """Asks for the pieces of a long word by lists, is sent their ids, and keeps the word's in the end."""
+        data = np.frombuffer(b, dtype=np.uint8)
+        cuts = [0, *(np.flatnonzero(~self.joins[data[:-1], data[1:]]) + 1).tolist(), len(b)]
+        parts = [b[x:y] for x, y in zip(cuts, cuts[1:])]
+        step = PIECE // 2
+        done: dict[bytes, bytes] = {}
+        for a, z in blocks([2 * len(p) for p in parts], BLOCK):
+            asked = {p[x : x + PIECE] for p in parts[a:z] if p not in done for x in (range(0, len(p), step) if len(p) > PIECE else (0,))}
+            asked = list(asked.difference(done))
+            if asked:
+                done.update(zip(asked, (yield asked)))
+            for p in {*parts[a:z]}:
+                if p not in done:
+                    done[p] = yield from self._joined(p, done)
+        self.ids.add(w, b"".join(map(done.__getitem__, parts)))
+        yield []
+
+    def _joined(self, b: bytes, known: dict[bytes, bytes]) -> Generator:
+        """The ids of ``b``, from those of overlapping pieces."""
+        step, extra = PIECE // 2, {}
+
+        def tokens(a: int, z: int):
+            if (p := b[a:z]) not in known and p not in extra:
+                if len(extra) > 4096:
+                    extra.clear()
+                [extra[p]] = yield [p]
+            ids = np.frombuffer(known.get(p) or extra[p], dtype="<u4")
+            return (a + np.cumsum(self.sizes[ids]) - self.sizes[ids]).tolist(), ids.tolist()
+
+        at, ids = yield from tokens(0, PIECE)  # at: where the tokens begin
+        end, back = min(PIECE, len(b)), 0
+        while end < len(b):
+            # first the piece that was asked for ahead, then pieces that begin with a token, ever longer ones
+            begin = (end - step) // step * step if not back else at[max(0, bisect_right(at, end - back) - 1)]
+            stop = min(begin + PIECE if not back else end + back, len(b))
+            places, more = yield from tokens(begin, stop)
+            if not begin:
+                at, ids, end, back = places, more, stop, 0
+                continue
+            low = bisect_left(at, begin)
+            met = set(zip(at[low:], ids[low:]))
+            k = next((k for k, t in enumerate(zip(places, more)) if t in met), None)
+            if k is None:
+                back = 2 * back or step
+                continue
+            keep = bisect_left(at, places[k])
+            del at[keep:], ids[keep:]
+            at += places[k:]
+            ids += more[k:]
+            end, back = stop, 0
+        return np.array(ids, dtype="<u4").tobytes()
 
     def decode(self, rows: list[bytes]) -> list[bytes]:
         """The bytes that each row of ids stands for."""
         out: list[bytes] = []
-        for a, b in blocks([len(x) for x in rows], 4 * BLOCK):
+        for a, b in blocks([len(x) for x in rows], 2 * BLOCK):
             cut = [self._cut(x) for x in rows[a:b]]
             self._spell(self.runs.missing(set().union(*cut)))
             get = self.runs.__getitem__
@@ -203,8 +273,8 @@ class Codec:
         return [packed[x:y] for x, y in zip(at, [*at[1:], len(packed)])]
 
     def _spell(self, runs: list[bytes]) -> None:
-        for a in range(0, len(runs), QUERY_WORDS):
-            some = runs[a : a + QUERY_WORDS]
+        for a in range(0, len(runs), QUERY_RUNS):
+            some = runs[a : a + QUERY_RUNS]
             n = np.fromiter((len(x) // 4 for x in some), dtype=np.int64, count=len(some))
             self._table("runs", {
                 "w": np.repeat(np.arange(len(some), dtype=np.uint32), n),
@@ -213,7 +283,7 @@ class Codec:
             })
             got = self.con.sql(_DECODE).to_arrow_table()
             for w, chars in zip(got["w"].to_pylist(), got["chars"].to_pylist()):
-                self.runs[some[w]] = chars.encode("utf-16-le")[::2]
+                self.runs.add(some[w], chars.encode("utf-16-le")[::2])
 
 
 _UP = {i: i + 256 for i in range(256)}
@@ -237,7 +307,7 @@ def _mapped(df: DataFrame, given: str, id_col: str, ranks_path: str, pattern: st
         codec = _codec(ranks, pattern)
         for batch in batches:
             values = batch.column(1)
-            for a, b in blocks(pa.compute.fill_null(pa.compute.binary_length(values), 0).to_pylist(), 8 * BLOCK):
+            for a, b in blocks(pa.compute.fill_null(pa.compute.binary_length(values), 0).to_pylist(), 4 * BLOCK):
                 some = [x or type(x or b"")() for x in values.slice(a, b - a).to_pylist()]
                 cols, ids = [batch.column(0).slice(a, b - a)], some
                 if "ids" in outputs:
@@ -245,7 +315,10 @@ def _mapped(df: DataFrame, given: str, id_col: str, ranks_path: str, pattern: st
                     cols.append(pa.array(ids, pa.binary()))
                 if "decoded" in outputs:
                     cols.append(pa.array(codec.decode(ids), pa.binary()))
-                yield pa.RecordBatch.from_arrays(cols, names=[id_col, *outputs])
+                out = pa.RecordBatch.from_arrays(cols, names=[id_col, *outputs])
+                del some, ids, cols
+                trim()
+                yield out
 
     schema = ", ".join([f"`{id_col}` {df.schema[id_col].dataType.simpleString()}", *(f"{x} binary" for x in outputs)])
     return df.select(id_col, given).mapInArrow(run, schema)

@@ -1,17 +1,24 @@
-"""Shared pieces of the training-data operators: shared-folder tables, row ids, byte words."""
+"""Shared pieces of the training-data operators: shared-folder tables, row numbers, byte words."""
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What ``[\x20\x09-\x0D]`` matches; ``bytes.split()`` splits on exactly these.
 WHITE = " \t\n\x0b\x0c\r"
 
+_libc = ctypes.CDLL(None)
 _own_dirs: dict[str, str] = {}
 _open: list["Workspace"] = []
 
@@ -19,11 +26,13 @@ _open: list["Workspace"] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests on one machine) a temporary folder is made.
+    Only where that is unset and the session is one machine (tests) a temporary folder is made.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="gridloom-")
@@ -70,6 +79,14 @@ class Workspace:
             _open.remove(self)
 
 
+@contextmanager
+def opened() -> Iterator[list[Workspace]]:
+    """A list that has, afterwards, the workspaces opened meanwhile, for their caller to close."""
+    before, mine = list(_open), []
+    yield mine
+    mine += [w for w in _open if not any(w is x for x in before)]
+
+
 def close_all() -> None:
     """Delete the tables of all earlier calls; their lazy results can't be read afterwards."""
     for ws in list(_open):
@@ -82,23 +99,48 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def pin_splits(spark: SparkSession) -> None:
-    """Fix ``spark.sql.files.minPartitionNum`` of the session, unless it is set, to what it stands for now."""
-    name = "spark.sql.files.minPartitionNum"
-    if spark.conf.get(name, None) is None:
-        spark.conf.set(name, spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or str(spark.sparkContext.defaultParallelism))
+#: Files up to which their offsets, a row each, are sent to all tasks.
+FILES = 200_000
 
 
-def with_row_id(df: DataFrame, name: str = "rid") -> DataFrame:
-    """A row number that is unique and, over a file scan, the same in each evaluation.
+def numbered(df: DataFrame, ws: Workspace, name: str = "rid") -> DataFrame:
+    """``df`` with row numbers 0, 1, ... that are the same in each evaluation.
 
-    It numbers rows within scan partitions, so it needs no shuffle; ``df`` has to be a
-    scan of files (or a narrow plan over one), as a retried task then sees equal rows.
-    Spark cuts files by the number of cores that are registered when a scan is planned;
-    the session's number is fixed here, so that executors may come and go in between.
+    Over a scan of whole Parquet files a row's number is the number of rows in the files
+    before its own, which are counted here, and its place in the file: however the scan
+    is cut, by however many executors, it stays. Anything else is saved first.
     """
-    pin_splits(df.sparkSession)
-    return df.withColumn(name, F.monotonically_increasing_id())
+    found = _placed(df, name)
+    if found is None:
+        found = _placed(ws.save(df, "rows"), name, trusted=True)
+    return found
+
+
+def _placed(df: DataFrame, name: str, trusted: bool = False) -> DataFrame | None:
+    try:
+        meta = df.metadataColumn("_metadata")
+        rows = df.withColumns({f"__file_{name}": meta["file_path"], f"__row_{name}": meta["row_index"]})
+        files = rows.groupBy(f"__file_{name}").agg(F.count("*"), F.max(f"__row_{name}") + 1).limit(FILES + 1).collect()
+    except AnalysisException:  # no scan of Parquet files
+        files = None
+    if files is None or len(files) > FILES or any(n != last for _, n, last in files):
+        if trusted:
+            raise ValueError(f"a table of more than {FILES} files can't be numbered")
+        return None
+    begins, total = [], 0
+    for path, n, _ in sorted(files):
+        begins.append((path, total))
+        total += n
+    spark = df.sparkSession
+    begin = F.broadcast(spark.createDataFrame(begins, f"__file_{name} string, __begin_{name} long"))
+    return rows.join(begin, f"__file_{name}").withColumn(name, F.col(f"__begin_{name}") + F.col(f"__row_{name}")).select(*[df[c] for c in df.columns if c != name], name)
+
+
+def trim() -> None:
+    """Give the memory of batches that are done back to the machine; a worker serves many tasks."""
+    pa.default_memory_pool().release_unused()
+    if (give := getattr(_libc, "malloc_trim", None)) is not None:
+        give(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -114,13 +156,13 @@ def sized(saved: DataFrame) -> DataFrame:
     return F.broadcast(saved) if saved.count() <= BROADCAST_ROWS else saved
 
 
-def sampled(df: DataFrame, most: int) -> list:
-    """At most ``most`` rows of a scan, chosen by a hash of their row numbers.
+def sampled(df: DataFrame, most: int, ws: Workspace) -> list:
+    """At most ``most`` rows, chosen by a hash of their row numbers.
 
     Only about as many reach the driver: a threshold on the hash, not a sort, picks them.
     """
-    n, h = df.count(), F.expr("pmod(xxhash64(__rid), 1073741824)")
-    rows = with_row_id(df, "__rid").withColumn("__h", h)
+    n = df.count()
+    rows = numbered(df, ws, "__rid").withColumn("__h", F.expr("pmod(xxhash64(__rid), 1073741824)"))
     if n > most:
         rows = rows.where(F.col("__h") < int((1.1 * most + 100) / n * (1 << 30)))
     return sorted(rows.collect(), key=lambda r: (r["__h"], r["__rid"]))[:most]

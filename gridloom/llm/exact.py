@@ -11,8 +11,9 @@ a plain equi-join that adaptive execution splits where a group is hot. After the
 round only rows that share their prefix with another carry what is left of their text.
 
 A null text counts as empty; a null id stays null and is never preferred as the
-keeper. Rows with the same id are separate rows: of equal ones, one is kept. The input
-has to be a scan of files (see ``common.with_row_id``) only if ``rid`` is joined back.
+keeper. Rows with the same id are separate rows: of equal ones, one is kept. An
+empty table gives no rows. Only the named columns are read and returned, so that
+further columns can't clash.
 """
 
 from __future__ import annotations

@@ -44,17 +44,17 @@ class Grams:
         return (np.concatenate([h, pair]) & np.uint64(BUCKETS - 1)).astype(np.int32)
 
 
-def _sample(labels: DataFrame, most: int) -> tuple[list, float | None]:
+def _sample(labels: DataFrame, most: int, ws: Workspace) -> tuple[list, float | None]:
     """Ids of good labelled documents, and the share of good ones among all labelled."""
     good = F.sum((F.col("quality") == 1).cast("long"))
     n, g = labels.where("quality is not null").agg(F.count("*"), good).first()
-    rows = sampled(labels.where("quality = 1 and doc_id is not null").select("doc_id"), most)
+    rows = sampled(labels.where("quality = 1 and doc_id is not null").select("doc_id"), most, ws)
     return sorted({r.doc_id for r in rows}), (g / n if n and 0 < g < n else None)
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[np.ndarray | None, float]:
+def fit(docs: DataFrame, labels: DataFrame, ws: Workspace, most: int = SAMPLE) -> tuple[np.ndarray | None, float]:
     """(log ratio per bucket, share of good documents); no ratios where labels can't tell."""
-    ids, share = _sample(labels, most)
+    ids, share = _sample(labels, most, ws)
     if share is None or not ids:
         return None, 1.0
     spark = docs.sparkSession
@@ -134,8 +134,9 @@ class Quality:
     """A fitted model with the threshold that leaves the k largest keys."""
 
     def __init__(self, docs: DataFrame, labels: DataFrame, slack: float = SLACK, most: int = SAMPLE):
-        self.ratios, share = fit(docs, labels, most)
-        self.scores = Workspace(docs.sparkSession, "quality").save(score(docs, self.ratios), "scores")
+        ws = Workspace(docs.sparkSession, "quality")
+        self.ratios, share = fit(docs, labels, ws, most)
+        self.scores = ws.save(score(docs, self.ratios), "scores")
         n = self.scores.count()
         k = n if self.ratios is None else min(n, int(np.ceil(n * min(1.0, share + slack))))
         self.threshold = float("-inf") if k >= n else kth_largest(self.scores, "gumbel_key", k)

@@ -14,7 +14,8 @@ where it begins.
 Ids are written as little-endian unsigned 16-bit integers, or 32-bit ones for
 vocabularies over 65,535. Files have names that no other attempt uses; those of failed
 attempts are deleted when the write commits. Null texts count as empty: a lone end
-token. Repeated rows are sequences of their own. An empty table writes no shard.
+token. Repeated rows and null ids are sequences of their own. An empty table writes no
+shard. Other columns of the table are not read, so that their names can't clash.
 """
 
 from __future__ import annotations
@@ -30,12 +31,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import CACHE, Codec, read_ranks
-from .common import Workspace, blocks, with_row_id
+from .bpe import Codec, Recent, read_ranks
+from .common import Workspace, blocks, numbered, trim
 from .warc import _fs
 
-#: Ids of a row, documents of a shard, rounds of the permutation, scan partitions whose counts the driver adds up.
-STRIDE, SHARD_DOCS, ROUNDS, MOST_PARTITIONS = 2048, 50_000, 6, 4_000_000
+#: Ids of a row, documents of a shard, rounds of the permutation.
+STRIDE, SHARD_DOCS, ROUNDS = 2048, 50_000, 6
 
 
 def permute(index: np.ndarray, n: int, key: bytes) -> np.ndarray:
@@ -68,14 +69,12 @@ class Encoder:
 
         self.codec.pattern, self.codec.latin = regex.compile(pattern), pattern == public_tokenizers.PATTERN
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.kind, self.known = kind, {}
+        self.kind, self.known = kind, Recent()
 
     def __call__(self, text: str) -> bytes:
         known, words = self.known, self.codec.split(text)
-        if len(known) > CACHE:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = np.array(self.encoding.encode_ordinary(w), dtype=self.kind).tobytes()
+        for w in known.missing(set(words)):
+            known.add(w, np.array(self.encoding.encode_ordinary(w), dtype=self.kind).tobytes())
         return b"".join(map(known.__getitem__, words))
 
 
@@ -85,14 +84,11 @@ _encoders: dict[tuple, Encoder] = {}
 def write_shards(docs: DataFrame, path: str, ranks_path: str, pattern: str, key: bytes = b"gridloom", stride: int = STRIDE, shard_docs: int = SHARD_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the shards below ``path``; returns (doc_id, slot, shard, file, first_id, n_ids, ids_sha256).
 
-    ``docs`` has to be a scan of files (see ``common.with_row_id``).
+    ``ids_sha256`` is of the ids as they were read back from the finished file.
     """
-    spark, docs = docs.sparkSession, with_row_id(docs)
-    counts = docs.select((F.shiftright("rid", 33)).alias("p")).groupBy("p").count().orderBy("p").limit(MOST_PARTITIONS + 1).collect()
-    if len(counts) > MOST_PARTITIONS:
-        raise ValueError("too many scan partitions; raise spark.sql.files.maxPartitionBytes")
-    n = sum(r["count"] for r in counts)
-    begins = dict(zip((r.p for r in counts), np.cumsum([0, *(r["count"] for r in counts)]).tolist()))
+    spark, ws = docs.sparkSession, Workspace(docs.sparkSession, "placement")
+    docs = numbered(docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col)), ws)
+    n = docs.count()
     ranks = read_ranks(ranks_path)
     end = max(ranks.values()) + 1
     kind = "<u2" if end < 1 << 16 else "<u4"
@@ -103,44 +99,49 @@ def write_shards(docs: DataFrame, path: str, ranks_path: str, pattern: str, key:
         at = (len(ranks), pattern, kind)
         encoder = _encoders.setdefault(at, Encoder(ranks, pattern, kind)) if at not in _encoders else _encoders[at]
         for batch in batches:
-            rid = batch.column(0).to_numpy()
-            index = np.array([begins[p] for p in (rid >> 33).tolist()], dtype=np.int64) + (rid & (1 << 33) - 1)
-            slot = permute(index, n, key)
+            slot = permute(batch.column(0).to_numpy(), n, key)
             lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(2)), 0).to_pylist()
             for a, b in blocks(lengths, 4 << 20):
                 ids = [encoder(t.as_py() or "") for t in batch.column(2).slice(a, b - a)]
+                trim()
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array(slot[a:b]), pa.array((slot[a:b] * shards // n).astype(np.int32)), pa.array(ids, pa.binary())], names=["doc_id", "slot", "shard", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _fs(path)
         size, now, out, rows = np.dtype(kind).itemsize, None, None, []
-        stop, at, name = np.array([end], dtype=kind).tobytes(), 0, ""
-
-        def close():
-            if out is not None:
-                out.write(stop * (-at % stride))
-                out.close()
+        stop, at, name, kind_of_id = np.array([end], dtype=kind).tobytes(), 0, "", None
+
+        def close() -> pa.RecordBatch:
+            """Finish a file, and read it back for the digests of what it holds."""
+            nonlocal out, rows
+            out.write(stop * (-at % stride))
+            out.close()
+            with fs.open_input_file(f"{base}/{name}") as f:
+                done = [(*r, hashlib.sha256(f.read_at(r[5] * size, r[4] * size)).hexdigest()) for r in rows]
+            out, rows = None, []
+            kinds = [kind_of_id, pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), kinds)], names=["doc_id", "slot", "shard", "file", "first_id", "n_ids", "ids_sha256"])
 
         for batch in batches:
+            kind_of_id = batch.schema.types[0]
             for doc_id, slot, shard, ids in zip(*(c.to_pylist() for c in batch.columns)):
                 if shard != now:
-                    close()
+                    if out is not None:
+                        yield close()
                     now, at = shard, 0
                     name = f"shard-{shard:06d}-{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex}.bin"
                     out = fs.open_output_stream(f"{base}/{name}", compression=None, buffer_size=1 << 20)
                 out.write(ids + stop)
-                rows.append((doc_id, slot, shard, name, at, len(ids) // size, hashlib.sha256(ids).hexdigest()))
+                rows.append((doc_id, slot, shard, name, at, len(ids) // size))
                 at += len(ids) // size + 1
-            types = [batch.schema.types[0], pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 7, types)], names=["doc_id", "slot", "shard", "file", "first_id", "n_ids", "ids_sha256"])
-            rows = []
-        close()
+        if out is not None:
+            yield close()
 
     fs, base = _fs(path)
     fs.create_dir(base, recursive=True)
-    coded = docs.select("rid", id_col, F.col(text_col).cast("string")).mapInArrow(encode, f"doc_id {id_kind}, slot long, shard int, ids binary")
+    coded = docs.select("rid", id_col, text_col).mapInArrow(encode, f"doc_id {id_kind}, slot long, shard int, ids binary")
     ordered = coded.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
-    placed = Workspace(spark, "placement").save(ordered.mapInArrow(write, f"doc_id {id_kind}, slot long, shard int, file string, first_id long, n_ids long, ids_sha256 string"), "placed")
+    placed = ws.save(ordered.mapInArrow(write, f"doc_id {id_kind}, slot long, shard int, file string, first_id long, n_ids long, ids_sha256 string"), "placed")
     keep = {r.file for r in placed.select("file").distinct().toLocalIterator()}  # one name for each shard
     from pyarrow.fs import FileSelector
 

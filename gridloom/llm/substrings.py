@@ -1,4 +1,4 @@
-"""Substring deduplication: recurring word windows, located by sharded Aho-Corasick automata.
+"""Substring deduplication: recurring passages are confirmed and compiled to automata, which locate them.
 
 A window is ``WINDOW`` consecutive words. Words that a recurring window covers are
 removed. To find the recurring windows without moving all of them, each is filed under
@@ -7,39 +7,47 @@ windows have equal minimizers at equal places, so nothing is lost.
 
 1. Map: consecutive windows with one minimizer make a segment; rows (seed, segment
    hash, place). Only segments whose seed recurs go on (a count and an equi-join).
-2. Segments are grouped by (seed, hash). One that recurs whole has only recurring
-   windows. Where a seed has several different segments, one representative of each is
-   cut into its windows, and windows are counted over representatives.
-3. Each document gets the places of its recurring windows. Documents are dealt into
-   shards; a shard's automaton holds the confirmed 35-word phrases that cover its
-   documents' recurring runs, all documents of the shard stream through it, and every
-   occurrence that it reports is removed.
-
-Windows are compared by 128 bits of hash of all their words, and the automaton compares
-word for word. Counts are pre-aggregated on the map side, joins are equi-joins that
-adaptive execution splits, and nothing is broadcast or gathered; a document's own
-places are collected with the document. Texts travel compressed.
-
-A null text has no words. Repeated rows, and repeated ids, are documents of their own.
+2. Segments are grouped by (seed, hash) into kinds. Where a seed has several kinds, one
+   representative of each is cut into its windows, and windows are counted over
+   representatives; those of a kind that occurs more than once recur anyway.
+3. Phrases are the first window of each run of recurring windows in a kind, and the last
+   one where a document's run ends: they cover what all of the run's windows cover. The
+   words of a phrase are fetched from two different occurrences and compared word for
+   word; only phrases that are equal in both are confirmed.
+4. Documents are dealt into shards of about ``SHARD`` characters. For each shard the
+   distinct confirmed phrases of the kinds that occur anywhere in it are compiled to one
+   Aho-Corasick automaton. It knows no places: every document of the shard streams
+   through it whole, and every occurrence that it reports is removed.
+
+Work and shuffles are in proportion to the input, as a phrase goes only to shards in
+which its kind occurs. Candidate windows are compared by 128 bits of hash, phrases and
+occurrences word for word. Counts are pre-aggregated on the map side, joins are
+equi-joins that adaptive execution splits, and what is gathered for a document or shard
+is bounded by its own text. Texts travel compressed.
+
+A null text has no words. Repeated rows, and repeated or null ids, are documents of
+their own. An empty table gives no rows. Other columns are not read, so that their
+names can't clash.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import compress
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, sized, with_row_id
-from .words import WordHashes, mix, rolling, window_argmin
+from .common import Workspace, numbered, sized, trim
+from .words import BASE, WordHashes, mix, rolling, window_argmin
 
 WINDOW, SEED = 35, 8
-#: Characters of the documents that share an automaton.
-SHARD = 4_000_000
+#: Characters of the documents that share an automaton, and most windows of a segment.
+SHARD, LONGEST = 2_000_000, 62
 
 
 def segments(h: np.ndarray, window: int = WINDOW, seed: int = SEED) -> tuple[np.ndarray, ...]:
@@ -49,21 +57,26 @@ def segments(h: np.ndarray, window: int = WINDOW, seed: int = SEED) -> tuple[np.
         return (np.zeros(0, dtype=np.int64),) * 4
     s = rolling(h, seed)
     at = window_argmin(s, window - seed + 1)
-    first = np.flatnonzero(np.diff(at, prepend=-1))
+    # a run of windows with one minimizer is cut by how far before it they begin, which is the same wherever they occur
+    part = (at - np.arange(len(at))) // LONGEST
+    first = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0))
     last = np.append(first[1:], len(at)) - 1
     whole = mix(mix(w[first]) * np.uint64(5) + w[last] + (last - first).astype(np.uint64))
-    return s[at[first]].view(np.int64), whole.view(np.int64), first, last - first + 1
+    key = s[at[first]] + part[first].astype(np.uint64) * np.uint64(BASE)
+    return key.view(np.int64), whole.view(np.int64), first, last - first + 1
 
 
-def _packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(rid, id, z): the text, compressed for the way through a shuffle."""
+def _packed(docs: DataFrame, text_col: str, kind: str = "", id_col: str = "") -> DataFrame:
+    """(rid, [id,] z): the text, compressed for the way through a shuffle."""
+    names = ["rid", "id", "z"] if id_col else ["rid", "z"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([z.compress((t.as_py() or "").encode()) for t in batch.column(2)], pa.binary())], names=["rid", "id", "z"])
+            *keys, text = batch.columns
+            yield pa.RecordBatch.from_arrays([*keys, pa.array([z.compress((t.as_py() or "").encode()) for t in text], pa.binary())], names=names)
 
-    return docs.select("rid", F.col(id_col).alias("id"), F.col(text_col).cast("string")).mapInArrow(run, f"rid long, id {docs.schema[id_col].dataType.simpleString()}, z binary")
+    return docs.select("rid", *([id_col] if id_col else []), text_col).mapInArrow(run, "rid long, " + (f"id {kind}, " if id_col else "") + "z binary")
 
 
 def _all_segments(docs: DataFrame, text_col: str, window: int, seed: int) -> DataFrame:
@@ -78,115 +91,153 @@ def _all_segments(docs: DataFrame, text_col: str, window: int, seed: int) -> Dat
             cols = [np.concatenate(c) if c else np.zeros(0, dtype=np.int64) for c in zip(*out)]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(rid), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int32))], names=["seed", "seg", "rid", "a", "nw"])
 
-    return docs.select("rid", F.col(text_col).cast("string")).mapInArrow(run, "seed long, seg long, rid long, a int, nw int")
+    return docs.select("rid", text_col).mapInArrow(run, "seed long, seg long, rid long, a int, nw int")
 
 
 def _windows(reps: DataFrame, window: int) -> DataFrame:
-    """(w1, w2, cid, o): two hashes of each window of the listed segments, with its place in the segment."""
+    """(w1, w2, cid, o, rid, pos): two hashes of each window of the listed segments, its place in the segment and in the document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two, z = WordHashes(), WordHashes(1), zstandard.ZstdDecompressor()
         for batch in batches:
-            parts: list[list[np.ndarray]] = [[], [], [], []]
-            for data, listed in zip(batch.column(0), batch.column(1).to_pylist()):
+            parts: list[list[np.ndarray]] = [[], [], [], [], [], []]
+            for rid, data, listed in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 words = z.decompress(data.as_py()).split()
-                w1, w2 = rolling(one(words), window), rolling(two(words), window)
+                w1, w2 = rolling(one(words), window).view(np.int64), rolling(two(words), window).view(np.int64)
                 for x in listed:
                     a, nw = x["a"], x["nw"]
-                    for p, v in zip(parts, (w1[a : a + nw], w2[a : a + nw], np.full(nw, x["cid"], dtype=np.int64), np.arange(nw, dtype=np.int32))):
+                    for p, v in zip(parts, (w1[a : a + nw], w2[a : a + nw], np.full(nw, x["cid"]), np.arange(nw), np.full(nw, rid), np.arange(a, a + nw))):
                         p.append(v)
             cols = [np.concatenate(p) if p else np.zeros(0, dtype=np.int64) for p in parts]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0].view(np.int64)), pa.array(cols[1].view(np.int64)), pa.array(cols[2]), pa.array(cols[3].astype(np.int32))], names=["w1", "w2", "cid", "o"])
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(cols, ("i8", "i8", "i8", "i4", "i8", "i4"))], names=["w1", "w2", "cid", "o", "rid", "pos"])
+
+    return reps.select("rid", "z", "listed").mapInArrow(run, "w1 long, w2 long, cid long, o int, rid long, pos int")
+
+
+def _spelled(asked: DataFrame, window: int) -> DataFrame:
+    """(k1, k2, words): the words of the asked windows of each document."""
 
-    return reps.select("z", "listed").mapInArrow(run, "w1 long, w2 long, cid long, o int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdDecompressor()
+        for batch in batches:
+            rows = []
+            for data, listed in zip(batch.column(0), batch.column(1).to_pylist()):
+                words = z.decompress(data.as_py()).split()
+                rows += [(x["k1"], x["k2"], b" ".join(words[x["pos"] : x["pos"] + window])) for x in listed]
+            cols = list(zip(*rows)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()))], names=["k1", "k2", "words"])
 
+    return asked.select("z", "listed").mapInArrow(run, "k1 long, k2 long, words binary")
 
-def recurring(docs: DataFrame, ws: Workspace, text_col: str, window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """(rid, places): each document's segments with recurring windows, as (a, mask of window places)."""
-    if window - seed > 62:
-        raise ValueError("a segment's windows have to fit a mask of 63 bits")
+
+def confirmed(docs: DataFrame, ws: Workspace, text_col: str, per: int, window: int = WINDOW, seed: int = SEED) -> DataFrame:
+    """(block, words): for each block of ``per`` documents, the phrases that occur in it and, word for word, at two places at least."""
     every = ws.save(_all_segments(docs, text_col, window, seed), "segments")
     # counts are tables of their own: a join with an aggregate of the same keys would share its shuffle, which can't be split for a hot key
     seeds = sized(ws.save(every.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"), "seeds"))
     found = ws.save(every.join(seeds, "seed"), "found")
     ws.drop(every)
     ws.release()
-    kinds = ws.save(found.groupBy("seed", "seg", "nw").agg(F.count("*").alias("c"), F.min(F.struct("rid", "a")).alias("rep")).withColumn("cid", F.monotonically_increasing_id()), "kinds")
+    place = F.struct("rid", "a")
+    kinds = ws.save(found.groupBy("seed", "seg", "nw").agg(F.count("*").alias("c"), F.min(place).alias("rep"), F.max(place).alias("other")).withColumn("cid", F.monotonically_increasing_id()), "kinds")
     mixed = sized(ws.save(kinds.groupBy("seed").agg(F.count("*").alias("d")).where("d > 1").select("seed"), "mixed"))
+    packed = _packed(docs, text_col)
     reps = kinds.join(mixed, "seed").select(F.col("rep.rid").alias("rid"), F.struct("cid", F.col("rep.a").alias("a"), "nw").alias("x")).groupBy("rid").agg(F.collect_list("x").alias("listed"))
-    windows = ws.save(_windows(_packed(docs, "rid", text_col).select("rid", "z").join(reps, "rid"), window), "windows")
+    windows = ws.save(_windows(packed.join(reps, "rid"), window), "windows")
     ws.release()
-    twice = sized(ws.save(windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2"), "twice"))
-    partly = windows.join(twice, ["w1", "w2"]).groupBy("cid").agg(F.bit_or(F.expr("shiftleft(1L, o)")).alias("some"))
-    masks = ws.save(kinds.join(partly, "cid", "left").select("seed", "seg", "nw", F.when(F.col("c") > 1, F.lit(-1).cast("long")).otherwise(F.coalesce("some", F.lit(0).cast("long"))).alias("mask")).where("mask <> 0"), "masks")
+    at = F.struct("rid", "pos")
+    twice = ws.save(windows.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min(at).alias("rep"), F.max(at).alias("other")).where("n > 1").drop("n"), "twice")
+    hits = windows.join(sized(twice), ["w1", "w2"]).groupBy("cid").agg(F.collect_list(F.struct("o", "w1", "w2")).alias("hits"))
+    # runs of recurring windows in a kind: where they begin, and where they end
+    copied = kinds.where("c > 1").select("cid", "seed", "seg", "nw", F.array(F.struct(F.lit(0).alias("o"), F.col("cid").alias("k1"), F.lit(-1).cast("long").alias("k2"))).alias("heads"),
+                                         F.array(F.struct((F.col("nw") - 1).alias("o"), F.col("cid").alias("k1"), F.lit(-2).cast("long").alias("k2"))).alias("tails"))
+    edge = "transform(filter(hits, h -> not exists(hits, g -> g.o = h.o {} 1)), h -> struct(h.o as o, h.w1 as k1, h.w2 as k2))"
+    partly = kinds.where("c = 1").join(hits, "cid").select("cid", "seed", "seg", "nw", F.expr(edge.format("-")).alias("heads"), F.expr(edge.format("+")).alias("tails"))
+    runs = ws.save(copied.unionAll(partly), "runs")
     ws.drop(windows)
-    ws.drop(kinds)
-    places = ws.save(found.join(masks, ["seed", "seg", "nw"]).select("rid", "a", "nw", "mask"), "places")
+    # the last window of a segment is needed only where the document's next segment doesn't go on
+    order = Window.partitionBy("rid").orderBy("a")
+    placed = found.join(runs.select("cid", "seed", "seg", "nw", F.expr("exists(heads, h -> h.o = 0)").alias("on"), F.expr("exists(tails, h -> h.o = nw - 1)").alias("open")), ["seed", "seg", "nw"])
+    placed = placed.withColumn("goes", F.coalesce((F.lead("a").over(order) == F.col("a") + F.col("nw")) & F.lead("on").over(order), F.lit(False)))
+    needed = ws.save(placed.select(F.expr(f"rid div {per}").alias("block"), "cid", (F.col("open") & ~F.col("goes")).alias("ends")).distinct(), "needed")
     ws.drop(found)
     ws.release()
-    return places.groupBy("rid").agg(F.collect_list(F.struct("a", "nw", "mask")).alias("places"))
-
-
-def covers(places: list[dict], window: int) -> list[int]:
-    """Starts of windows that cover what the recurring windows at ``places`` cover."""
-    starts = sorted({x["a"] + o for x in places for o in range(x["nw"]) if x["mask"] >> o & 1})
-    out: list[int] = []
-    for i, s in enumerate(starts):
-        # a run goes on while windows touch or overlap; step by whole windows, and end flush
-        if not out or s >= out[-1] + window or i + 1 == len(starts) or starts[i + 1] > out[-1] + window:
-            out.append(s)
-    return out
-
-
-def locate(docs: list[list[bytes]], phrases: list[list[int]], window: int) -> list[np.ndarray]:
-    """Of each document, which words are covered by any of the phrases that start at ``phrases``."""
-    numbers: dict[bytes, int] = {}
-    coded = [tuple(numbers.setdefault(w, len(numbers) + 1) for w in d) for d in docs]
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-    for d, starts in zip(coded, phrases):
-        for s in starts:
-            automaton.add_word(d[s : s + window])
-    covered = []
-    if len(automaton):
-        automaton.make_automaton()
-    for d in coded:
-        edge = np.zeros(len(d) + 1, dtype=np.int32)
-        if len(automaton) and d:
-            for end, n in automaton.iter(d):
-                edge[end - n + 1] += 1
-                edge[end + 1] -= 1
-        covered.append(np.cumsum(edge[:-1]) > 0)
-    return covered
+    ends = F.expr("concat(heads, filter(tails, t -> ends or t.o < nw - 1))")
+    keys = ws.save(needed.join(runs.select("cid", "nw", "heads", "tails"), "cid").select("block", F.explode(ends).alias("k")).select("block", "k.k1", "k.k2").distinct(), "keys")
+    # two occurrences of each phrase, whose words are compared
+    whole = kinds.where("c > 1").select(F.col("cid").alias("k1"), F.explode(F.expr("array(struct(-1L as k2, 0 as o), struct(-2L as k2, nw - 1 as o))")).alias("k"), "rep", "other")
+    whole = whole.select("k1", "k.k2", F.explode(F.array("rep", "other")).alias("x"), F.col("k.o").alias("o")).select("k1", "k2", "x.rid", (F.col("x.a") + F.col("o")).alias("pos"))
+    single = twice.select(F.col("w1").alias("k1"), F.col("w2").alias("k2"), F.explode(F.array("rep", "other")).alias("x")).select("k1", "k2", "x.rid", "x.pos")
+    used = keys.select("k1", "k2").distinct()
+    asked = whole.unionAll(single).join(used, ["k1", "k2"]).groupBy("rid").agg(F.collect_list(F.struct("k1", "k2", "pos")).alias("listed"))
+    spelled = _spelled(packed.join(asked, "rid"), window).groupBy("k1", "k2").agg(F.min("words").alias("words"), F.max("words").alias("other"), F.count("*").alias("n"))
+    phrases = ws.save(spelled.where("n = 2 and words = other").select("k1", "k2", "words"), "phrases")
+    ws.drop(kinds)
+    ws.drop(twice)
+    ws.release()
+    return keys.join(phrases, ["k1", "k2"]).select("block", "words")
+
+
+class Phrases:
+    """An Aho-Corasick automaton over the distinct phrases of a shard."""
+
+    def __init__(self, phrases: list[bytes]):
+        self.numbers: dict[bytes, int] = {}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+        for p in phrases:
+            self.automaton.add_word(tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in p.split()))
+        if self.numbers:
+            self.automaton.make_automaton()
+
+    def covered(self, words: list[bytes]) -> np.ndarray | None:
+        """Which words an occurrence of a phrase covers; None if there is none."""
+        if not self.numbers or not words:
+            return None
+        get = self.numbers.get
+        hits = list(self.automaton.iter(tuple([get(w, 0) for w in words])))
+        if not hits:
+            return None
+        ends, n = np.array(hits, dtype=np.int64).T
+        edge = np.bincount(ends - n + 1, minlength=len(words) + 1)
+        edge -= np.bincount(ends + 1, minlength=len(words) + 1)
+        return np.cumsum(edge[:-1]) > 0
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept): ``kept`` is the words that stay, joined by one space, in UTF-8.
-
-    ``docs`` has to be a scan of files (see ``common.with_row_id``).
-    """
+    """(doc_id, n_words, n_removed, kept): ``kept`` is the words that stay, joined by one space, in UTF-8."""
     ws = Workspace(docs.sparkSession, "substrings")
-    docs = with_row_id(docs)
-    places = recurring(docs, ws, text_col, window, seed)
-    joined = _packed(docs, id_col, text_col).join(places, "rid", "left").select("id", "z", "places")
-
-    def shard(rows: list[tuple], types) -> pa.RecordBatch:
-        words = [w for _, w, _ in rows]
-        covered = locate(words, [covers(p or [], window) for _, _, p in rows], window)
-        kept = [b" ".join(np.array(w, dtype=object)[~c].tolist()) if c.any() else b" ".join(w) for w, c in zip(words, covered)]
-        return pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in rows], types), pa.array(list(map(len, words)), pa.int64()), pa.array([int(c.sum()) for c in covered], pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
+    kind = docs.schema[id_col].dataType.simpleString()
+    docs = numbered(docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col)), ws)
+    n, size = docs.agg(F.count("*"), F.sum(F.length(text_col))).first()
+    per = max(1, SHARD * n // max(size or 0, 1))
+    phrases = confirmed(docs, ws, text_col, per, window, seed)
+    block = F.expr(f"rid div {per}").alias("block")
+    texts = _packed(docs, text_col, kind, id_col).select(block, F.lit(1).alias("part"), "id", "z")
+    # a shard's phrases come before its documents
+    both = texts.unionAll(phrases.select("block", F.lit(0).alias("part"), F.lit(None).cast(kind).alias("id"), F.col("words").alias("z")))
+    dealt = both.repartition("block").sortWithinPartitions("block", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z, rows, size, types = zstandard.ZstdDecompressor(), [], 0, None
+        z, now, given, automaton = zstandard.ZstdDecompressor(), None, set(), None
         for batch in batches:
-            types = batch.schema.types[0]
-            for i, data, p in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                text = z.decompress(data.as_py())
-                rows.append((i, text.split(), p.as_py()))
-                size += len(text)
-                if size > SHARD:
-                    yield shard(rows, types)
-                    rows, size = [], 0
-        if rows:
-            yield shard(rows, types)
-
-    return joined.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_words long, n_removed long, kept binary")
+            ids, counts, removed, left = [], [], [], []
+            for shard, part, i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                if shard != now:
+                    now, given, automaton = shard, set(), None
+                if part == 0:
+                    given.add(data.as_py())
+                    continue
+                if automaton is None:
+                    automaton = Phrases(sorted(given))
+                    given = set()
+                words = z.decompress(data.as_py()).split()
+                gone = automaton.covered(words)
+                ids.append(i)
+                counts.append(len(words))
+                removed.append(0 if gone is None else int(gone.sum()))
+                left.append(b" ".join(words if gone is None else compress(words, (~gone).tolist())))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.types[2]), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(left, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
+            del ids, counts, removed, left
+            trim()
+
+    return dealt.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept binary")

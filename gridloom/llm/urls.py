@@ -213,8 +213,8 @@ def fit_on(urls: DataFrame, url_col: str = "url", label_col: str | None = None,
     """Suffix shares of all rows, and trees of at most ``sample`` rows of a scan, chosen by hash; without labels the seed list labels them."""
     spark = urls.sparkSession
     some = urls.select(F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("u"), (F.col(label_col) if label_col else F.lit(None)).cast("int").alias("y"))
-    rows = sampled(some, sample)
     ws = Workspace(spark, "urls")
+    rows = sampled(some, sample, ws)
     counts = ws.save(suffix_counts(some), "suffixes")
     few = counts.count() <= common.BROADCAST_ROWS
     wanted = counts

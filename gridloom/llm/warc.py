@@ -2,22 +2,31 @@
 
 The writer gives every task a gzip archive with one member per record, whose extra
 field ``sl`` holds the member's length. Archives of failed or repeated attempts are
-deleted when the write commits, so a lost executor leaves no double records.
-
-The reader plans partitions of whole files, takes pushed predicates on header fields,
-inflates only the headers of a record first, and jumps over the member when a predicate
-rejects it; a payload is inflated only where it is wanted (option ``payload``: ``full``
-returns it, ``verify`` compares it with its digest, ``skip`` leaves it packed).
-
-Null payloads count as empty, null urls have no target header, null page ids have a
-record id without number and come last when the first of equal payloads is chosen.
-Repeated rows are records of their own: one is the response, the others revisit it.
+deleted when the write commits, so a lost executor leaves no double records. Record ids
+are unique: they are made of the write and the row's number.
+
+The reader plans partitions of whole files, takes pushed predicates on header fields
+(equality, lists, nulls, ranges, prefixes), inflates only the headers of a record first,
+and jumps over the rest when a predicate rejects it; a payload is inflated only where it
+is wanted (option ``payload``: ``full`` returns it, ``verify`` compares it with its
+digest, ``skip`` leaves it packed). It reads any archive: gzip by record or as a whole,
+or not packed, all record types, header names in any case. Of an HTTP record the payload
+is what follows the HTTP headers, of others the block; of a revisit there is none, and
+its length is what the HTTP headers say. ``page_id`` and ``refers_to`` are headers of
+the writer's own (``X-Page-Id``), null in other archives.
+
+Page ids are integers; a column of another type raises ``ValueError``. Null payloads
+count as empty, null urls have no target header, null page ids have no id header and
+come last when the first of equal payloads is chosen. Repeated rows are records of their
+own: one is the response, the others revisit it. An empty table gives no records; only
+the three named columns are read, so that further ones can't clash.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import operator
 import re
 import struct
 import uuid
@@ -28,9 +37,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, IsNull
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, StringStartsWith
+from pyspark.sql.types import IntegralType
 
-from .common import Workspace, sized, with_row_id
+from .common import Workspace, numbered, sized
 
 #: An archive is closed beyond so many bytes, and a partition reads files of so many.
 ROLL, PLAN = 128 << 20, 64 << 20
@@ -52,14 +62,18 @@ def member(record: bytes) -> bytes:
     return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H2sHQ", 12, b"sl", 8, 24 + len(body)) + body
 
 
-def record(page_id, url, payload: bytes, digest: str, refers_to, revisit: bool, date: str) -> bytes:
-    block = HTTP + b"Content-Length: %d\r\n\r\n" % len(payload) + (b"" if revisit else payload)
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {date}"]
+def record(name: str, page_id, url, payload: bytes, digest: str, response: tuple | None, date: str) -> bytes:
+    """A record; ``response`` is (record name, page id) of what a revisit refers to."""
+    block = HTTP + b"Content-Length: %d\r\n\r\n" % len(payload) + (b"" if response else payload)
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if response else 'response'}", f"WARC-Record-ID: <{name}>", f"WARC-Date: {date}"]
     if url is not None:
         head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
-    head += [f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {len(payload)}"]
-    if revisit:
-        head += [f"WARC-Refers-To: <urn:page:{'' if refers_to is None else refers_to}>", f"WARC-Profile: {PROFILE}"]
+    head.append(f"WARC-Payload-Digest: sha1:{digest}")
+    if response:
+        head += [f"WARC-Refers-To: <{response[0]}>", f"WARC-Profile: {PROFILE}"]
+    for field, value in (("X-Page-Id", page_id), ("X-Refers-To-Page-Id", response[1] if response else None)):
+        if value is not None:
+            head.append(f"{field}: {value}")
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -68,27 +82,30 @@ def write_warc(pages: DataFrame, path: str, least: int = 0, date: str = "2024-01
     """Write a record per row of (page_id, url, html) below ``path``; returns the manifest.
 
     Of payloads that are equal and have ``least`` bytes or more, the one with the smallest
-    page_id is a response and the others revisit it. ``pages`` has to be a scan of files.
+    page_id is a response and the others revisit it.
     """
-    spark = pages.sparkSession
+    spark, ws, made = pages.sparkSession, Workspace(pages.sparkSession, "warc-copies"), uuid.uuid4()
+    if not isinstance(pages.schema["page_id"].dataType, IntegralType):
+        raise ValueError("page_id has to be an integer column")
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
-    rows = with_row_id(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))).withColumn("sha", F.unhex(F.sha1("payload")))
+    rows = numbered(pages.select("page_id", "url", "html"), ws).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), "rid").withColumn("sha", F.unhex(F.sha1("payload")))
     first = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "rid"))
     copied = rows.where(F.octet_length("payload") >= least).groupBy("sha").agg(F.count("*").alias("n"), first.alias("first")).where("n > 1").select("sha", F.col("first.page_id").alias("first_id"), F.col("first.rid").alias("first_rid"))
-    copied = sized(Workspace(spark, "warc-copies").save(copied, "copied"))  # a row for each payload that occurs more than once
-    joined = rows.join(copied, "sha", "left").select("page_id", "url", "payload", "sha", F.when(F.col("rid") != F.col("first_rid"), F.col("first_id")).alias("refers_to"), F.coalesce(F.col("rid") != F.col("first_rid"), F.lit(False)).alias("revisit"))
+    copied = sized(ws.save(copied, "copied"))  # a row for each payload that occurs more than once
+    joined = rows.join(copied, "sha", "left").select("rid", "page_id", "url", "payload", "sha", F.when(F.col("rid") != F.col("first_rid"), F.col("first_rid")).alias("first_rid"), "first_id")
     _fs(path)[0].create_dir(_fs(path)[1], recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _fs(path)
         done, out, size, n, name = [], None, 0, 0, ""
         for batch in batches:
-            for page_id, url, data, sha, refers_to, revisit in zip(*(c.to_pylist() for c in batch.columns)):
+            for rid, page_id, url, data, sha, first_rid, first_id in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None:
                     # the name is never used by another attempt
                     name = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
                     out, size, n = fs.open_output_stream(f"{base}/{name}", compression=None), 0, 0
-                packed = member(record(page_id, url, data, base64.b32encode(sha).decode(), refers_to, revisit, date))
+                response = None if first_rid is None else (uuid.uuid5(made, str(first_rid)).urn, first_id)
+                packed = member(record(uuid.uuid5(made, str(rid)).urn, page_id, url, data, base64.b32encode(sha).decode(), response, date))
                 out.write(packed)
                 size, n = size + len(packed), n + 1
                 if size > ROLL:
@@ -123,25 +140,25 @@ class Files(InputPartition):
 
 
 class WarcReader(DataSourceReader):
-    #: Columns that headers alone decide.
-    HEADERS = {"page_id", "record_type", "target_uri", "date", "payload_digest", "payload_length", "refers_to"}
+    #: Columns that record headers alone decide.
+    HEADERS = {"page_id", "record_type", "target_uri", "date", "payload_digest", "refers_to"}
+    TESTS = {
+        EqualTo: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt, LessThanOrEqual: operator.le,
+        In: lambda x, values: x in values, StringStartsWith: str.startswith,
+    }
 
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
         self.mode = options.get("payload", "full")
         if self.mode not in ("full", "verify", "skip"):
             raise ValueError("payload has to be full, verify or skip")
-        self.wanted: list[tuple[str, str, object]] = []
+        self.wanted: list[tuple[str, type, object]] = []
 
     def pushFilters(self, filters):
         for f in filters:
             at = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
-            if at in self.HEADERS and isinstance(f, EqualTo):
-                self.wanted.append((at, "in", {f.value}))
-            elif at in self.HEADERS and isinstance(f, In):
-                self.wanted.append((at, "in", set(f.value)))
-            elif at in self.HEADERS and isinstance(f, (IsNull, IsNotNull)):
-                self.wanted.append((at, "null", isinstance(f, IsNull)))
+            if at in self.HEADERS and type(f) in (IsNull, IsNotNull, *self.TESTS):
+                self.wanted.append((at, type(f), getattr(f, "value", None)))
             else:
                 yield f
 
@@ -157,7 +174,15 @@ class WarcReader(DataSourceReader):
         return [Files(x) for x in out]
 
     def accepts(self, head: dict) -> bool:
-        return all((head[at] in what) if how == "in" else ((head[at] is None) == what) for at, how, what in self.wanted)
+        for at, kind, value in self.wanted:
+            x = head[at]
+            if kind in (IsNull, IsNotNull):
+                ok = (x is None) == (kind is IsNull)
+            else:
+                ok = x is not None and value is not None and self.TESTS[kind](x, value)
+            if not ok:
+                return False
+        return True
 
     def read(self, partition):
         fs, base = _fs(self.path)
@@ -166,9 +191,7 @@ class WarcReader(DataSourceReader):
         rows, size = [], 0
         for name in partition.names:
             with fs.open_input_file(f"{base}/{name}") as f:
-                for head, payload in records(f, self.accepts, self.mode != "skip"):
-                    if self.mode == "verify":
-                        payload = None
+                for head, payload in records(f, self.accepts, self.mode):
                     rows.append({**head, "payload": payload})
                     size += len(payload or b"") + 200
                     if size > 4 << 20:
@@ -178,56 +201,135 @@ class WarcReader(DataSourceReader):
             yield pa.RecordBatch.from_pylist(rows, schema=types).select(names)
 
 
-def records(f, accepts, decode: bool) -> Iterator[tuple[dict, bytes | None]]:
-    """(header fields, payload) of the accepted records of an open archive."""
-    at, end = 0, f.size()
-    while at < end:
-        f.seek(at)
-        raw = f.read(8192)
-        skip = struct.unpack("<Q", raw[16:24])[0] if raw[3:4] == b"\x04" and raw[12:14] == b"sl" else None
-        z, data = zlib.decompressobj(31), b""
-        while b"\r\n\r\n" not in data and not z.eof:
-            data += z.decompress(raw, 4096)
-            raw = z.unconsumed_tail or f.read(8192)
-            if not raw and not z.eof:
+class Archive:
+    """The bytes of an open archive, inflated only as far as they are asked for."""
+
+    def __init__(self, f):
+        self.f, self.raw, self.data, self.z = f, b"", bytearray(), None
+        #: where the gzip member ends that the present record fills, if it says so
+        self.after: int | None = None
+        self.plain = f.read(2) != b"\x1f\x8b"
+        f.seek(0)
+
+    def more(self, most: int) -> bool:
+        """Add to ``data``; false at the end of the archive."""
+        if self.plain:
+            got = self.f.read(most)
+            self.data += got
+            return bool(got)
+        if self.z is None:
+            begin = self.f.tell() - len(self.raw)
+            self.raw += self.f.read(8192)
+            if not self.raw.strip(b"\0"):
+                return False
+            sl = self.raw[3:4] == b"\x04" and self.raw[12:14] == b"sl" and not self.data
+            self.after = begin + struct.unpack("<Q", self.raw[16:24])[0] if sl else None
+            self.z = zlib.decompressobj(31)
+        if not self.raw:
+            self.raw = self.f.read(1 << 16)
+            if not self.raw:
+                raise ValueError("an archive is cut short")
+        self.data += self.z.decompress(self.raw, most)
+        self.raw = self.z.unconsumed_tail
+        if self.z.eof:
+            self.raw, self.z = self.z.unused_data, None
+        return True
+
+    def line_end(self, begin: int) -> int:
+        """Where the empty line is that ends the headers from ``begin`` on; -1 without one."""
+        while (at := self.data.find(b"\r\n\r\n", begin)) < 0:
+            begin = max(begin, len(self.data) - 3)
+            if not self.more(4096):
+                return -1
+        return at
+
+    def headers(self) -> bytes | None:
+        """The next record's headers; None at the end."""
+        while not (rest := self.data.lstrip(b"\r\n")):
+            self.data.clear()
+            if not self.more(4096):
+                return None
+        self.data = rest
+        at = self.line_end(0)
+        if at < 0:
+            raise ValueError("an archive is cut short")
+        head = bytes(self.data[:at])
+        del self.data[: at + 4]
+        return head
+
+    def has(self, n: int) -> None:
+        while len(self.data) < n:
+            if not self.more(1 << 20):
                 raise ValueError("an archive is cut short")
-        header, _, block = data.partition(b"\r\n\r\n")
-        fields = dict(x.split(": ", 1) for x in header.decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
-        head = _parsed(fields)
-        wanted = accepts(head)
-        if skip is None or wanted and decode and head["record_type"] != "revisit":
-            parts = [block]
-            if not z.eof:
-                parts.append(z.decompress(raw))
-            while not z.eof:
-                raw = f.read(1 << 16)
-                if not raw:
-                    raise ValueError("an archive is cut short")
-                parts.append(z.decompress(raw))
-            at = f.tell() - len(z.unused_data) if skip is None else at + skip
-            block = b"".join(parts)[: int(fields["Content-Length"])]
-        else:
-            at += skip
-            block = None
-        if not wanted:
+
+    def skip(self, n: int) -> None:
+        """Go on behind the ``n`` bytes that follow."""
+        if self.after is not None:
+            self.f.seek(self.after)
+            self.raw, self.z, self.after = b"", None, None
+            self.data.clear()
+            return
+        while n > len(self.data):
+            n -= len(self.data)
+            self.data.clear()
+            if self.plain:
+                self.f.seek(self.f.tell() + n)
+                return
+            self.has(1)
+        del self.data[:n]
+
+
+def fields(head: bytes) -> dict[str, str]:
+    """Header fields by lower-case name; a line that begins with white space goes on the one before."""
+    text = re.sub(r"\r\n[ \t]+", " ", head.decode("utf-8", "replace"))
+    return {k.strip().lower(): v.strip() for k, c, v in (x.partition(":") for x in text.split("\r\n")[1:]) if c}
+
+
+def records(f, accepts, mode: str) -> Iterator[tuple[dict, bytes | None]]:
+    """(header fields, payload) of the accepted records of an open archive."""
+    archive = Archive(f)
+    while (raw := archive.headers()) is not None:
+        named = fields(raw)
+        size, head = int(named["content-length"]), _parsed(named)
+        if not accepts(head):
+            archive.skip(size)
             continue
-        payload = None
-        if decode and head["record_type"] != "revisit" and block is not None:
-            payload = block.partition(b"\r\n\r\n")[2]
-            if base64.b32encode(hashlib.sha1(payload).digest()).decode() != head["payload_digest"] or len(payload) != head["payload_length"]:
-                raise ValueError(f"the payload of record {fields['WARC-Record-ID']} differs from its digest")
+        begin, http = 0, {}
+        if named.get("content-type", "").lower().startswith("application/http"):
+            at = archive.line_end(0)
+            if 0 <= at <= size - 4:
+                begin, http = at + 4, fields(bytes(archive.data[:at]))
+        payload, head["payload_length"] = None, size - begin
+        if head["record_type"] == "revisit":
+            said = http.get("content-length", "")
+            head["payload_length"] = int(said) if said.isdigit() else None
+        elif mode != "skip":
+            archive.has(size)
+            payload = bytes(archive.data[begin:size])
+            if mode == "verify":
+                verify(payload, named)
+                payload = None
+        archive.skip(size)
         yield head, payload
 
 
-def _parsed(fields: dict[str, str]) -> dict:
-    def number(urn: str | None):
-        m = re.search(r"(-?\d+)>", urn or "")
-        return int(m[1]) if m else None
+def verify(payload: bytes, named: dict[str, str]) -> None:
+    """ValueError if the payload differs from its digest, in base 32 or hexadecimal digits of a known algorithm."""
+    kind, _, digest = named.get("warc-payload-digest", "").partition(":")
+    if kind.lower() not in ("sha1", "sha256", "sha512", "md5"):
+        return
+    own = hashlib.new(kind.lower(), payload)
+    if digest.upper().rstrip("=") not in (base64.b32encode(own.digest()).decode().rstrip("="), own.hexdigest().upper()):
+        raise ValueError(f"the payload of record {named.get('warc-record-id')} differs from its digest")
+
+
+def _parsed(named: dict[str, str]) -> dict:
+    def number(field: str):
+        return int(named[field]) if re.fullmatch(r"-?\d+", named.get(field, "")) else None
 
     return {
-        "page_id": number(fields.get("WARC-Record-ID")), "record_type": fields.get("WARC-Type"), "target_uri": fields.get("WARC-Target-URI"),
-        "date": fields.get("WARC-Date"), "payload_digest": (fields.get("WARC-Payload-Digest") or "").removeprefix("sha1:") or None,
-        "payload_length": int(fields["WARC-Payload-Length"]) if "WARC-Payload-Length" in fields else None, "refers_to": number(fields.get("WARC-Refers-To")),
+        "page_id": number("x-page-id"), "record_type": named.get("warc-type"), "target_uri": named.get("warc-target-uri"), "date": named.get("warc-date"),
+        "payload_digest": named.get("warc-payload-digest", "").removeprefix("sha1:") or None, "refers_to": number("x-refers-to-page-id"),
     }
 
 
@@ -245,7 +347,13 @@ class WarcDataSource(DataSource):
         return WarcReader(self.options)
 
 
-def read_warc(spark: SparkSession, path: str, payload: str = "full") -> DataFrame:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+def read_warc(spark: SparkSession, path: str, payload: str = "full", pushdown: bool = True) -> DataFrame:
+    """The records of the archives below ``path``.
+
+    Spark passes predicates to a Python source only where ``spark.sql.python.filterPushdown.enabled``
+    is true; ``pushdown`` sets that for the session, without it the session is left as it is.
+    """
+    if pushdown:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)
     return spark.read.format("gridloom_warc").option("payload", payload).load(path)

@@ -210,29 +210,8 @@ def test_bounded_samples(spark, tmp_path):
 
     spark.range(5000).selectExpr("id % 7 as x").repartition(5).write.parquet(str(tmp_path / "t"))
     df = spark.read.parquet(str(tmp_path / "t"))
-    some = sampled(df, 300)
-    assert len(some) == 300 and [tuple(r) for r in some] == [tuple(r) for r in sampled(df, 300)]
-    assert len(sampled(df, 9000)) == 5000 and len({r["__rid"] for r in some}) == 300
+    ws = simhash.Workspace(spark, "t")
+    some = sampled(df, 300, ws)
+    assert len(some) == 300 and [tuple(r) for r in some] == [tuple(r) for r in sampled(df, 300, ws)]
+    assert len(sampled(df, 9000, ws)) == 5000 and len({r["__rid"] for r in some}) == 300
     assert sized(df).count() == 5000
-
-
-def test_row_ids_when_cores_change(spark, tmp_path):
-    """Executors that come between two evaluations of a scan don't change its row ids."""
-    from gridloom.llm.common import with_row_id
-
-    cores, pinned = "spark.sql.leafNodeDefaultParallelism", "spark.sql.files.minPartitionNum"
-    spark.range(400).repartition(8).write.parquet(str(tmp_path / "t"))
-    was = spark.conf.get(pinned, None)
-    try:
-        spark.conf.unset(pinned)
-        spark.conf.set(cores, "1")
-        df = with_row_id(spark.read.parquet(str(tmp_path / "t")))
-        first = {r.id: r.rid for r in df.collect()}
-        spark.conf.set(cores, "8")
-        assert {r.id: r.rid for r in df.select("*").collect()} == first and len(set(first.values())) == 400
-        assert {r.id: r.rid for r in with_row_id(spark.read.parquet(str(tmp_path / "t"))).collect()} == first
-    finally:
-        spark.conf.unset(cores)
-        spark.conf.unset(pinned)
-        if was is not None:
-            spark.conf.set(pinned, was)

@@ -199,26 +199,96 @@ def test_warc_empty_and_plain(spark, tmp_path):
     assert warc.read_warc(spark, path).count() == 0
 
 
-def test_reader_without_lengths(tmp_path):
-    """Archives of other writers: members that don't say how long they are."""
+def test_equal_payloads_when_cores_change(spark, tmp_path):
+    """Every repeated payload keeps its one response, however the scan is cut the second time."""
+    cores = "spark.sql.leafNodeDefaultParallelism"
+    rows = [(i, "u", f"page {i % 50} " + "x" * 500) for i in range(400)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8).write.parquet(str(tmp_path / "t"))
+    path = Workspace(spark, "warc-test").path
+    kept = warc.sized
+
+    def later(df):  # between the choice of responses and the writing
+        spark.conf.set(cores, "1")
+        return kept(df)
+
+    try:
+        spark.conf.set(cores, "8")
+        warc.sized = later
+        pages = spark.read.parquet(str(tmp_path / "t"))
+        warc.write_warc(pages.unionAll(pages), path)
+        back = warc.read_warc(spark, path, "verify").collect()
+    finally:
+        warc.sized = kept
+        spark.conf.unset(cores)
+    assert len(back) == 800 and sorted(r.page_id for r in back if r.record_type == "response") == list(range(50))
+    assert all(r.refers_to == r.page_id % 50 for r in back if r.record_type == "revisit")
+
+
+def test_odd_page_ids(spark, tmp_path):
+    words = spark.createDataFrame([("a", "u", "x")], "page_id string, url string, html string")
+    with pytest.raises(ValueError, match="integer"):
+        warc.write_warc(words, Workspace(spark, "warc-test").path)
+    none = spark.createDataFrame([(None, "u", "x"), (None, "u", "x"), (None, None, "y" * 3_000_000), (1, "u", "x")], "page_id int, url string, html string")
+    path = Workspace(spark, "warc-test").path
+    warc.write_warc(none, path)
+    back = warc.read_warc(spark, path).collect()
+    assert sorted(((r.page_id, r.record_type, r.refers_to, r.payload_length) for r in back), key=str) == [(1, "response", None, 1), (None, "response", None, 3_000_000), (None, "revisit", 1, 1), (None, "revisit", 1, 1)]
+    names = [h for f in warc._files(*warc._fs(path)) for h in record_names(warc._fs(path)[1] + "/" + f)]
+    assert len(names) == 4 == len(set(names))
+
+
+def record_names(path):
+    return [line for line in gzip.open(path).read().split(b"\r\n") if line.startswith(b"WARC-Record-ID")]
+
+
+def foreign():
+    """Records as other writers make them: (record, type, payload)."""
+    http = "HTTP/1.1 200 OK\r\ncontent-type: text/html\r\n\r\n"
+    out = [("WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Type: application/warc-fields\r\nContent-Length: 12\r\n\r\nsoftware: x\n\r\n\r\n", "warcinfo", "software: x\n")]
+    for n in (0, 5, 9000, 70_000):
+        payload = "p" * n
+        out.append((f"WARC/1.1\r\nwarc-type: response\r\nWARC-TARGET-URI: http://a/{n}\r\nWarc-Payload-Digest: sha1:{digest(payload.encode())}\r\nContent-Type:application/http;\r\n msgtype=response\r\ncontent-length: {len(http) + n}\r\n\r\n{http}{payload}\r\n\r\n", "response", payload))
+    out.append((f"WARC/1.1\r\nWARC-Type: revisit\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: {len(http)}\r\n\r\n{http}\r\n\r\n", "revisit", None))
+    out.append(("WARC/1.1\r\nWARC-Type: metadata\r\nContent-Type: text/plain\r\nContent-Length: 10\r\n\r\na\r\n\r\nb: c\n\r\n\r\n", "metadata", "a\r\n\r\nb: c\n"))
+    return [(a.encode(), b, c if c is None else c.encode()) for a, b, c in out]
+
+
+@pytest.mark.parametrize("kind", ["members", "whole", "plain"])
+def test_archives_of_other_writers(spark, tmp_path, kind):
+    data = [r for r, _, _ in foreign()]
+    name, packed = {"members": ("a.warc.gz", b"".join(map(gzip.compress, data))), "whole": ("a.warc.gz", gzip.compress(b"".join(data))), "plain": ("a.warc", b"".join(data))}[kind]
+    (tmp_path / name).write_bytes(packed)
+    got = [(r.record_type, r.payload if r.payload is None else bytes(r.payload)) for r in warc.read_warc(spark, str(tmp_path)).collect()]
+    assert got == [(t, p) for _, t, p in foreign()]
+    skipped = warc.read_warc(spark, str(tmp_path), "skip").where("target_uri like 'http://a/9%' or record_type = 'metadata'").select("record_type", "payload_length", "page_id").collect()
+    assert [tuple(r) for r in skipped] == [("response", 9000, None), ("metadata", 10, None)]
+    assert [r.payload_length for r in warc.read_warc(spark, str(tmp_path), "skip").where("target_uri >= 'http://a/5'").collect()] == [5, 70_000, 9000][:1] + [9000, 70_000]
+    assert warc.read_warc(spark, str(tmp_path), "verify").count() == len(data)
+
+
+def test_digests_are_verified(tmp_path):
     import pyarrow as pa
 
-    data = [warc.record(i, "u", b"p" * i * 9000, digest(b"p" * i * 9000), None, False, "2024") for i in range(5)]
-    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(d) for d in data))
-    with pa.OSFile(str(tmp_path / "a.warc.gz")) as f:
-        assert [(h["page_id"], len(p)) for h, p in warc.records(f, lambda h: h["page_id"] != 3, True)] == [(0, 0), (1, 9000), (2, 18000), (4, 36000)]
-    broken = data[2].replace(b"pppp", b"pqpp", 1)
-    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(broken))
-    with pa.OSFile(str(tmp_path / "b.warc.gz")) as f, pytest.raises(ValueError, match="digest"):
-        list(warc.records(f, lambda h: True, True))
+    data = warc.record("urn:x", 2, "u", b"pppp", digest(b"pppp"), None, "2024")
+    assert list(warc.records(pa.BufferReader(data), lambda h: True, "verify"))[0][0]["page_id"] == 2
+    broken = data.replace(b"pppp", b"pqpp", 1)
+    assert list(warc.records(pa.BufferReader(broken), lambda h: True, "full"))[0][1] == b"pqpp"
+    with pytest.raises(ValueError, match="digest"):
+        list(warc.records(pa.BufferReader(broken), lambda h: True, "verify"))
+    with pytest.raises(ValueError, match="cut short"):
+        list(warc.records(pa.BufferReader(data[:-10]), lambda h: True, "full"))
+    warc.verify(b"x", {"warc-payload-digest": "sha256:" + hashlib.sha256(b"x").hexdigest()})
+    warc.verify(b"x", {"warc-payload-digest": "crc:1"})
 
 
 def test_pushdown():
-    from pyspark.sql.datasource import EqualTo, GreaterThan
+    from pyspark.sql.datasource import EqualTo, GreaterThan, StringStartsWith
 
     r = warc.WarcReader({"path": "/x"})
-    left = list(r.pushFilters([EqualTo(("record_type",), "response"), GreaterThan(("payload_length",), 5), EqualTo(("payload",), b"")]))
-    assert [type(f).__name__ for f in left] == ["GreaterThan", "EqualTo"] and r.wanted == [("record_type", "in", {"response"})]
+    left = list(r.pushFilters([EqualTo(("record_type",), "response"), GreaterThan(("payload_length",), 5), EqualTo(("payload",), b""), StringStartsWith(("target_uri",), "http:"), GreaterThan(("date",), "2024")]))
+    assert [type(f).__name__ for f in left] == ["GreaterThan", "EqualTo"] and len(r.wanted) == 3
+    head = {"record_type": "response", "target_uri": "http://x", "date": "2025"}
+    assert r.accepts(head) and not r.accepts(head | {"date": None}) and not r.accepts(head | {"target_uri": "ftp://x"})
     with pytest.raises(ValueError, match="payload"):
         warc.WarcReader({"path": "/x", "payload": "other"})
 
