@@ -12,11 +12,11 @@ from .operators.maps import broadcast, map_cells
 from .operators.moving import rolling, windowed
 from .operators.resample import Axis, interpolate, pyramid
 from .operators.windowed import InputArray, OutWindows, windowed_op
-from .operators.windows import Labels, Points, Ranges, Regular, Repeated, Sliding, Tumbling, Whole
-from .sources.layout import rechunk, run_blocks, write_cube
+from .operators.windows import Formula, InTable, Labels, Points, Ranges, Regular, Repeated, Sliding, Tumbling, Whole
+from .sources.layout import copy_to, planned_chunks, rechunk, run_blocks, write_cube
 
 __all__ = [
-    "Axis", "Cube", "InputArray", "Labels", "OutWindows", "Points", "Ranges", "Regular", "Repeated", "Sliding", "Tumbling", "Whole",
-    "aggregate", "broadcast", "count_map", "create_function", "interpolate", "map_cells", "mapreduce", "mapslices", "median",
+    "Axis", "Cube", "Formula", "InTable", "InputArray", "Labels", "OutWindows", "Points", "Ranges", "Regular", "Repeated", "Sliding", "Tumbling", "Whole",
+    "aggregate", "broadcast", "copy_to", "count_map", "create_function", "interpolate", "map_cells", "mapreduce", "mapslices", "median", "planned_chunks",
     "pyramid", "rechunk", "rolling", "run_blocks", "stat", "windowed", "windowed_op", "write_cube", "zonal",
 ]

@@ -11,12 +11,13 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bins of the histogram behind the approximate median.
-HISTOGRAM_BINS = 200
+#: The approximate median's rank is off by less than one in ACCURACY.
+ACCURACY = 10_000
 
 Expr = Callable[[Column], Column]
 
@@ -26,7 +27,7 @@ _ONE: dict[str, Expr] = {
     "minimum": F.min,
     "maximum": F.max,
     "median": F.median,
-    "median_approx": lambda x: F.percentile_approx(x, 0.5, 10_000),
+    "median_approx": lambda x: F.percentile_approx(x, 0.5, ACCURACY),
     "mode": lambda x: F.mode(x, True),
     "nvalid": F.count,
     "variance": F.var_samp,
@@ -73,8 +74,10 @@ def expressions(name: str | Expr, value: str, skipmissing: bool) -> dict[str, Co
 class Mergeable:
     """A statistic given by zero, fit(acc, x), merge(acc, acc) and finish(acc).
 
-    Each partition folds its rows into one accumulator a group; accumulators of a group
-    then meet in one task, so what is shuffled is a row for each group and partition.
+    Rows are sorted by group within each partition, so that a task holds one accumulator
+    at a time; accumulators of a group then meet in one task, so what is shuffled is a row
+    for each group and partition. ``fit_many(acc, array)`` takes a whole array of a
+    group's values at once, where ``fit`` is called for each.
     """
 
     zero: Callable[[], Any]
@@ -84,6 +87,7 @@ class Mergeable:
     kind: str = "double"
     preproc: Callable[[float], float] | None = None
     skipmissing: bool = True
+    fit_many: Callable[[Any, np.ndarray], Any] | None = None
 
     def aggregate(self, df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
         import pickle
@@ -91,23 +95,38 @@ class Mergeable:
         keys = list(keys) or ["__all"]
         rows = df if keys != ["__all"] else df.withColumn("__all", F.lit(1))
         key_kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
-
-        def missing(x) -> bool:
-            return x is None or x != x or x in (float("inf"), float("-inf"))
+        whole = [rows.schema[k].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") for k in keys]
+
+        def named(key) -> tuple:
+            return tuple(None if pd.isna(k) else int(k) if w else k for k, w in zip(key, whole))
+
+        def folded(acc, x: np.ndarray):
+            if self.preproc:
+                x = np.array([self.preproc(v) for v in x.tolist()], dtype=float)
+            good = x[np.isfinite(x)]
+            if self.fit_many is not None:
+                acc[0] = self.fit_many(acc[0], good) if len(good) else acc[0]
+            else:
+                for v in good.tolist():
+                    acc[0] = self.fit(acc[0], v)
+            return [acc[0], acc[1] + len(good), acc[2] or len(good) < len(x)]
 
         def partial(batches):
-            held: dict[tuple, list] = {}
+            now, acc, done = None, None, []
             for pdf in batches:
                 for key, g in pdf.groupby(keys, dropna=False, sort=False):
-                    acc = held.setdefault(key, [self.zero(), 0, False])
-                    for x in g[value].tolist():
-                        x = self.preproc(x) if self.preproc and not missing(x) else x
-                        if missing(x):
-                            acc[2] = True
-                        else:
-                            acc[0] = self.fit(acc[0], x)
-                            acc[1] += 1
-            yield pd.DataFrame([(*k, pickle.dumps(v)) for k, v in held.items()], columns=[*keys, "__acc"])
+                    key = named(key)
+                    if key != now:
+                        if now is not None:
+                            done.append((*now, pickle.dumps(acc)))
+                        now, acc = key, [self.zero(), 0, False]
+                    acc = folded(acc, g[value].to_numpy(dtype=float, na_value=np.nan))
+                if len(done) > 1000:
+                    yield pd.DataFrame(done, columns=[*keys, "__acc"])
+                    done = []
+            if now is not None:
+                done.append((*now, pickle.dumps(acc)))
+            yield pd.DataFrame(done, columns=[*keys, "__acc"])
 
         def final(pdf: pd.DataFrame) -> pd.DataFrame:
             accs = [pickle.loads(x) for x in pdf["__acc"]]
@@ -115,9 +134,10 @@ class Mergeable:
             for a in accs[1:]:
                 acc = self.merge(acc, a[0])
             gone = not n or not self.skipmissing and any(a[2] for a in accs)
-            return pd.DataFrame([(*pdf[keys].iloc[0], None if gone else self.finish(acc))], columns=[*keys, value])
+            return pd.DataFrame([(*named(pdf[keys].iloc[0]), None if gone else self.finish(acc))], columns=[*keys, value])
 
-        some = rows.select(*keys, F.col(value).cast("double").alias(value)).mapInPandas(partial, f"{key_kinds}, __acc binary")
+        inorder = rows.select(*keys, F.col(value).cast("double").alias(value)).sortWithinPartitions(*keys)
+        some = inorder.mapInPandas(partial, f"{key_kinds}, __acc binary")
         out = some.groupBy(*keys).applyInPandas(final, f"{key_kinds}, {value} {self.kind}")
         return out.drop("__all") if keys == ["__all"] else out
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 import pandas as pd
@@ -31,6 +32,7 @@ class UserFunction:
     init: Any = 0
     finalize: Callable = field(default=lambda x: x)
     filters: tuple = ()
+    merge: Callable | None = None
     args: tuple = ()
     kwargs: dict = field(default_factory=dict)
 
@@ -60,6 +62,8 @@ class UserFunction:
         """The function of every cell."""
         if self.red is not None:
             raise ValueError("a reduction needs dimensions: use reduce")
+        if self.filters:
+            raise ValueError("filters judge steps of several cells: use reduce, on_blocks or maps.filtered")
         rows = cube.df.select(*cube.dims, *self.columns(*(F.col(v) for v in cube.values)))
         return Cube(rows, cube.dims, tuple(self.outputs), dict(cube.shape), dict(cube.origin))
 
@@ -67,7 +71,8 @@ class UserFunction:
     def on_blocks(self, cube: Cube, blocks: dict[str, int | None]) -> DataFrame:
         """A block function over blocks of the given sizes (None: the whole dimension).
 
-        A block is a group in one task, so blocks are sized to fit in memory.
+        A block is a group in one task, so blocks are sized to fit in memory. Of blocks that
+        a filter skips, the outputs of all cells are missing.
         """
         if not self.is_blockfunction:
             raise ValueError("not a block function")
@@ -79,20 +84,48 @@ class UserFunction:
             return f(pdf.drop(columns=gone), *args, **kwargs)
 
         schema = ", ".join([*(f"{d} {cube.df.schema[d].dataType.simpleString()}" for d in cube.dims), *(f"{k} {t}" for k, t in self.outputs.items())])
-        return rows.groupBy(*keys).applyInPandas(run, schema)
+        if not self.filters:
+            return rows.groupBy(*keys).applyInPandas(run, schema)
+        judged = rows.groupBy(*keys).agg(_skip(self.filters, F.col(cube.values[0])).alias("__skip"))
+        marked = rows.join(judged, list(keys))
+        done = marked.where(~F.col("__skip")).drop("__skip").groupBy(*keys).applyInPandas(run, schema)
+        return done.unionAll(marked.where("__skip").select(*cube.dims, *(F.lit(None).cast(t).alias(k) for k, t in self.outputs.items())))
 
     # -- folds -------------------------------------------------------------------------
     def reduce(self, cube: Cube, dims: Sequence[str]) -> DataFrame:
-        """red(acc, f(x)) over ``dims``, then finalize; accumulators start from ``init`` (a value or a call)."""
+        """red(acc, f(x)) over ``dims``, then finalize.
+
+        ``init`` (a value or a call) enters the fold of a group once, however its cells are
+        spread over partitions, and ``red`` also joins partial results. With ``merge``,
+        which joins accumulators of another kind than the values, every partial fold starts
+        from ``init``, which then has to be neutral. Groups that a filter skips are missing.
+        """
         if self.red is None:
             raise ValueError("no red is given")
-        init, red, f, finalize = self.init, self.red, self.f, self.finalize
-        start = init if callable(init) else (lambda: init)
-        fold = Mergeable(start, lambda acc, x: red(acc, f(x)), red, finalize, next(iter(self.outputs.values())), skipmissing=False)
-        return fold.aggregate(cube.df, [d for d in cube.dims if d not in dims], cube.values[0])
-
-
-def create_function(f: Callable, outtypes, *, is_blockfunction: bool = False, python: bool = False, red: Callable | None = None, init: Any = 0, finalize: Callable | None = None, filters: Sequence = (), args: Sequence = (), kwargs: dict | None = None) -> UserFunction:
+        red, f, finalize, merge = self.red, self.f, self.finalize, self.merge
+        start = self.init if callable(self.init) else (lambda x=self.init: x)
+        kept, value, kind = [d for d in cube.dims if d not in dims], cube.values[0], next(iter(self.outputs.values()))
+        if merge is not None:
+            fold = Mergeable(start, lambda acc, x: red(acc, f(x)), merge, finalize, kind, skipmissing=False)
+        else:
+            def both(a, b):
+                return b if a is None else a if b is None else red(a, b)
+
+            fold = Mergeable(lambda: None, lambda acc, x: both(acc, f(x)), both, lambda acc: finalize(red(start(), acc)), kind, skipmissing=bool(self.filters))
+        out = fold.aggregate(cube.df, kept, value)
+        if not self.filters:
+            return out
+        skip = _skip(self.filters, F.col(value)).alias("__skip")
+        judged = cube.df.groupBy(*kept).agg(skip) if kept else cube.df.agg(skip)
+        both_ = out.join(judged, kept) if kept else out.join(F.broadcast(judged), F.lit(True))
+        return both_.select(*kept, F.when(~F.col("__skip"), F.col(value)).alias(value))
+
+
+def _skip(filters: Sequence[Callable[[Column], Column]], x: Column) -> Column:
+    return reduce(lambda a, b: a | b, (f(x) for f in filters))
+
+
+def create_function(f: Callable, outtypes, *, is_blockfunction: bool = False, python: bool = False, red: Callable | None = None, init: Any = 0, finalize: Callable | None = None, merge: Callable | None = None, filters: Sequence = (), args: Sequence = (), kwargs: dict | None = None) -> UserFunction:
     """One factory for all user functions; ``outtypes`` is a type, several, or {name: type}."""
     if isinstance(outtypes, str):
         outputs = {"value": outtypes}
@@ -102,4 +135,4 @@ def create_function(f: Callable, outtypes, *, is_blockfunction: bool = False, py
         outputs = {f"value{k}": t for k, t in enumerate(outtypes, 1)}
     if red is not None and len(outputs) != 1:
         raise ValueError("a reduction has one output")
-    return UserFunction(f, outputs, is_blockfunction, python, red, init, finalize or (lambda x: x), tuple(filters), tuple(args), dict(kwargs or {}))
+    return UserFunction(f, outputs, is_blockfunction, python, red, init, finalize or (lambda x: x), tuple(filters), merge, tuple(args), dict(kwargs or {}))

@@ -12,7 +12,7 @@ from ..cube import Cube
 from ..functions import stats
 from .windows import Labels, Windows
 
-Spec = None | int | Windows | str | Sequence
+Spec = None | int | Windows | str | Column | DataFrame | Sequence
 
 
 def _assign(cube: Cube, dimspec: Mapping[str, Spec], cyclic: bool) -> tuple[DataFrame, dict[str, str]]:
@@ -33,6 +33,13 @@ def _assign(cube: Cube, dimspec: Mapping[str, Spec], cyclic: bool) -> tuple[Data
             df = df.withColumn(step, (F.floor((F.col(d) - cube.origin.get(d, 0)) / spec) + 1).cast("long"))
         elif isinstance(spec, str):
             at[d] = spec  # a label column of the table
+        elif isinstance(spec, Column):
+            at[d] = step
+            df = df.withColumn(step, spec)
+        elif isinstance(spec, DataFrame):
+            at[d] = step
+            label = next(c for c in spec.columns if c != d)
+            df = df.join(spec.select(d, F.col(label).alias(step)), d)
         else:
             windows = spec if isinstance(spec, Windows) else Labels(spec, cube.origin.get(d, 0), cyclic)
             if isinstance(windows, Labels) and d in cube.shape and len(windows.labels) != cube.shape[d]:
@@ -42,18 +49,23 @@ def _assign(cube: Cube, dimspec: Mapping[str, Spec], cyclic: bool) -> tuple[Data
     return df, at
 
 
-def aggregate(cube: Cube, f, dimspec: Mapping[str, Spec], skipmissing: bool = False, strategy: str = "auto", cyclic: bool = False, keepdims: bool = True) -> Cube:
+def aggregate(cube: Cube, f, dimspec: Mapping[str, Spec], skipmissing: bool = False, strategy: str = "auto", cyclic: bool = False, keepdims: bool = True, every: bool = False) -> Cube:
     """The statistic ``f`` of each group; dimensions that are not named are kept as they are.
 
-    A specification is None (the whole dimension), an integer (blocks of so many), a
-    window list, a list of labels (one for each index), or the name of a label column.
-    Results are numbered from 1; a dimension given by a label column is called by it and
-    keeps its labels. ``strategy`` is checked but decides nothing: Spark aggregates
-    partially wherever the statistic can be merged.
+    ``f`` is a statistic, or a mapping {column: statistic} of several that are taken in one
+    pass. A specification is None (the whole dimension), an integer (blocks of so many), a
+    window list, a list of labels (one for each index), the name of a label column, or
+    labels as an expression or as a table (dimension, label). Results are numbered from 1;
+    labels of an expression or table by where they first appear. A dimension given by the
+    name of a label column is called by it and keeps its labels. ``every`` adds the steps
+    of block sizes and windows that hold no cell, as missing. ``strategy`` is checked but
+    decides nothing: Spark aggregates partially wherever the statistic can be merged.
     """
     if strategy not in ("auto", "direct", "reduce"):
         raise ValueError(f"unknown strategy {strategy!r}")
-    given = f if isinstance(f, dict) else {"f": f, "preproc": None}
+    several = isinstance(f, Mapping) and "f" not in f
+    given = f if isinstance(f, dict) and not several else {"f": f, "preproc": None}
+    labelled = [d for d, spec in dimspec.items() if isinstance(spec, (Column, DataFrame))]
     df, at = _assign(cube, dimspec, cyclic)
     keys = [F.col(at[d]).alias(d if at[d].startswith("__") else at[d]) if d in at else F.col(d) for d in cube.dims if keepdims or dimspec.get(d, 0) is not None]
     rows = df.select(*keys, *((given["preproc"](F.col(v)) if given["preproc"] else F.col(v)).alias(v) for v in cube.values))
@@ -62,19 +74,37 @@ def aggregate(cube: Cube, f, dimspec: Mapping[str, Spec], skipmissing: bool = Fa
         out = given["f"].aggregate(rows, names, cube.values[0])
         values = [cube.values[0]]
     else:
-        exprs = {k: e for v in cube.values for k, e in stats.expressions(given["f"], v, skipmissing).items()}
+        if several:
+            exprs = {name: e for name, g in f.items() for e in [next(iter(stats.expressions(g, cube.values[0], skipmissing).values()))]}
+        else:
+            exprs = {k: e for v in cube.values for k, e in stats.expressions(given["f"], v, skipmissing).items()}
         aggs = [e.alias(k) for k, e in exprs.items()]
         out, values = (rows.groupBy(*names).agg(*aggs) if names else rows.agg(*aggs)), list(exprs)
+    for d in labelled:
+        index = label_index(replace(cube, df=df), d, at[d]).withColumnRenamed(at[d], d)
+        out = out.join(index, d).withColumn(d, F.col("index")).drop("index").select(*names, *values)
+    if every:
+        c = cube.measured()
+        steps = {d: 1 if w is None else -(-c.shape[d] // w) if isinstance(w, int) else len(w) for d, w in dimspec.items()}
+        full = Cube(cube.df.sparkSession.range(0).select(*(F.col("id").alias(n) for n in names)), tuple(names), (), {n: steps.get(n, c.shape.get(n, 0)) for n in names}, {n: 1 if n in steps else c.origin.get(n, 0) for n in names})
+        out = full.grid().join(out, names, "left").select(*names, *values)
     shape = {d: n for d, n in cube.shape.items() if d not in dimspec}
     return Cube(out, tuple(names), tuple(values), shape, {n: cube.origin.get(n, 0) if n not in dimspec else 1 for n in names})
 
 
-def label_index(cube: Cube, dim: str, label: str) -> DataFrame:
-    """(label, index): labels numbered from 1 by where they first appear along ``dim``."""
+def label_index(cube: Cube, dim: str, label: str, block: int = 1 << 20) -> DataFrame:
+    """(label, index): labels numbered from 1 by where they first appear along ``dim``.
+
+    Labels are numbered side by side in blocks of indices; only the blocks' counts, a row
+    for each ``block`` indices, are added up in one place.
+    """
     from pyspark.sql import Window
 
-    first = cube.df.groupBy(label).agg(F.min(dim).alias("__first"))
-    return first.select(label, F.dense_rank().over(Window.orderBy("__first")).cast("long").alias("index"))
+    first = cube.df.groupBy(label).agg(F.min(dim).alias("__first")).withColumn("__block", F.floor(F.col("__first") / block))
+    counts = first.groupBy("__block").agg(F.count_distinct("__first").alias("n"))
+    before = counts.select("__block", (F.sum("n").over(Window.orderBy("__block")) - F.col("n")).alias("__before"))
+    ranked = first.withColumn("__rank", F.dense_rank().over(Window.partitionBy("__block").orderBy("__first")))
+    return ranked.join(before, "__block").select(label, (F.col("__before") + F.col("__rank")).cast("long").alias("index"))
 
 
 _FOLDS: dict[str, Callable[[Column], Column]] = {"+": F.sum, "max": F.max, "min": F.min, "*": F.product}

@@ -1,18 +1,22 @@
-"""Interpolation by a join with weights, and pyramids."""
+"""Interpolation by weights, and pyramids."""
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..cube import Cube
 from ..functions import stats
 from .windows import BROADCAST_ROWS
 
+METHODS = ("linear", "nearest", "previous", "next")
+
 
 @dataclass(frozen=True)
 class Axis:
@@ -34,69 +38,93 @@ class Axis:
             raise ValueError("an axis has to be sorted")
         return cls(n=len(c), listed=c)
 
+    @classmethod
+    def in_table(cls, df: DataFrame, column: str) -> "Axis":
+        """The sorted distinct coordinates of a table; an axis of more than ``BROADCAST_ROWS`` of them is refused."""
+        rows = df.select(F.col(column).cast("double").alias("x")).where("x is not null").distinct().limit(BROADCAST_ROWS + 1).collect()
+        if len(rows) > BROADCAST_ROWS:
+            raise ValueError(f"an axis of more than {BROADCAST_ROWS} listed coordinates")
+        return cls.of(sorted(r.x for r in rows))
+
     def __getitem__(self, k: int) -> float:
         return self.listed[k] if self.listed is not None else self.x0 + k * self.step
 
-    def place(self, x: float) -> float:
-        """The fractional place (from 0) of a coordinate; the ends beyond the axis."""
+    def places(self, x: np.ndarray) -> np.ndarray:
+        """The fractional places (from 0) of coordinates; the ends beyond the axis."""
         if self.listed is None:
             p = (x - self.x0) / self.step
         else:
-            down = self.n > 1 and self.listed[0] > self.listed[-1]
-            c = [-v for v in self.listed] if down else self.listed
-            x = -x if down else x
-            i = min(max(bisect_right(c, x) - 1, 0), max(self.n - 2, 0))
-            p = i + ((x - c[i]) / (c[i + 1] - c[i]) if self.n > 1 and c[i + 1] != c[i] else 0.0)
-        return min(max(p, 0.0), float(self.n - 1))
-
-
-def weights(src: Axis, dst: Axis, method: str = "linear") -> list[tuple[int, int, float]]:
-    """(target, source, weight), places from 0: one or two rows a target."""
-    out = []
-    for k in range(dst.n):
-        p = src.place(dst[k])
-        i = int(p)
-        if method == "nearest":
-            out.append((k, min(int(p + 0.5), src.n - 1), 1.0))
-        elif p == i:
-            out.append((k, i, 1.0))
-        else:
-            out += [(k, i, 1.0 - (p - i)), (k, i + 1, p - i)]
-    return out
-
-
-def _relation(cube: Cube, dim: str, src: Axis, dst: Axis, method: str) -> DataFrame:
-    """(dim, __t, __w) as a DataFrame; between uniform axes it is made by arithmetic, in parallel."""
-    spark, o = cube.df.sparkSession, cube.origin.get(dim, 0)
+            c = np.asarray(self.listed)
+            if self.n > 1 and c[0] > c[-1]:
+                c, x = -c, -x
+            i = np.clip(np.searchsorted(c, x, side="right") - 1, 0, max(self.n - 2, 0))
+            gap = np.append(np.diff(c), 0.0)[i]
+            p = i + np.divide(x - c[i], gap, out=np.zeros(len(x)), where=gap != 0)
+        return np.clip(p, 0.0, float(self.n - 1))
+
+
+def _nodes(p: Column, n: int, method: str) -> Column:
+    """The array of (s, w): the nodes, from 0, that make up a target at place ``p``, and their weights."""
+    if method != "linear":
+        at = {"nearest": F.least(F.floor(p + 0.5), F.lit(n - 1)), "previous": F.floor(p), "next": F.ceil(p)}[method]
+        return F.array(F.struct(at.cast("long").alias("s"), F.lit(1.0).alias("w")))
+    i = F.floor(p)
+    part = p - i
+    one = F.struct(i.cast("long").alias("s"), (1 - part).alias("w"))
+    return F.when(part == 0, F.array(one)).otherwise(F.array(one, F.struct((i + 1).cast("long").alias("s"), part.alias("w"))))
+
+
+def _spread(rows: DataFrame, dim: str, origin: int, src: Axis, dst: Axis, method: str) -> DataFrame:
+    """Each cell with the targets (``__t``, from 0) that it takes part in along ``dim``, and its weight there (``__w``).
+
+    Between uniform axes a cell works its targets out, without a join. Else the targets are
+    bracketed in the listed axis by binary search, in parallel, and join the cells; the
+    relation has a row or two for each target.
+    """
     if src.listed is None and dst.listed is None:
-        p = F.least(F.greatest((F.lit(dst.x0) + F.col("id") * dst.step - src.x0) / src.step, F.lit(0.0)), F.lit(float(src.n - 1)))
-        rows = spark.range(dst.n).select(F.col("id").alias("__t"), p.alias("p"))
-        if method == "nearest":
-            return rows.select(F.least(F.floor(F.col("p") + 0.5), F.lit(src.n - 1)).cast("long").alias("s"), "__t", F.lit(1.0).alias("__w")).select((F.col("s") + o).alias(dim), "__t", "__w")
-        i, part = F.floor("p"), F.col("p") - F.floor("p")
-        both = F.when(part == 0, F.array(F.struct(i.alias("s"), F.lit(1.0).alias("w")))).otherwise(F.array(F.struct(i.alias("s"), (1 - part).alias("w")), F.struct((i + 1).alias("s"), part.alias("w"))))
-        return rows.select("__t", F.inline(both)).select((F.col("s") + o).cast("long").alias(dim), "__t", F.col("w").alias("__w"))
-    listed = [(s + o, t, w) for t, s, w in weights(src, dst, method)]
-    out = spark.createDataFrame(listed, f"{dim} long, __t long, __w double")
-    return F.broadcast(out) if len(listed) <= BROADCAST_ROWS else out
+        i = F.col(dim) - origin
+        ratio, shift = dst.step / src.step, (dst.x0 - src.x0) / src.step
+        # targets whose place lies within one node of the cell, or beyond the axis at its ends
+        a, b = ((i - 1 - shift) / ratio, (i + 1 - shift) / ratio)
+        first, last = (a, b) if ratio > 0 else (b, a)
+        low, high = (F.lit(0), F.lit(src.n - 1)) if ratio > 0 else (F.lit(src.n - 1), F.lit(0))
+        first = F.when(i == low, F.lit(0)).otherwise(F.greatest(F.floor(first), F.lit(0)))
+        last = F.when(i == high, F.lit(dst.n - 1)).otherwise(F.least(F.ceil(last), F.lit(dst.n - 1)))
+        rows = rows.where(i.between(0, src.n - 1)).withColumn("__t", F.explode(F.when(first <= last, F.sequence(first.cast("long"), last.cast("long")))))
+        # by the coordinate, as a target would be placed, so that weights are the same in all of its nodes
+        p = F.least(F.greatest((F.lit(dst.x0) + F.col("__t") * dst.step - src.x0) / src.step, F.lit(0.0)), F.lit(float(src.n - 1)))
+        mine = F.filter(_nodes(p, src.n, method), lambda x: x["s"] == i)
+        return rows.withColumn("__w", F.element_at(F.when(F.size(mine) > 0, mine), 1)["w"]).where("__w is not null")
+    spark = rows.sparkSession
+    if dst.listed is None:
+
+        @F.pandas_udf("double")
+        def place(k: pd.Series) -> pd.Series:
+            return pd.Series(src.places(dst.x0 + k.to_numpy(dtype=float) * dst.step))
+
+        targets = spark.range(dst.n).select(F.col("id").alias("__t"), place("id").alias("p"))
+    else:
+        known = src.places(np.asarray(dst.listed))
+        targets = spark.createDataFrame(pd.DataFrame({"__t": np.arange(dst.n), "p": known}))
+    rel = targets.select("__t", F.inline(_nodes(F.col("p"), src.n, method))).select((F.col("s") + origin).alias(dim), "__t", F.col("w").alias("__w"))
+    return rows.join(F.broadcast(rel) if 2 * dst.n <= BROADCAST_ROWS else rel, dim)
 
 
 def interpolate(cube: Cube, conv: Mapping[str, tuple[Axis, Axis]], method: str = "linear") -> Cube:
     """Resample along the named dimensions, each from its source axis to a target axis.
 
-    A target is the weighted sum of two nodes in each dimension; beyond the axis the edge
-    value holds. A missing node makes the target missing. Other dimensions are kept;
+    A target is the weighted sum of two nodes in each dimension (``linear``), or the nearest,
+    previous or next node; beyond the axis the edge value holds. A missing node makes the target missing. Other dimensions are kept;
     target places are numbered from the dimension's origin.
     """
-    if method not in ("linear", "nearest"):
-        raise ValueError(f"method {method!r}; there are linear and nearest")
+    if method not in METHODS:
+        raise ValueError(f"method {method!r}; there are {', '.join(METHODS)}")
     rows, value = cube.df, cube.values[0]
     weight = F.lit(1.0)
     for d, (src, dst) in conv.items():
         if method == "linear" and d in cube.shape and cube.shape[d] != src.n:
             raise ValueError(f"axis of {src.n} for {cube.shape[d]} indices of {d!r}")
-        rel = _relation(cube, d, src, dst, method).select(d, F.col("__t").alias(f"__t_{d}"), F.col("__w").alias(f"__w_{d}"))
-        rows = rows.join(rel, d)
+        rows = _spread(rows, d, cube.origin.get(d, 0), src, dst, method).withColumnsRenamed({"__t": f"__t_{d}", "__w": f"__w_{d}"})
         weight = weight * F.col(f"__w_{d}")
     kept = [d for d in cube.dims if d not in conv]
     targets = [(F.col(f"__t_{d}") + cube.origin.get(d, 0)).alias(d) for d in conv]
@@ -111,11 +139,26 @@ def interpolate(cube: Cube, conv: Mapping[str, tuple[Axis, Axis]], method: str =
 def pyramid(cube: Cube, dims: Sequence[str], levels: int, f="mean", skipmissing: bool = False) -> DataFrame:
     """(level, dims, value): blocks of 2, 4, ... indices along ``dims``; level l has blocks of 2 ** l.
 
-    All levels come from one scan: each cell goes to its block of every level, and the
-    statistic is taken once. Sums over blocks of blocks would need less, but are right only
-    for some statistics.
+    Statistics of which blocks' results make up those of larger blocks (sum, minimum,
+    maximum, nvalid, and mean by sum and count) take each level from the one before it, so
+    a level reads a fraction of the cells. For others each cell goes to its block of every
+    level.
     """
     value = cube.values[0]
+    blocks = [(F.floor((F.col(d) - cube.origin.get(d, 0)) / 2) + 1).cast("long").alias(d) if d in dims else F.col(d) for d in cube.dims]
+    halved = [(F.floor((F.col(d) - 1) / 2) + 1).cast("long").alias(d) if d in dims else F.col(d) for d in cube.dims]
+    chained = {"sum": F.sum, "minimum": F.min, "maximum": F.max, "nvalid": F.sum, "mean": F.sum}
+    if f in chained:
+        x = stats.finite(F.col(value)) if skipmissing else F.col(value)
+        rows = cube.df.select(*blocks, (F.when(x.isNotNull(), F.lit(1)).otherwise(F.lit(0)) if f == "nvalid" else x).alias("x"), x.isNotNull().cast("long").alias("n"), F.lit(1).cast("long").alias("all"))
+        out = []
+        for level in range(1, levels + 1):
+            now = rows.groupBy(*cube.dims).agg(chained[f]("x").alias("x"), F.sum("n").alias("n"), F.sum("all").alias("all"))
+            got = F.col("x") / F.col("n") if f == "mean" else F.col("x")
+            known = F.lit(True) if f == "nvalid" else F.col("n") > 0 if skipmissing else F.col("n") == F.col("all")
+            out.append(now.select(F.lit(level).alias("level"), *cube.dims, F.when(known, got).alias(value)))
+            rows = now.select(*halved, "x", "n", "all")
+        return reduce(DataFrame.unionAll, out)
     rows = cube.df.withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(levels))))
     blocks = [(F.floor((F.col(d) - cube.origin.get(d, 0)) / F.pow(F.lit(2), F.col("level"))) + 1).cast("long").alias(d) if d in dims else F.col(d) for d in cube.dims]
     exprs = stats.expressions(f, value, skipmissing)

@@ -49,7 +49,7 @@ class InputArray:
             df = w.assign(df, d, f"__l_{d}")
         loops = [F.col(f"__l_{d}").alias(self.loop(d)) for d in cube.dims]
         # a step sees a number where each window is one index, else the list of its cells in order
-        single = all(isinstance(w, Points) or all(a == b for a, b in w.ranges()) for w in windows.values())
+        single = all(w.single for w in windows.values())
         value = F.col(cube.values[0])
         if single:
             return lambda name: (df.select(*loops, value.alias(name)), [self.loop(d) for d in cube.dims])
@@ -100,11 +100,9 @@ def windowed_op(inputs: list[InputArray], f: Callable[..., Column], out: OutWind
     for d, w in out.windows.items():
         if len(w) != sizes[d]:
             raise ValueError(f"loop {d!r} has {sizes[d]} steps and {len(w)} output windows")
-        shape[d] = max(hi for _, hi in w.ranges())
-        overlapping |= w.overlap()[0] != "non-overlapping"
-        pairs = [(k, j) for k, (lo, hi) in enumerate(w.ranges(), 1) for j in range(lo, hi + 1)]
-        rel = done.sparkSession.createDataFrame(pairs, f"{d} long, __o long")
-        done = done.join(F.broadcast(rel) if len(pairs) <= 1_000_000 else rel, d).drop(d).withColumnRenamed("__o", d)
+        shape.pop(d)  # measured when an operator needs it
+        overlapping |= not w.disjoint
+        done = w.spread(done, d)
     if red is None:
         if overlapping:
             raise ValueError("several steps write to one output cell: give red")

@@ -1,27 +1,39 @@
 """Window lists over one dimension, and what a plan needs to know of them.
 
 A window list gives, for each step k = 1..n of a loop, an inclusive range of indices.
-``members(i)`` turns it round into an expression: the array of the steps whose window
-holds index i. Where windows follow a formula, that is arithmetic on the index, so no
-relation and no range join is needed; where they are listed, ``relation`` gives the
-(index, step) pairs for an equi-join.
+``bounds(k)`` is that range as an expression on the step, and ``members(i)`` turns it
+round: the array of the steps whose window holds index i. Where windows follow a formula
+both are arithmetic, so no relation and no range join is needed; windows that are listed,
+or lie in a table, meet the cells by an equi-join.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a window relation, which the driver holds anyway, is sent to all tasks.
+#: Rows up to which a listed relation, which the driver holds anyway, is sent to all tasks.
 BROADCAST_ROWS = 1_000_000
 
 
+def _indices(lo, hi) -> Column:
+    """The array lo..hi; null if the window is empty, as a clamped one may be."""
+    lo, hi = (F.col(x) if isinstance(x, str) else x for x in (lo, hi))
+    return F.when(lo <= hi, F.sequence(lo, hi))
+
+
 class Windows:
-    """``len(w)``, ``w[k]`` (the k-th window, from 1) and the traits of a window list."""
+    """``len(w)``, ``w[k]`` (the k-th window, from 1) and their relation to indices."""
+
+    #: whether each window is a single index, and whether no index is in two windows (None: not known)
+    single: bool = False
+    disjoint: bool | None = None
 
     def __len__(self) -> int:
         raise NotImplementedError
@@ -32,57 +44,46 @@ class Windows:
     def ranges(self) -> list[tuple[int, int]]:
         return [self[k] for k in range(1, len(self) + 1)]
 
-    # -- traits ------------------------------------------------------------------------
-    def ordering(self) -> str:
-        lows, highs = zip(*self.ranges())
-        if list(lows) == sorted(lows) and list(highs) == sorted(highs):
-            return "increasing"
-        if list(lows) == sorted(lows, reverse=True) and list(highs) == sorted(highs, reverse=True):
-            return "decreasing"
-        return "unordered"
-
-    def overlap(self) -> tuple[str, float | None]:
-        """("non-overlapping" | "overlapping" | "repeating", share of repeats)."""
-        w, same, over = self.ranges(), 0, 0
-        for a, b in zip(w, w[1:]):
-            if a == b:
-                same += 1
-            elif a[0] <= b[1] and b[0] <= a[1]:
-                over += 1
-        if over:
-            return "overlapping", None
-        return ("repeating", same / (len(w) - same)) if same else ("non-overlapping", None)
-
-    def sparsity(self) -> tuple[str, float | None]:
-        """("dense" | "sparse", covered share); the span is taken between the outer indices."""
-        w = self.ranges()
-        span, covered = max(h for _, h in w) - min(a for a, _ in w), sum(h - a + 1 for a, h in w)
-        return ("sparse", covered / span) if span and covered / span < 0.5 else ("dense", None)
-
-    def check(self) -> None:
-        """Windows that contain others without being equal can't be put in order."""
-        w = sorted(set(self.ranges()))
-        for (a, b), (c, d) in zip(w, w[1:]):
-            if d < b or (a == c and b < d):
-                raise ValueError(f"window {(a, b)} and window {(c, d)}: one contains the other")
-
-    # -- plans -------------------------------------------------------------------------
+    def bounds(self, k: Column) -> tuple[Column, Column] | None:
+        """The first and last index of step ``k``; None if there is no formula."""
+        return None
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """(step, lo, hi): made in parallel where there is a formula."""
+        both = self.bounds(F.col("step"))
+        if both is not None:
+            steps = spark.range(1, len(self) + 1).select(F.col("id").alias("step"))
+            return steps.select("step", both[0].cast("long").alias("lo"), both[1].cast("long").alias("hi"))
+        return spark.createDataFrame([(k, *w) for k, w in enumerate(self.ranges(), 1)], "step long, lo long, hi long")
+
     def members(self, i: Column) -> Column | None:
         """The array of steps whose window holds ``i``; None if there is no formula."""
         return None
 
-    def relation(self, spark: SparkSession, dim: str, step: str) -> DataFrame:
-        rows = [(i, k) for k, (lo, hi) in enumerate(self.ranges(), 1) for i in range(lo, hi + 1)]
-        out = spark.createDataFrame(rows, f"{dim} long, {step} long")
-        return F.broadcast(out) if len(rows) <= BROADCAST_ROWS else out
-
     def assign(self, df: DataFrame, dim: str, step: str) -> DataFrame:
         """A row of ``df`` for each window that holds its index, with the step number as ``step``."""
         at = self.members(F.col(dim))
         if at is None:
-            return df.join(self.relation(df.sparkSession, dim, step), dim)
+            rel = self.table(df.sparkSession).select(F.col("step").alias(step), F.explode(_indices("lo", "hi")).alias(dim))
+            return df.join(F.broadcast(rel) if self._cells() <= BROADCAST_ROWS else rel, dim)
         return df.withColumn(step, F.explode(at)).withColumn(step, F.col(step).cast("long"))
 
+    def _cells(self) -> int:
+        return sum(hi - lo + 1 for lo, hi in self.ranges())
+
+    def spread(self, df: DataFrame, dim: str) -> DataFrame:
+        """A row of ``df`` for each index of the window of its step ``dim``, with the index in place of the step."""
+        both = self.bounds(F.col(dim))
+        if both is None:
+            rel = self.table(df.sparkSession).withColumnRenamed("step", dim)
+            df = df.join(F.broadcast(rel) if len(self) <= BROADCAST_ROWS else rel, dim)
+            both = F.col("lo"), F.col("hi")
+        lo, hi = (x.cast("long") for x in both)
+        gone = [c for c in ("lo", "hi") if c in df.columns]
+        if self.single:
+            return df.withColumn(dim, lo).drop(*gone)
+        return df.withColumn(dim, F.explode(_indices(lo, hi))).drop(*gone)
+
 
 @dataclass(frozen=True)
 class Points(Windows):
@@ -95,12 +96,14 @@ class Points(Windows):
     def __len__(self):
         return self.n
 
+    single, disjoint = True, True
+
     def __getitem__(self, k):
         i = self.first + (k - 1) * self.step
         return i, i
 
-    def ordering(self):
-        return "increasing" if self.step > 0 else "decreasing"
+    def bounds(self, k):
+        return (i := F.lit(self.first) + (k - 1) * self.step), i
 
     def assign(self, df, dim, step):
         last = self.first + (self.n - 1) * self.step
@@ -119,9 +122,14 @@ class Whole(Windows):
     def __len__(self):
         return 1
 
+    disjoint = True
+
     def __getitem__(self, k):
         return self.first, self.last
 
+    def bounds(self, k):
+        return F.lit(self.first), F.lit(self.last)
+
     def assign(self, df, dim, step):
         return df.withColumn(step, F.lit(1).cast("long"))
 
@@ -144,14 +152,18 @@ class Sliding(Windows):
         hi = lo + self.width - 1
         return (max(lo, self.clamp[0]), min(hi, self.clamp[1])) if self.clamp else (lo, hi)
 
-    def ordering(self):
-        return "increasing" if self.step > 0 else "decreasing"
+    @property
+    def single(self):
+        return self.width == 1
 
-    def overlap(self):
-        return ("overlapping" if self.width > abs(self.step) else "non-overlapping"), None
+    @property
+    def disjoint(self):
+        return self.width <= abs(self.step)
 
-    def sparsity(self):
-        return ("sparse", self.width / abs(self.step)) if abs(self.step) > 2 * self.width else ("dense", None)
+    def bounds(self, k):
+        lo = F.lit(self.first) + (k - 1) * self.step
+        hi = lo + (self.width - 1)
+        return (F.greatest(lo, F.lit(self.clamp[0])), F.least(hi, F.lit(self.clamp[1]))) if self.clamp else (lo, hi)
 
     def assign(self, df, dim, step):
         i = F.col(dim)
@@ -189,6 +201,14 @@ class Regular(Windows):
         lo = self.start + math.floor((k - 1) * self.step)
         return lo, min(lo + self.window - 1, self.stop)
 
+    @property
+    def disjoint(self):
+        return self.window <= math.floor(self.step)
+
+    def bounds(self, k):
+        lo = F.lit(self.start) + F.floor((k - 1) * F.lit(float(self.step)))
+        return lo, F.least(lo + (self.window - 1), F.lit(self.stop))
+
     def members(self, i):
         # floor((k - 1) * step) is between i - start - window + 1 and i - start
         low = F.greatest(F.ceil((i - self.start - self.window + 1) / F.lit(float(self.step))), F.lit(0))
@@ -215,6 +235,15 @@ class Ranges(Windows):
             fixed.append(w)
         object.__setattr__(self, "given", tuple(fixed))
 
+    @property
+    def single(self):
+        return all(lo == hi for lo, hi in self.given)
+
+    @property
+    def disjoint(self):
+        inorder = sorted(self.given)
+        return all(hi < lo for (_, hi), (lo, _) in zip(inorder, inorder[1:]))
+
     def __len__(self):
         return len(self.given)
 
@@ -232,16 +261,72 @@ class Repeated(Windows):
     def __len__(self):
         return self.n
 
+    single = True
+
+    @property
+    def disjoint(self):
+        return self.n <= 1
+
     def __getitem__(self, k):
         return self.value, self.value
 
+    def bounds(self, k):
+        return F.lit(self.value), F.lit(self.value)
+
     def members(self, i):
         return F.when(i == self.value, F.sequence(F.lit(1), F.lit(self.n)))
 
 
+@dataclass(frozen=True)
+class Formula(Windows):
+    """n windows given by an expression on the step: its one index, or its first and last one."""
+
+    n: int
+    low: Callable[[Column], Column]
+    high: Callable[[Column], Column] | None = None
+
+    @property
+    def single(self):
+        return self.high is None
+
+    def __len__(self):
+        return self.n
+
+    def bounds(self, k):
+        lo = self.low(k)
+        return lo, lo if self.high is None else self.high(k)
+
+    def assign(self, df, dim, step):
+        rel = self.table(df.sparkSession).select(F.col("step").alias(step), F.explode(_indices("lo", "hi")).alias(dim))
+        return df.join(rel, dim)
+
+
+@dataclass(frozen=True)
+class InTable(Windows):
+    """Windows that lie in a table (step, lo, hi), with steps numbered from 1 to ``n``."""
+
+    df: DataFrame
+    n: int
+
+    def __len__(self):
+        return self.n
+
+    def table(self, spark):
+        return self.df.select(*(F.col(c).cast("long").alias(c) for c in ("step", "lo", "hi")))
+
+    def assign(self, df, dim, step):
+        return df.join(self.table(df.sparkSession).select(F.col("step").alias(step), F.explode(_indices("lo", "hi")).alias(dim)), dim)
+
+    def spread(self, df, dim):
+        return df.join(self.table(df.sparkSession).withColumnRenamed("step", dim), dim).withColumn(dim, F.explode(_indices("lo", "hi"))).drop("lo", "hi")
+
+
 @dataclass(frozen=True)
 class Labels(Windows):
-    """Groups of equal labels, numbered in the order in which they first appear."""
+    """Groups of equal labels, one for each index, numbered in the order in which they first appear.
+
+    For labels that lie in a column or table, give ``aggregate`` that instead.
+    """
 
     labels: tuple
     first: int = 1
@@ -251,8 +336,7 @@ class Labels(Windows):
         object.__setattr__(self, "labels", tuple(labels))
         object.__setattr__(self, "first", first)
         object.__setattr__(self, "cyclic", cyclic)
-        runs = 1 + sum(a != b for a, b in zip(self.labels, self.labels[1:])) if self.labels else 0
-        if not cyclic and runs != len(set(self.labels)):
+        if not cyclic and sum(a != b for a, b in zip(self.labels, self.labels[1:])) >= max(1, len(set(self.labels))):
             raise ValueError("labels come back after others; pass cyclic=True for such groups")
 
     @property
@@ -266,27 +350,57 @@ class Labels(Windows):
         at = [i for i, x in enumerate(self.labels, self.first) if x == self.names[k - 1]]
         return at[0], at[-1]
 
-    def relation(self, spark, dim, step):
+    def assign(self, df, dim, step):
         number = {x: k for k, x in enumerate(self.names, 1)}
         rows = [(i, number[x]) for i, x in enumerate(self.labels, self.first)]
-        out = spark.createDataFrame(rows, f"{dim} long, {step} long")
-        return F.broadcast(out) if len(rows) <= BROADCAST_ROWS else out
+        rel = df.sparkSession.createDataFrame(rows, f"{dim} long, {step} long")
+        return df.join(F.broadcast(rel) if len(rows) <= BROADCAST_ROWS else rel, dim)
 
 
-def groups_by_breaks(windows: Windows, breaks: Sequence[int]) -> list[tuple[int, int]]:
-    """Runs of steps (first, last) that end where the windows reach each break."""
-    out, begin = [], 1
-    for b in breaks:
-        end = max((k for k, (lo, hi) in enumerate(windows.ranges(), 1) if lo <= b), default=begin)
-        out.append((begin, end))
-        begin = end + 1
-    return out
+# -- what is true of a list of windows, from its table ------------------------------------
 
 
-def common_breaks(*lists: Windows) -> list[int] | None:
-    """Indices at which every list has a window end and none has one across; None if all lists are equal."""
-    ranges = [w.ranges() for w in lists]
-    if all(r == ranges[0] for r in ranges):
-        return None
-    ends = set.intersection(*({hi for _, hi in r} for r in ranges))
-    return sorted(e for e in ends if not any(lo <= e < hi for r in ranges for lo, hi in r))
+def _held(windows: DataFrame) -> DataFrame:
+    """(lo, hi, i): the indices of each different window."""
+    return windows.select("lo", "hi").distinct().select("lo", "hi", F.explode(_indices("lo", "hi")).alias("i"))
+
+
+def traits(windows: DataFrame) -> DataFrame:
+    """One row on a table (step, lo, hi): n, lo, hi, ordering, repeats, overlapping, covered, nested.
+
+    Windows are taken as sets of indices. ``ordering`` is increasing (or decreasing) if no
+    window begins or ends before (after) the one of the step before, else unordered;
+    ``repeats`` counts windows that are equal to another one; ``overlapping`` is whether an
+    index is in two different windows; ``covered`` is the share of the span's indices that
+    is in any; ``nested`` counts pairs of different windows of which one contains the other.
+    """
+    w = windows.select("step", "lo", "hi")
+    steps = w.alias("a").join(w.select((F.col("step") - 1).alias("step"), F.col("lo").alias("l"), F.col("hi").alias("h")).alias("b"), "step")
+    order = steps.agg(F.coalesce(F.bool_and(F.expr("l >= lo and h >= hi")), F.lit(True)).alias("up"), F.coalesce(F.bool_and(F.expr("l <= lo and h <= hi")), F.lit(True)).alias("down"))
+    order = order.select(F.when(F.col("up"), "increasing").when(F.col("down"), "decreasing").otherwise("unordered").alias("ordering"))
+    whole = w.agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), (F.count("*") - F.count_distinct("lo", "hi")).alias("repeats"))
+    cells = _held(w).groupBy("i").agg(F.count("*").alias("c")).agg(F.count("*").alias("cells"), F.coalesce(F.max("c") > 1, F.lit(False)).alias("overlapping"))
+    other = w.select(F.col("lo").alias("i"), F.col("hi").alias("h")).distinct()
+    nested = _held(w).join(other, "i").where("h <= hi and not (i = lo and h = hi)").agg(F.count("*").alias("nested"))
+    out = reduce(lambda a, b: a.join(F.broadcast(b), F.lit(True)), [whole, order, cells, nested])  # of one row each
+    return out.select("n", "lo", "hi", "ordering", "repeats", "overlapping", (F.col("cells") / (F.col("hi") - F.col("lo") + 1)).alias("covered"), "nested")
+
+
+def breaks(*windows: DataFrame) -> DataFrame:
+    """(at): indices at which every list has a window's end and no window of any list goes on."""
+    ends = reduce(DataFrame.intersect, (w.select(F.col("hi").alias("at")) for w in windows))
+    across = reduce(DataFrame.unionAll, (_held(w).where("i < hi").select(F.col("i").alias("at")) for w in windows))
+    return ends.join(across, "at", "left_anti").distinct()
+
+
+def groups(windows: DataFrame, at: Sequence[int]) -> DataFrame:
+    """(step, lo, hi, grp): steps by the first break that their window doesn't pass; at most ``BROADCAST_ROWS`` breaks are sent to all tasks."""
+    if len(at) > BROADCAST_ROWS:
+        raise ValueError(f"more than {BROADCAST_ROWS} breaks")
+    ends = pd.Index(sorted(at))
+
+    @F.pandas_udf("long")
+    def number(hi: pd.Series) -> pd.Series:
+        return pd.Series(ends.searchsorted(hi) + 1)
+
+    return windows.select("step", "lo", "hi", number("hi").alias("grp"))

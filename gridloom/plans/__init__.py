@@ -1 +1 @@
-"""Plan-level helpers: session defaults, shipping of the package, plan inspection."""
+"""Plan-level helpers: shipping of the package, plan inspection."""

@@ -42,8 +42,15 @@ def is_fused(df: DataFrame) -> bool:
 
 
 def reused(df: DataFrame) -> int:
-    """How many shuffles are read again instead of being made again."""
-    return nodes(df)["ReusedExchange"]
+    """How many shuffles are read again instead of being made again, as planned without adaptive execution."""
+    name = "spark.sql.adaptive.enabled"
+    spark = df.sparkSession
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        return nodes(df.select("*"))["ReusedExchange"]
+    finally:
+        spark.conf.set(name, before)
 
 
 def describe(df: DataFrame) -> str:

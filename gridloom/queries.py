@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cube import Cube
-from .functions.stats import Mergeable, derived, stat
+from .functions.stats import Mergeable, derived, has_mergeable, stat
 from .functions.userfunc import create_function
 from .operators import aggregate as A
 from .operators import maps, moving
 from .operators.resample import Axis, interpolate, pyramid
 from .operators.windowed import InputArray, OutWindows, windowed_op
-from .operators.windows import Points, Ranges, Regular, Repeated, Sliding, Tumbling
-from .sources.layout import rechunk
+from .operators.windows import Formula, InTable, Points, Ranges, Regular, Repeated, Sliding, Tumbling, breaks, groups, traits
+from .plans import inspect
+from .sources.layout import copy_to, rechunk, run_blocks, write_cube
 from .sources.scan import open_cube
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -221,9 +222,7 @@ def agg_tumbling_100(spark, d):
 
 @_query("select event_id // 300 + 1 as i, round(sum(value), 4) as value, count(*) as n from events group by 1")
 def agg_tumbling_partial_tail(spark, d):
-    c = events(spark, d)
-    n = A.aggregate(c, "nvalid", {"i": 300}).df.withColumnRenamed("value", "n")
-    return _rounded(A.aggregate(c, "sum", {"i": 300}).df.join(n, "i"), "value", digits=4)
+    return _rounded(A.aggregate(events(spark, d), {"value": "sum", "n": "nvalid"}, {"i": 300}).df, "value", digits=4)
 
 
 @_query(f"with {EMB} select vec_id // 50 + 1 as vec_id, d // 8 + 1 as d, round(avg(x), 6) as x from e group by 1, 2")
@@ -246,14 +245,15 @@ def agg_labels_day(spark, d):
 
 @_query("select event_id // 1000 + 1 as i, round(avg(value), 6) as value from events group by 1")
 def agg_label_vector(spark, d):
-    c = events(spark, d).measured()
-    return _rounded(A.aggregate(c, "mean", {"i": [f"run {k // 1000}" for k in range(c.shape["i"])]}).df, "value")
+    label = F.concat(F.lit("run "), F.floor(F.col("i") / 1000).cast("string"))
+    return _rounded(A.aggregate(events(spark, d), "mean", {"i": label}).df, "value")
 
 
 @_query("select event_id % 3 + 1 as i, round(avg(value), 6) as value from events group by 1")
 def agg_label_cyclic(spark, d):
-    c = events(spark, d).measured()
-    return _rounded(A.aggregate(c, "mean", {"i": ["xyz"[k % 3] for k in range(c.shape["i"])]}, cyclic=True).df, "value")
+    c = events(spark, d)
+    labels = c.df.select("i", F.element_at(F.array(*map(F.lit, "xyz")), (F.col("i") % 3 + 1).cast("int")).alias("label"))
+    return _rounded(A.aggregate(c, "mean", {"i": labels}, cyclic=True).df, "value")
 
 
 @_query(f"with {HOLES} select i // 7 + 1 as i, round(avg(value), 6) as value from h group by 1")
@@ -272,9 +272,14 @@ def agg_skip_nonfinite(spark, d):
     return _rounded(A.aggregate(Cube(rows, ("i",), ("value",)), "mean", {"i": 50}, skipmissing=True).df, "value")
 
 
-@_query()
+@_query("select event_id // 500 + 1 as i, count(*) as n, true as within from events group by 1")
 def agg_median_approx(spark, d):
-    return A.aggregate(events(spark, d), "median_approx", {"i": 500}, skipmissing=True).df
+    """``within``: the rank of each block's approximate median is at most a 200th of the block off the middle."""
+    c = events(spark, d)
+    got = A.aggregate(c, "median_approx", {"i": 500}, skipmissing=True).df.withColumnRenamed("value", "m")
+    cells = c.df.select((F.floor(F.col("i") / 500) + 1).alias("i"), "value").join(got, "i")
+    ranks = cells.groupBy("i").agg(F.count("value").alias("n"), F.sum((F.col("value") < F.col("m")).cast("long")).alias("below"), F.sum((F.col("value") <= F.col("m")).cast("long")).alias("upto"))
+    return ranks.select("i", "n", F.expr("below <= n / 2 + n / 200 and upto >= n / 2 - n / 200").alias("within"))
 
 
 @_query("select event_id // 250 + 1 as i, round(median(value), 6) as value from events group by 1")
@@ -300,7 +305,7 @@ def agg_derived_statistic(spark, d):
 
 @_query("select event_id // 1000 + 1 as i, round(sum(value * value), 4) as value from events group by 1")
 def udaf_grouped(spark, d):
-    squares = Mergeable(lambda: 0.0, lambda a, x: a + x * x, lambda a, b: a + b, lambda a: a)
+    squares = Mergeable(lambda: 0.0, lambda a, x: a + x * x, lambda a, b: a + b, lambda a: a, fit_many=lambda a, x: a + float(x @ x))
     return _rounded(A.aggregate(events(spark, d), squares, {"i": 1000}).df, "value", digits=4)
 
 
@@ -409,10 +414,39 @@ def win_strided_reverse_points(spark, d):
     return _rounded(Points(3 * (n - 1), n, -3).assign(fwd, "i", "rev").select("fwd", "rev", "value"), "value")
 
 
-@_query("with w as (select k, lo, hi, lag(hi) over (order by k) as before, lag(lo) over (order by k) as low from (values (1, 0, 30), (2, 31, 58), (3, 59, 89), (4, 80, 200)) w(k, lo, hi)) select bool_or(before >= lo) as overlapping, bool_and(coalesce(low <= lo, true)) as increasing, count(*)::bigint as n from w")
+#: A window for each customer: one to five indices, in no order.
+CUSTOMER_WINDOWS = "w as (select c_custkey as step, (c_custkey * 37) % 1000 as lo, (c_custkey * 37) % 1000 + c_custkey % 5 as hi from customer)"
+
+
+def customer_windows(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("c_custkey").cast("long")
+    lo = key * 37 % 1000
+    return spark.read.parquet(f"{d}/customer.parquet").select(key.alias("step"), lo.alias("lo"), (lo + key % 5).alias("hi"))
+
+
+@_query(f"""with {CUSTOMER_WINDOWS}, u as (select distinct lo, hi from w), x as (select i, count(*) as c from (select unnest(range(lo, hi + 1)) as i from u) group by i),
+o as (select step, lo, hi, lead(lo) over s as l, lead(hi) over s as h from w window s as (order by step))
+select (select count(*) from w) as n, (select min(lo) from w) as lo, (select max(hi) from w) as hi,
+case when (select bool_and(l >= lo and h >= hi) from o where l is not null) then 'increasing' when (select bool_and(l <= lo and h <= hi) from o where l is not null) then 'decreasing' else 'unordered' end as ordering,
+(select count(*) from w) - (select count(*) from u) as repeats, (select max(c) > 1 from x) as overlapping, (select count(*) from x) / ((select max(hi) from w) - (select min(lo) from w) + 1) as covered,
+(select count(*) from u a join u b on b.lo >= a.lo and b.hi <= a.hi and (a.lo <> b.lo or a.hi <> b.hi)) as nested""")
 def win_traits(spark, d):
-    w = Ranges([(0, 30), (31, 58), (59, 89), (80, 200)])
-    return spark.createDataFrame([(w.overlap()[0] == "overlapping", w.ordering() == "increasing", len(w))], "overlapping boolean, increasing boolean, n long")
+    return traits(customer_windows(spark, d))
+
+
+@_query(f"with {CUSTOMER_WINDOWS} select step as i, round(sum(value), 6) as value from w join events on event_id between lo and hi group by 1")
+def win_unordered_table(spark, d):
+    w = customer_windows(spark, d)
+    return _rounded(moving.windowed(events(spark, d), "sum", {"i": InTable(w, w.count())}).df, "value")
+
+
+@_query("select event_id as step, event_id // 12 * 12 + 11 as at, event_id // 12 + 1 as grp from events where event_id // 12 * 12 + 11 < (select count(*) from events)")
+def win_breaks(spark, d):
+    """Indices where windows of three, of four and of six end together, and the points up to each."""
+    n = events(spark, d).measured().shape["i"] // 12 * 12
+    tables = [Tumbling(0, k, n // k).table(spark) for k in (3, 4, 6)]
+    at = sorted(r["at"] for r in breaks(*tables).collect())
+    return groups(Points(0, n).table(spark), at).select((F.col("step") - 1).alias("step"), (F.col("grp") * 12 - 1).alias("at"), "grp")
 
 
 @_query("select 1::bigint as i, round(sum(value), 4) as value from events")
@@ -424,10 +458,28 @@ def win_repeated_output(spark, d):
 @_query("select (event_id // 3) + 1 as i, round(max(value), 6) as value from events group by 1")
 def win_output_groups(spark, d):
     c = events(spark, d).measured()
-    out = Ranges([k // 3 + 1 for k in range(c.shape["i"])])
+    out = Formula(c.shape["i"], lambda k: F.floor((k - 1) / 3) + 1)
     return _rounded(windowed_op([InputArray(c)], lambda v: v, OutWindows({"i": out}), red="maximum").df, "value")
 
 
+@_query("select j as i, count(*) as n, round(sum(value), 6) as value from (select value, unnest([event_id // 5 + 1, event_id // 5 + 2]) as j from events) group by 1")
+def win_output_overlapping(spark, d):
+    """Output windows of two cells, each one further every five steps: what is folded, and how often a cell is written."""
+    c = events(spark, d).measured()
+    out = OutWindows({"i": Formula(c.shape["i"], lambda k: F.floor((k - 1) / 5) + 1, lambda k: F.floor((k - 1) / 5) + 2)})
+    total, n = (windowed_op([InputArray(c)], lambda v: v, out, red=r).df for r in ("sum", "nvalid"))
+    return _rounded(total.join(n.withColumnRenamed("value", "n"), "i"), "value", n="long")
+
+
+@_query("select event_id // 100 as step, event_id // 100 * 100 as lo, event_id // 100 * 100 + 99 as hi, min(event_id) as first_i, max(event_id) as last_i from events group by 1, 2, 3")
+def win_lookup(spark, d):
+    """The windows that hold any event, with the first and last index that is looked up in each."""
+    c = events(spark, d).measured()
+    w = Tumbling(0, 100, -(-c.shape["i"] // 100))
+    held = w.assign(c.df, "i", "step").groupBy("step").agg(F.min("i").alias("first_i"), F.max("i").alias("last_i"))
+    return w.table(spark).join(held, "step").select((F.col("step") - 1).alias("step"), "lo", "hi", "first_i", "last_i")
+
+
 @_query("with a as (select event_id // 5 as k, sum(value) as s from events group by 1) select k + 1 as i, round(s * value, 6) as value from a join events on event_id = k * 5")
 def op_two_windows(spark, d):
     c = events(spark, d).measured()
@@ -497,13 +549,32 @@ t as (select k, -20 + k * 7 as x from range(0, 360) r(k))
 select t.k::bigint as day, round(case when t.x < a.lo then a.fv when a.nx is null then a.v else a.v + (a.nv - a.v) * (t.x - a.x) / (a.nx - a.x) end, 4) as v
 from t join a on (t.x >= a.x and (t.x < a.nx or a.nx is null)) or (t.x < a.lo and a.x = a.lo)""")
 def interp_linear_irregular(spark, d):
+    c, axis = order_days(spark, d)
+    return _rounded(interpolate(c, {"day": (axis, Axis.uniform(-20, 7, 360))}).df, "v", digits=4)
+
+
+def order_days(spark: SparkSession, d: str) -> tuple[Cube, Axis]:
+    """Sales by day, and the axis of the days there are."""
     day = F.datediff(F.to_date("o_orderdate"), F.lit("1992-01-01").cast("date"))
     sums = spark.read.parquet(f"{d}/orders.parquet").groupBy(day.alias("x")).agg(F.sum("o_totalprice").alias("v"))
-    axis = [r.x for r in sums.select("x").orderBy("x").collect()]  # an axis: a coordinate for each day there is
-    places = spark.createDataFrame(list(enumerate(axis)), "day long, x int")
-    c = Cube(sums.join(F.broadcast(places), "x").select("day", "v"), ("day",), ("v",), {"day": len(axis)})
-    out = interpolate(c, {"day": (Axis.of(axis), Axis.uniform(-20, 7, 360))})
-    return _rounded(out.df, "v", digits=4)
+    axis = Axis.in_table(sums, "x")
+    places = A.label_index(Cube(sums, ("x",), ("v",)), "x", "x")
+    return Cube(places.join(sums, "x").select((F.col("index") - 1).alias("day"), "v"), ("day",), ("v",), {"day": axis.n}), axis
+
+
+@_query("""with o as (select date_diff('day', date '1992-01-01', o_orderdate::date) as x, sum(o_totalprice) as v from orders group by 1),
+t as (select k, -20 + k * 7 as x from range(0, 360) r(k))
+select t.k::bigint as day, round(coalesce((select v from o where o.x <= t.x order by o.x desc limit 1), (select v from o order by o.x limit 1)), 4) as v from t""")
+def interp_previous_irregular(spark, d):
+    c, axis = order_days(spark, d)
+    return _rounded(interpolate(c, {"day": (axis, Axis.uniform(-20, 7, 360))}, method="previous").df, "v", digits=4)
+
+
+@_query("select k::bigint as i, round(value, 6) as value from (select unnest(range(0, 2 * n)) as k, n from (select count(*) as n from events)) join events on event_id = ceil(least(k * 0.4::double, n - 1))::bigint")
+def interp_next(spark, d):
+    c = events(spark, d).measured()
+    n = c.shape["i"]
+    return _rounded(interpolate(c, {"i": (Axis.uniform(0, 1, n), Axis.uniform(0, 0.4, 2 * n))}, method="next").df, "value")
 
 
 @_query(f"""with {EMB}, n as (select count(*) as n from embeddings), p as (select i, least(greatest(-1.0::double + i * 0.7::double, 0), n - 1) as a from (select unnest(range(0, round(n / 0.7)::bigint)) as i, n from n)), q as (select j, least(greatest(-0.5::double + j * 0.9::double, 0), 63) as b from range(0, 73) r(j)),
@@ -586,11 +657,13 @@ def rechunk_identity(spark, d):
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share."""
+    """A new folder that all executors share; where the session names none, one machine's own."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="gridloom-")
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -602,6 +675,185 @@ def densify_cube(spark, d):
 
 @_query("select event_id // 64 + 1 as i, histogram.n::bigint as n, round(lo, 6) as low from (select event_id // 64 as k, count(*) as n, min(value) as lo from events group by 1) histogram, lateral (select k * 64 as event_id)")
 def multi_statistic(spark, d):
+    return _rounded(A.aggregate(events(spark, d), {"n": "nvalid", "low": "minimum"}, {"i": 64}).df, "low", n="long")
+
+
+# -- user functions with a start value and with filters ---------------------------------
+
+
+@_query("select event_id // 100 as k, round(1000 + sum(value), 4) as value from events group by 1")
+def udaf_init(spark, d):
+    """A start value that isn't neutral enters each group once, on however many partitions its cells are."""
     c = events(spark, d)
-    parts_ = [A.aggregate(c, f, {"i": 64}).df.withColumnRenamed("value", n) for f, n in (("nvalid", "n"), ("minimum", "low"))]
-    return _rounded(reduce(lambda a, b: a.join(b, "i"), parts_), "low", n="long")
+    rows = Cube(c.df.select("i", F.floor(F.col("i") / 100).alias("k"), "value").repartition(7), ("i", "k"), ("value",))
+    f = create_function(lambda x: x, "double", red=lambda a, b: a + b, init=1000.0)
+    return _rounded(f.reduce(rows, ["i"]), "value", digits=4)
+
+
+@_query("select event_id // 100 as k, round(sum(value) / count(value), 6) as value from events group by 1")
+def udaf_pairs(spark, d):
+    """Accumulators (count, sum) of another kind than the values, joined by ``merge``."""
+    rows = Cube(events(spark, d).df.select("i", F.floor(F.col("i") / 100).alias("k"), "value").repartition(5), ("i", "k"), ("value",))
+    f = create_function(lambda x: x, "double", red=lambda acc, x: (acc[0] + 1, acc[1] + x), init=(0, 0.0), merge=lambda a, b: (a[0] + b[0], a[1] + b[1]), finalize=lambda acc: acc[1] / acc[0])
+    return _rounded(f.reduce(rows, ["i"]), "value")
+
+
+@_query(f"with {GAPS} select i // 7 as k, case when count(value) > 2 then round(sum(value) + 5, 6) end as value from h group by 1")
+def udaf_filtered(spark, d):
+    i, step = F.col("i"), F.floor(F.col("i") / 7)
+    gap = (step % 5 == 0) | (i * i % 11 < 4)
+    rows = events(spark, d).df.select("i", step.alias("k"), F.when(~gap, F.when(step % 3 == 0, 1.0).otherwise(F.col("value"))).alias("value"))
+    f = create_function(lambda x: x, "double", red=lambda a, b: a + b, init=5.0, filters=[maps.n_valid(2)])
+    return _rounded(f.reduce(Cube(rows, ("i", "k"), ("value",)), ["i"]), "value")
+
+
+@_query("select event_id as i, case when event_id // 10 % 4 = 0 then null else round(value - avg(value) over (partition by event_id // 10), 6) end as z from events")
+def udf_block_filtered(spark, d):
+    rows = events(spark, d).df.select("i", F.when(F.floor(F.col("i") / 10) % 4 != 0, F.col("value")).alias("value"))
+    f = create_function(lambda pdf: pdf.assign(z=pdf["value"] - pdf["value"].mean())[["i", "z"]], {"z": "double"}, is_blockfunction=True, filters=[maps.all_missing])
+    return _rounded(f.on_blocks(Cube(rows, ("i",), ("value",), {}, {"i": 0}), {"i": 10}), "z")
+
+
+@_query(_FILTER_SQL.format("true"))
+def filter_none(spark, d):
+    return _filter_query(spark, d, maps.no_filter)
+
+
+# -- groups without cells, statistics by name --------------------------------------------
+
+
+@_query("select k + 1 as i, case when k % 3 > 0 then round(avg(value), 6) end as value from (select unnest(range(0, (count(*) + 9) // 10)) as k from events) left join events on event_id // 10 = k and k % 3 > 0 group by k")
+def agg_empty_groups(spark, d):
+    c = events(spark, d).measured()
+    some = Cube(c.df.where(F.floor(F.col("i") / 10) % 3 > 0), ("i",), ("value",), c.shape, c.origin)
+    return _rounded(A.aggregate(some, "mean", {"i": 10}, every=True).df, "value")
+
+
+@_query("""select event_id // 400 + 1 as i, round(avg(value), 6) as mean, round(sum(value), 4) as sum, round(min(value), 6) as minimum, round(max(value), 6) as maximum, count(value)::double as nvalid, round(var_samp(value), 4) as variance from events group by 1""")
+def agg_mergeable_names(spark, d):
+    """The statistics whose partial results can be merged, in one pass."""
+    names_ = [n for n in ("mean", "sum", "minimum", "maximum", "nvalid", "variance", "median") if has_mergeable(n)]
+    out = A.aggregate(events(spark, d), {n: n for n in names_}, {"i": 400}).df
+    return _rounded(_rounded(out, "mean", "minimum", "maximum", nvalid="double"), "sum", "variance", digits=4)
+
+
+# -- inputs and targets --------------------------------------------------------------------
+
+
+@_query(f"with {EMB} select vec_id, d, round(x * (d * d + 0.5), 6) as value from e")
+def map_nested_input(spark, d):
+    """A vector in the driver's memory, met on a dimension."""
+    weights = Cube.from_nested(spark, [k * k + 0.5 for k in range(64)], ["d"], origin=0)
+    return _rounded(maps.broadcast(lambda x, w: x * w, embeddings(spark, d), weights).df, "value")
+
+
+@_query("select event_id as i, round(value - 1, 6) as down from events")
+def map_pruned_output(spark, d):
+    """One of two outputs: the other isn't worked out."""
+    both = maps.map_cells(events(spark, d), {"up": lambda v: v + 1, "down": lambda v: v - 1}).df
+    return _rounded(both.select("i", "down"), "down")
+
+
+@_query("select k as i, round(sum(value), 4) as value from (select event_id // 1000 as k, value from events) group by 1")
+def result_collected(spark, d):
+    """A small result in the driver's memory, and a cube of it."""
+    cells = A.aggregate(events(spark, d), "sum", {"i": 1000}).collect()
+    data = [cells[k] for k in sorted(cells)]
+    return _rounded(Cube.from_nested(spark, data, ["i"], origin=0).df, "value", digits=4)
+
+
+def _target(spark: SparkSession, path: str, dims: tuple[str, ...], value: str) -> DataFrame:
+    return spark.read.parquet(path).select(*dims, value)
+
+
+@_query(f"with {EMB} select vec_id, d, round(x * 2, 6) as x from e")
+def copy_into_target(spark, d):
+    """A result straight into a chunked target that held something else."""
+    c, path = embeddings(spark, d).measured(), _scratch(spark, "target")
+    copy_to(c, path, c.shape, {"vec_id": 256, "d": 32})
+    copy_to(maps.map_cells(c, {"x": lambda x: x * 2}), path, c.shape, {"vec_id": 64, "d": 16})
+    return _rounded(_target(spark, path, c.dims, "x"), "x")
+
+
+@_query(f"with {EMB} select vec_id, d, round(x, 6) as x from e where vec_id < 100 and d < 10")
+def write_clipped(spark, d):
+    """Cells beyond the target's shape have no place in it."""
+    c, path = embeddings(spark, d), _scratch(spark, "clipped")
+    write_cube(c, path, {"vec_id": 32, "d": 4}, shape={"vec_id": 100, "d": 10})
+    return _rounded(_target(spark, path, c.dims, "x"), "x")
+
+
+@_query(f"with {EMB} select vec_id // 100 as c_vec_id, d // 16 as c_d, count(*) as n, round(sum(x), 4) as x from e group by 1, 2")
+def write_shared_chunks(spark, d):
+    """Chunks that many tasks write to: nothing is lost, and blocks pass through as they are."""
+    c, path = embeddings(spark, d), _scratch(spark, "shared")
+    mixed = Cube(c.df.repartition(9), c.dims, c.values, c.shape, c.origin)
+    write_cube(mixed, path, {"vec_id": 100, "d": 16})
+    out = spark.read.parquet(path).groupBy(F.col("c_vec_id").cast("long").alias("c_vec_id"), F.col("c_d").cast("long").alias("c_d")).agg(F.count("*").alias("n"), F.sum("x").alias("x"))
+    return _rounded(out, "x", digits=4)
+
+
+@_query(_SQL["interp_2d"])
+def interp_into_target(spark, d):
+    c, path = embeddings(spark, d).measured(), _scratch(spark, "resampled")
+    n = c.shape["vec_id"]
+    conv = {"vec_id": (Axis.uniform(0, 1, n), Axis.uniform(-1, 0.7, round(n / 0.7))), "d": (Axis.uniform(0, 1, 64), Axis.uniform(-0.5, 0.9, 73))}
+    out = interpolate(c, conv)
+    copy_to(out, path, {"vec_id": round(n / 0.7), "d": 73}, {"vec_id": 100, "d": 73})
+    return _rounded(_target(spark, path, out.dims, "x"), "x")
+
+
+@_query(f"with {EMB} select vec_id, d, round(x, 6) as x from e")
+def rechunk_planned(spark, d):
+    return _rounded(rechunk(embeddings(spark, d), None, _scratch(spark, "planned")).df, "x")
+
+
+@_query("select event_id as i, round(value * 3, 6) as value, event_id // 700 as block from events")
+def run_resumed(spark, d):
+    """A run that fails at one block and goes on later: finished blocks aren't made again."""
+    c, path, made = events(spark, d).measured(), _scratch(spark, "resumed"), []
+    ranges = {"i": [(a, a + 699) for a in range(0, c.shape["i"], 700)]}
+
+    def triple(part: Cube, fails: bool) -> DataFrame:
+        if fails and part.origin["i"] == 700:
+            raise RuntimeError("stopped")
+        made.append(part.origin["i"])
+        return maps.map_cells(part, lambda v: v * 3).df
+
+    try:
+        run_blocks(c, lambda part: triple(part, True), ranges, path)
+    except RuntimeError:
+        pass
+    out = run_blocks(c, lambda part: triple(part, False), ranges, path, mode="continue")
+    if made.count(700) != 1:
+        raise ValueError("the block that failed is made once, when the run goes on")
+    return _rounded(out.select("i", "value", F.col("block").cast("long").alias("block")), "value")
+
+
+# -- what the plan makes of stacked operations ---------------------------------------------
+
+
+@_query("select event_id as i, round((value * 2 + 1) * 3 - 4, 6) as value, true as fused from events where event_id between 50 and 5000")
+def plan_fused_maps(spark, d):
+    """Three maps and a range: one projection over one scan that takes the range."""
+    c = events(spark, d).subset(i=(50, 5000))
+    for f in (lambda v: v * 2 + 1, lambda v: v * 3, lambda v: v - 4):
+        c = maps.map_cells(c, f)
+    fused = inspect.is_fused(c.df) and bool(inspect.pushed(c.df)) and inspect.shuffles(c.df) == 0
+    return _rounded(c.df, "value").withColumn("fused", F.lit(fused))
+
+
+@_query("with s as (select event_id // 10 as k, sum(value) as v from events group by 1) select a.k + 1 as i, round(a.v + b.v * 0.5, 6) as value, true as shared from s a join s b on a.k = b.k")
+def plan_shared_subplan(spark, d):
+    """One aggregation that is used twice: its shuffle is made once."""
+    one = A.aggregate(events(spark, d), "sum", {"i": 10})
+    out = maps.broadcast(lambda a, b: a + b * 0.5, one, Cube(one.df.select("*"), one.dims, one.values, one.shape, one.origin)).df
+    return _rounded(out, "value").withColumn("shared", F.lit(inspect.reused(out) > 0))
+
+
+@_query("select k + 1 as i, round(avg(v), 6) as value, 1::bigint as scans, 2::bigint as aggregations from (select event_id // 20 as k, max(value) as v from events group by event_id // 5, event_id // 20) group by 1")
+def plan_chain(spark, d):
+    """The operators of a chain of two aggregations, as the plan has them: one scan, two shuffles."""
+    out = A.aggregate(A.aggregate(events(spark, d), "maximum", {"i": 5}), "mean", {"i": 4}).df
+    found = inspect.nodes(out)
+    return _rounded(out, "value").withColumn("scans", F.lit(found["FileScan"] + found["Scan"]).cast("long")).withColumn("aggregations", F.lit(inspect.shuffles(out)).cast("long"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor, as_completed
 from itertools import product
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,8 +47,9 @@ def copy_to(cube: Cube, path: str, shape: Mapping[str, int], chunks: Mapping[str
     write_cube(cube, path, chunks, mode="overwrite")
 
 
-def rechunk(cube: Cube, chunks: Mapping[str, int], path: str, mode: str = "errorifexists", shape: Mapping[str, int] | None = None) -> Cube:
-    """The same cells in another chunking, written to ``path`` and read from there."""
+def rechunk(cube: Cube, chunks: Mapping[str, int] | None, path: str, mode: str = "errorifexists", shape: Mapping[str, int] | None = None) -> Cube:
+    """The same cells in another chunking (``planned_chunks`` if None), written to ``path`` and read from there."""
+    chunks = planned_chunks(cube) if chunks is None else chunks
     if unknown := set(chunks) - set(cube.dims):
         raise ValueError(f"no dimensions {sorted(unknown)}")
     if shape is not None:
@@ -55,6 +59,25 @@ def rechunk(cube: Cube, chunks: Mapping[str, int], path: str, mode: str = "error
     return Cube(back, cube.dims, cube.values, dict(cube.shape), dict(cube.origin))
 
 
+def planned_chunks(cube: Cube, rows: int = 4_000_000, stored: Mapping[str, int] | None = None) -> dict[str, int]:
+    """A chunk length for each dimension, so that a full chunk has at most about ``rows`` cells.
+
+    Lengths are multiples of those that are ``stored`` (of 1 where nothing is known), so that
+    a stored chunk is read for one new chunk. Starting from one stored chunk, the dimension
+    whose chunk covers the least of its length is doubled while that fits.
+    """
+    c = cube.measured()
+    unit = {d: max(1, min((stored or {}).get(d, 1), max(c.shape[d], 1))) for d in c.dims}
+    out = dict(unit)
+    while True:
+        open_ = [d for d in c.dims if out[d] < c.shape[d]]
+        grown = [d for d in open_ if math.prod(out.values()) * 2 <= rows]
+        if not grown:
+            return out
+        d = min(grown, key=lambda d: out[d] / c.shape[d])
+        out[d] *= 2
+
+
 Block = tuple[tuple[int, int], ...]
 
 
@@ -64,62 +87,68 @@ def blocks_of(ranges: Sequence[Sequence[tuple[int, int]]]) -> list[Block]:
 
 
 class Manifest:
-    """Which blocks of a run are done: a row each, appended when the block's files are there."""
+    """The blocks of a run below ``path``, and which are done: those whose folder Spark has committed."""
 
     def __init__(self, spark: SparkSession, path: str, blocks: list[Block], mode: str):
         if mode not in ("continue", "overwrite"):
             raise ValueError(f"mode {mode!r}; there are continue and overwrite")
         self.spark, self.path, self.blocks = spark, path, blocks
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._path = hadoop(path)
-        self._fs = self._path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._plan, self._hadoop = f"{path}/plan", hadoop
-        there = self._fs.exists(hadoop(self._plan))
-        if there and mode == "overwrite":
-            self._fs.delete(self._path, True)
+        self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        plan = f"{path}/_plan"
+        there = self._fs.exists(self._hadoop(plan))
+        if mode == "overwrite":
+            self._fs.delete(self._hadoop(path), True)
             there = False
         if there:
-            planned = [tuple(map(tuple, r.b)) for r in spark.read.parquet(self._plan).orderBy("n").collect()]
+            planned = [tuple(map(tuple, r.b)) for r in spark.read.parquet(plan).orderBy("n").collect()]
             if planned != blocks:
                 raise ValueError("the manifest belongs to a run over other blocks")
         else:
             rows = [(n, [list(x) for x in b]) for n, b in enumerate(blocks)]
-            spark.createDataFrame(rows, "n long, b array<array<long>>").coalesce(1).write.parquet(self._plan)
+            spark.createDataFrame(rows, "n long, b array<array<long>>").coalesce(1).write.parquet(plan)
+
+    def folder(self, n: int) -> str:
+        return f"{self.path}/block={n}"
 
-    def add(self, n: int) -> None:
-        self.spark.createDataFrame([(n,)], "n long").coalesce(1).write.mode("append").parquet(f"{self.path}/done")
+    def is_done(self, n: int) -> bool:
+        return self._fs.exists(self._hadoop(f"{self.folder(n)}/_SUCCESS"))
 
     def finished(self) -> list[Block]:
-        return [self.blocks[n] for n in sorted(self._numbers())]
+        return [b for n, b in enumerate(self.blocks) if self.is_done(n)]
 
     def remaining(self) -> list[tuple[int, Block]]:
-        done = self._numbers()
-        return [(n, b) for n, b in enumerate(self.blocks) if n not in done]
-
-    def _numbers(self) -> set[int]:
-        if not self._fs.exists(self._hadoop(f"{self.path}/done")):
-            return set()
-        return {r.n for r in self.spark.read.schema("n long").parquet(f"{self.path}/done").collect()}
+        return [(n, b) for n, b in enumerate(self.blocks) if not self.is_done(n)]
 
     def delete(self) -> None:
-        self._fs.delete(self._path, True)
+        self._fs.delete(self._hadoop(f"{self.path}/_plan"), True)
 
 
-def run_blocks(cube: Cube, f: Callable[[Cube], DataFrame], ranges: Mapping[str, Sequence[tuple[int, int]]], path: str, mode: str = "overwrite", progress: Callable[[int, int], None] | None = None) -> DataFrame:
+def run_blocks(cube: Cube, f: Callable[[Cube], DataFrame], ranges: Mapping[str, Sequence[tuple[int, int]]], path: str, mode: str = "overwrite", progress: Callable[[int, int], None] | None = None, parallel: int = 8) -> DataFrame:
     """``f`` of each block of the cube, written below ``path``; a stopped run goes on with mode ``continue``.
 
+    ``parallel`` blocks run side by side, a job each; Spark shares its executors among them.
     ``progress`` is called with the number of blocks done and of all blocks after each one.
-
-    A block's folder is written as a whole and may be written again, so a block that was
-    cut off leaves nothing behind. The manifest goes when all blocks are done.
+    A block's folder is committed as a whole and may be written again, so a block that was
+    cut off leaves nothing behind. The plan goes when all blocks are done.
     """
     spark, dims = cube.df.sparkSession, list(ranges)
-    manifest = Manifest(spark, f"{path}/_manifest", blocks_of([list(ranges[d]) for d in dims]), mode)
-    todo = manifest.remaining()
-    for done, (n, block) in enumerate(todo, len(manifest.blocks) - len(todo) + 1):
-        f(cube.subset(**dict(zip(dims, block)))).write.mode("overwrite").parquet(f"{path}/block={n}")
-        manifest.add(n)
-        if progress:
-            progress(done, len(manifest.blocks))
+    manifest = Manifest(spark, path, blocks_of([list(ranges[d]) for d in dims]), mode)
+    todo, total = manifest.remaining(), len(manifest.blocks)
+
+    def one(n: int, block: Block) -> None:
+        f(cube.subset(**dict(zip(dims, block)))).write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(manifest.folder(n))
+
+    with ThreadPoolExecutor(max_workers=parallel) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(one), n, block) for n, block in todo]
+        try:
+            for done, job in enumerate(as_completed(running), total - len(todo) + 1):
+                job.result()
+                if progress:
+                    progress(done, total)
+        except BaseException:
+            for job in running:
+                job.cancel()
+            raise
     manifest.delete()
     return spark.read.option("basePath", path).parquet(f"{path}/block=*")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom import Axis, Cube, InputArray, OutWindows, Ranges, Repeated, Tumbling, aggregate, broadcast, create_function, interpolate, map_cells, mapreduce, mapslices, median, rechunk, run_blocks, windowed_op, zonal
+from gridloom import Axis, Cube, InputArray, OutWindows, Ranges, Repeated, Tumbling, aggregate, broadcast, create_function, interpolate, map_cells, mapreduce, mapslices, median, pyramid, rechunk, run_blocks, windowed_op, zonal
 from gridloom.functions.stats import Mergeable, finite, has_mergeable
 from gridloom.operators import aggregate as A
 from gridloom.operators import maps, moving
@@ -122,6 +122,87 @@ def test_neighbourhood(spark):
             assert got[i + 1, j + 1] == pytest.approx(np.median(data[max(0, i - 1) : i + 2, max(0, j - 2) : j + 3]))
 
 
+@pytest.mark.parametrize("f", ["sum", "mean", "nvalid", "minimum", "maximum", "median", "variance", "mode"])
+@pytest.mark.parametrize("skipmissing", [True, False])
+def test_neighbourhoods_equal_brute_force(spark, f, skipmissing):
+    """Separable and block-wise neighbourhoods, with missing cells and cells that have no row."""
+    r = np.random.default_rng(6)
+    data = np.round(r.normal(size=(9, 7)) * 2) + 0.0
+    data[r.random(data.shape) < 0.25] = np.nan
+    gone = r.random(data.shape) < 0.2
+    rows = [(i, j, 5, None if np.isnan(data[i, j]) else float(data[i, j])) for i in range(9) for j in range(7) if not gone[i, j]]
+    c = Cube(spark.createDataFrame(rows, "i long, j long, t long, v double"), ("i", "j", "t"), ("v",), {"i": 9, "j": 7}, {"i": 0, "j": 0, "t": 5})
+    extra = {"side": 4} if f in ("median", "variance") else {}
+    got = moving.neighbourhood(c, {"i": 2, "j": 1}, f, skipmissing, **extra).collect()
+    of = {"sum": np.sum, "mean": np.mean, "nvalid": len, "minimum": np.min, "maximum": np.max, "median": np.median, "variance": lambda x: np.var(x, ddof=1) if len(x) > 1 else None, "mode": lambda x: min(set(x), key=lambda v: (-list(x).count(v), v))}[f]
+    for i in range(9):
+        for j in range(7):
+            at = [(a, b) for a in range(max(0, i - 2), min(9, i + 3)) for b in range(max(0, j - 1), min(7, j + 2)) if not gone[a, b]]
+            x = np.array([data[p] for p in at])
+            if not at:
+                assert (i, j, 5) not in got
+                continue
+            here = x[~np.isnan(x)]
+            missing = not skipmissing and len(here) < len(x) and f != "nvalid"
+            want = None if missing or not len(here) and f != "nvalid" else of(here)
+            assert got[i, j, 5] == (want if want is None else pytest.approx(want)), (i, j)
+
+
+@pytest.mark.parametrize("method", ["linear", "nearest", "previous", "next"])
+def test_interpolation_on_axes_of_all_kinds(spark, method):
+    """Arithmetic spreading and listed axes give what placing every target one by one gives."""
+    values = [1.0, 4.0, 9.0, 16.0, 25.0, 36.0]
+    c = Cube.from_nested(spark, values, ["i"], origin=3)
+    up, down = Axis.uniform(10, 2, 6), Axis.uniform(20, -2, 6)
+    lists = [Axis.of([10, 12, 14, 16, 18, 20]), Axis.of([20, 17, 16, 11, 3, 2])]
+    for src in (up, down, *lists):
+        for dst in (Axis.uniform(5, 0.75, 30), Axis.uniform(27, -1.3, 20), Axis.of([3, 10, 10.5, 19, 20, 40])):
+            xs = [dst[k] for k in range(dst.n)]
+            known = [src[k] for k in range(src.n)]
+            pairs = sorted(zip(known, range(6)))
+            places = np.interp(xs, [x for x, _ in pairs], [k for _, k in pairs])
+            p = np.clip(places, 0, 5)
+            want = {"linear": np.interp(p, range(6), values), "nearest": [values[min(int(q + 0.5), 5)] for q in p], "previous": [values[int(np.floor(q + 1e-12))] for q in p], "next": [values[int(np.ceil(q - 1e-12))] for q in p]}[method]
+            got = interpolate(c, {"i": (src, dst)}, method).collect()
+            assert [got[k + 3,] for k in range(dst.n)] == pytest.approx(list(want)), (src, dst)
+
+
+@pytest.mark.parametrize("f", ["sum", "mean", "minimum", "nvalid", "median"])
+@pytest.mark.parametrize("skipmissing", [True, False])
+def test_pyramid_levels(spark, f, skipmissing):
+    data = [1.0, 2.0, None, 4.0, 5.0, 7.0, 8.0, None, None, None, 3.0]
+    got = {(r.level, r.i): r.value for r in pyramid(vector(spark, data), ["i"], 3, f, skipmissing).collect()}
+    for level in (1, 2, 3):
+        for b in range(-(-len(data) // 2**level)):
+            x = data[b * 2**level : (b + 1) * 2**level]
+            here = [v for v in x if v is not None]
+            want = float(len(here)) if f == "nvalid" else None if not here or not skipmissing and len(here) < len(x) else {"sum": sum, "mean": np.mean, "minimum": min, "median": np.median}[f](here)
+            assert got[level, b + 1] == want, (level, b)
+
+
+def test_several_statistics_and_empty_groups(spark):
+    c = Cube(vector(spark, [1.0, 2.0, 3.0, 4.0, 5.0]).df.where("i <> 3 and i <> 4"), ("i",), ("value",), {"i": 5}, {"i": 1})
+    got = {r.i: (r.low, r.n) for r in aggregate(c, {"low": "minimum", "n": "nvalid"}, {"i": 2}, every=True).df.collect()}
+    assert got == {1: (1.0, 2), 2: (None, None), 3: (5.0, 1)}
+    labels = c.df.select("i", F.when(F.col("i") == 5, "a").otherwise("z").alias("l"))
+    assert aggregate(c, "sum", {"i": labels}).collect() == {(1,): 3.0, (2,): 5.0}
+    many = Cube(spark.range(300).select(F.col("id").alias("i"), (F.col("id") * 7 % 100).cast("string").alias("l")), ("i",), ())
+    index = {r.l: r["index"] for r in A.label_index(many, "i", "l", block=16).collect()}
+    assert index == {str(k * 7 % 100): k + 1 for k in range(100)}
+
+
+def test_start_values_and_filters(spark):
+    c = Cube(spark.range(100).select(F.col("id").alias("i"), F.lit(1.0).alias("value")).repartition(4), ("i",), ("value",))
+    plus = create_function(lambda x: x, "double", red=lambda a, b: a + b, init=10.0)
+    assert [r.value for r in plus.reduce(c, ["i"]).collect()] == [110.0]
+    pairs = create_function(lambda x: x, "double", red=lambda a, x: (a[0] + 1, a[1] + x), init=(0, 0.0), merge=lambda a, b: (a[0] + b[0], a[1] + b[1]), finalize=lambda a: a[0] * 1000 + a[1])
+    assert [r.value for r in pairs.reduce(c, ["i"]).collect()] == [100_100.0]
+    skipped = create_function(lambda x: x, "double", red=lambda a, b: a + b, filters=[maps.std_zero])
+    assert [r.value for r in skipped.reduce(c, ["i"]).collect()] == [None]
+    with pytest.raises(ValueError, match="filters"):
+        create_function(lambda x: x, "double", filters=[maps.std_zero]).on(c)
+
+
 def test_interpolation_of_a_linear_field(spark):
     data = [[[i + j + k for k in range(1, 7)] for j in range(1, 6)] for i in range(1, 5)]
     c = Cube.from_nested(spark, data, ["i", "j", "k"])
@@ -198,21 +279,24 @@ def test_restart(spark, tmp_path):
         return block.df.withColumn("value", F.when(F.col("value") < 25, F.raise_error(F.lit("not again")).cast("long")).otherwise(F.col("value")))
 
     with pytest.raises(Exception, match="stopped here"):
-        run_blocks(c, failing, ranges, path)
+        run_blocks(c, failing, ranges, path, parallel=1)
     with pytest.raises(Exception, match="not again"):
         run_blocks(c, resumed, ranges, str(tmp_path / "other"))
     told = []
     got = run_blocks(c, resumed, ranges, path, mode="continue", progress=lambda n, of: told.append((n, of)))
-    assert told == [(7, 9), (8, 9), (9, 9)]
+    assert told[-1] == (9, 9) and 0 < len(told) <= 3
     assert sorted(r.value for r in got.collect()) == list(range(1, 31))
-    assert not (tmp_path / "run/_manifest").exists()
+    assert not (tmp_path / "run/_plan").exists()
+    side_by_side = run_blocks(c, lambda block: block.df, ranges, path, parallel=4)
+    assert sorted(r.value for r in side_by_side.collect()) == list(range(1, 31))
 
 
 def test_manifest(spark, tmp_path):
     blocks = blocks_of([[(1, 3), (4, 6), (7, 9), (10, 10)], [(1, 1), (2, 3), (4, 6)]])
     m = Manifest(spark, str(tmp_path / "m"), blocks, "overwrite")
     for n in (0, 2, 4):
-        m.add(n)
+        spark.range(1).write.parquet(m.folder(n))
+    (tmp_path / "m" / "block=5").mkdir()  # cut off before it was committed
     again = Manifest(spark, str(tmp_path / "m"), blocks, "continue")
     assert again.finished() == [((1, 3), (1, 1)), ((7, 9), (1, 1)), ((1, 3), (2, 3))]
     assert sorted(b for _, b in again.remaining()) == [((1, 3), (4, 6)), ((4, 6), (1, 1)), ((4, 6), (2, 3)), ((4, 6), (4, 6)), ((7, 9), (2, 3)), ((7, 9), (4, 6)), ((10, 10), (1, 1)), ((10, 10), (2, 3)), ((10, 10), (4, 6))]
