@@ -7,7 +7,7 @@ import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -136,6 +136,31 @@ def _placed(df: DataFrame, name: str, trusted: bool = False) -> DataFrame | None
     return rows.join(begin, f"__file_{name}").withColumn(name, F.col(f"__begin_{name}") + F.col(f"__row_{name}")).select(*[df[c] for c in df.columns if c != name], name)
 
 
+def without(docs: DataFrame, judged: Callable[[DataFrame, str], DataFrame], ws: Workspace) -> DataFrame:
+    """``docs`` but for the rows whose numbers ``judged``, given the numbered rows and the number's name, returns as ``rid``."""
+    name = "rid"
+    while name in docs.columns:
+        name += "_"
+    rows = numbered(docs, ws, name)
+    gone = sized(ws.save(judged(rows, name).select(F.col("rid").alias(f"gone_{name}")).distinct(), "gone"))
+    return rows.join(gone, rows[name] == gone[f"gone_{name}"], "left_anti").select(*docs.columns)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """What runs meanwhile passes at most ``rows`` rows at once to Python, which bounds buffers on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def trim() -> None:
     """Give the memory of batches that are done back to the machine; a worker serves many tasks."""
     pa.default_memory_pool().release_unused()

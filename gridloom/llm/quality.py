@@ -11,7 +11,9 @@ The model is a table of BUCKETS numbers, whatever the data. The k-th largest key
 found by counting keys in ever narrower bins; no documents are sorted or gathered.
 
 A null text counts as empty (weight 0). Equal rows get equal keys and go the same way;
-all rows at the threshold stay. Without labels of either kind nothing is rejected.
+all rows at the threshold stay. Without labels of either kind nothing is rejected, and
+an empty table gives no rows. Texts are read whole. Other columns are not looked at;
+``keep`` returns them as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, sampled
+from .common import Workspace, sampled, small_batches, trim, without
 from .words import WordHashes, mix
 
 #: Labelled rows that the target model is fitted on, at most; buckets; share added to k.
@@ -70,10 +72,13 @@ def fit(docs: DataFrame, labels: DataFrame, ws: Workspace, most: int = SAMPLE) -
                 counts[0] += c
                 if g:
                     counts[1] += c
+        del grams
+        trim()
         at = np.flatnonzero(counts[0])
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[0][at]), pa.array(counts[1][at])], names=["bucket", "raw", "target"])
 
-    rows = marked.mapInArrow(run, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
+    with small_batches(spark):
+        rows = marked.mapInArrow(run, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
     raw, target = np.ones(BUCKETS), np.ones(BUCKETS)
     for r in rows:
         raw[r.bucket] += r.raw
@@ -88,17 +93,20 @@ def _gumbel(doc_id, text: str) -> float:
     return float(-np.log(-np.log(u)))
 
 
-def score(docs: DataFrame, ratios: np.ndarray | None) -> DataFrame:
-    """(doc_id, log_weight, gumbel_key)."""
+def score(docs: DataFrame, ratios: np.ndarray | None, rid_col: str | None = None) -> DataFrame:
+    """(doc_id, log_weight, gumbel_key[, rid])."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
         for batch in batches:
             w = [_weight(ratios, grams, t) for t in batch.column(1)]
             key = [x + _gumbel(i, t.as_py() or "") for x, i, t in zip(w, batch.column(0).to_pylist(), batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w, pa.float64()), pa.array(key, pa.float64())], names=["doc_id", "log_weight", "gumbel_key"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w, pa.float64()), pa.array(key, pa.float64()), *batch.columns[2:]], names=["doc_id", "log_weight", "gumbel_key", *(["rid"] if rid_col else [])])
+        del grams
+        trim()
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, log_weight double, gumbel_key double")
+    kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, log_weight double, gumbel_key double" + (", rid long" if rid_col else "")
+    return docs.select("doc_id", F.col("text").cast("string"), *([rid_col] if rid_col else [])).mapInArrow(run, kind)
 
 
 def _weight(ratios, grams: Grams, text: pa.Scalar) -> float:
@@ -133,27 +141,20 @@ def kth_largest(df: DataFrame, value: str, k: int, bins: int = 2048) -> float:
 class Quality:
     """A fitted model with the threshold that leaves the k largest keys."""
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, slack: float = SLACK, most: int = SAMPLE):
+    def __init__(self, docs: DataFrame, labels: DataFrame, slack: float = SLACK, most: int = SAMPLE, rid_col: str | None = None):
         ws = Workspace(docs.sparkSession, "quality")
         self.ratios, share = fit(docs, labels, ws, most)
-        self.scores = ws.save(score(docs, self.ratios), "scores")
+        with small_batches(docs.sparkSession):
+            self.scores = ws.save(score(docs, self.ratios, rid_col), "scores")
         n = self.scores.count()
         k = n if self.ratios is None else min(n, int(np.ceil(n * min(1.0, share + slack))))
         self.threshold = float("-inf") if k >= n else kth_largest(self.scores, "gumbel_key", k)
 
     def decisions(self) -> DataFrame:
-        """(doc_id, log_weight, gumbel_key, kept) of every document."""
+        """(doc_id, log_weight, gumbel_key, kept[, rid]) of every document."""
         return self.scores.withColumn("kept", F.col("gumbel_key") >= self.threshold)
 
-    def keep(self, docs: DataFrame) -> DataFrame:
-        """The documents that stay, all columns; keys are worked out again, so nothing is shuffled."""
-        ratios, threshold = self.ratios, self.threshold
-        i, t = docs.columns.index("doc_id"), docs.columns.index("text")
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            grams = Grams()
-            for batch in batches:
-                ok = [_weight(ratios, grams, x) + _gumbel(d, x.as_py() or "") >= threshold for d, x in zip(batch.column(i).to_pylist(), batch.column(t))]
-                yield batch.filter(pa.array(ok, pa.bool_()))
-
-        return docs.mapInArrow(run, docs.schema)
+def keep(docs: DataFrame, labels: DataFrame, slack: float = SLACK, most: int = SAMPLE) -> DataFrame:
+    """The documents that stay, all columns."""
+    return without(docs, lambda rows, name: Quality(rows, labels, slack, most, name).decisions().where("not kept"), Workspace(docs.sparkSession, "quality"))

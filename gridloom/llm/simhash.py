@@ -9,8 +9,8 @@ variants (65 for h = 1), whatever the data. Links are verified and deduplicated,
 components are found over fingerprints, never over documents.
 
 A null text counts as empty; texts without words have the fingerprint zero and are
-linked like any other. Repeated rows and ids keep a row each. Only the named columns
-are returned.
+linked like any other. Repeated rows and ids keep a row each. An empty table gives no
+rows. Only the named columns are read and returned, so that others can't clash.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, small_batches, trim
 from .components import components
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
@@ -57,6 +57,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             fp = np.fromiter((fingerprint(x.as_py()) for x in batch.column(1)), dtype=np.uint64, count=len(batch)).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), *batch.columns[2:]], names=["id", "fp", *(["rid"] if rid_col else [])])
+            trim()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(*cols).mapInArrow(run, f"id {kind}, fp long" + (", rid long" if rid_col else ""))
@@ -79,7 +80,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     component_id is the smallest id that is reachable, keep_rid (null without ``rid_col``) the rid of one such row.
     """
     ws = Workspace(docs.sparkSession, "simhash")
-    rows = ws.save(fingerprints(docs, id_col, text_col, rid_col), "rows")
+    with small_batches(docs.sparkSession):
+        rows = ws.save(fingerprints(docs, id_col, text_col, rid_col), "rows")
     least = F.struct(F.col("id").isNull().alias("none"), "id", (F.col("rid") if rid_col else F.lit(None).cast("long")).alias("rid"))
     fps = ws.save(rows.groupBy("fp").agg(F.min(least).alias("least")), "fps")
     roots = components(ball_links(fps.select("fp"), radius), ws)

@@ -62,7 +62,7 @@ def test_quality(spark):
     share = sum(y for *_, y in rows[:240]) / 240
     k = int(np.ceil(600 * min(1, share + quality.SLACK)))
     assert q.threshold == keys[k - 1] and sum(r.kept for r in got.values()) == k
-    kept = q.keep(docs)
+    kept = quality.keep(docs, labels)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
 
 
@@ -71,7 +71,7 @@ def test_quality_odd_tables(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(r.kept for r in quality.Quality(docs, none).decisions().collect())
     some = spark.createDataFrame([(None, 1, 0), (2, None, 0), (99, 1, 0), (98, 0, 0)], "doc_id long, quality int, toxic int")
-    assert quality.Quality(docs, some).keep(docs).count() == 5
+    assert quality.keep(docs, some).count() == 5
     known = spark.createDataFrame([(2, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
     assert quality.Quality(docs, known).decisions().count() == 5
     assert quality.Quality(docs.where("false"), known).decisions().count() == 0
@@ -136,29 +136,86 @@ def test_decontamination(spark):
     assert decontam.clean(df, bench.where("false")).count() == len(docs)
 
 
-def test_multi_index_finds_all_within_radius():
+@pytest.mark.parametrize("radius", [0, 3, 7, 19])
+def test_multi_index_finds_all_within_radius(radius):
+    """Every fingerprint within the radius is found, and no other, as by comparing all."""
     r = random.Random(7)
-    items = [(k, " ".join(f"w{r.randrange(500)}" for _ in range(30))) for k in range(80)]
-    index = decontam.Index(items, radius=7)
-    for _, _, _, _, f in index.items[:20]:
-        for flips in range(9):
-            g = f
-            for b in r.sample(range(64), flips):
-                g ^= 1 << b
-            assert index.lookup(g, 30) == {k for k, x in enumerate(index.items) if (x[4] ^ g).bit_count() <= 7}
+    prints = [r.getrandbits(64) for _ in range(8)]
+    table = decontam.Table(30, prints, decontam.ball(radius // decontam.PARTS), radius)
+    asked = [f for p in prints for flips in range(25) for f in [p ^ sum(1 << b for b in r.sample(range(64), flips))]] + [r.getrandbits(64) for _ in range(500)]
+    got = {(k, asked[i], int(d)) for k, at, ds in table.lookup(np.array(asked, dtype=np.uint64)) for i, d in zip(at.tolist(), ds)}
+    assert got == {(k, f, (p ^ f).bit_count()) for k, p in enumerate(prints) for f in asked if (p ^ f).bit_count() <= radius}
 
 
-def test_item_blocks(spark):
+def test_only_what_the_fingerprints_find_counts(spark):
+    """The lookup decides which windows are compared: at a radius of 0 only equal fingerprints are."""
+    items, docs = leaky()
+    every = {(i, m[0]) for i, t in docs for m in decontam.Index(items).matches([t or ""])[0]}
+    near = {(i, m[0]) for i, t in docs for m in decontam.Index(items, radius=0).matches([t or ""])[0]}
+    assert near < every and all(m[2] == 0 for i, t in docs for m in decontam.Index(items, radius=0).matches([t or ""])[0])
+
+
+def test_fingerprints_along_a_document():
+    """Runs, documents side by side and window sums give what each window's own fingerprint gives."""
+    items, docs = leaky()
+    texts = [t or "" for _, t in docs] * 3
+    together, before = decontam.Index(items).matches(texts), decontam.RUN
+    alone = [decontam.Index(items).matches([t])[0] for t in texts]
+    decontam.RUN = 50
+    try:
+        assert together == alone == decontam.Index(items).matches(texts)
+    finally:
+        decontam.RUN = before
+    index = decontam.Index(items)
+    for t, found in zip(texts, alone):
+        for item, sim, bits, first, n in found:
+            _, words, size, bag = next(x for x in index.items if x[0] == item)
+            w = decontam.rolling(index.words(t)[first : first + n], size)
+            assert sim == decontam.similarity(bag, Counter(w.tolist())) and bits == (decontam.simhash(w) ^ decontam.simhash(decontam.rolling(index.words(dict(items)[item]), size))).bit_count() <= decontam.RADIUS
+
+
+def test_recall_of_edited_items():
+    """Items with words replaced, by similarity of what is left: nearly all from 0.8 on are found, all from 0.9 on."""
+    r = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    items = [(k, " ".join(r.choices(vocabulary, k=n))) for k, n in enumerate(list(range(15, 60)) * 4)]
+    index, tally = decontam.Index(items), Counter()
+    for k, t in items:
+        for _ in range(4):
+            w = t.split()
+            for _ in range(r.choice([0, 1, 1, 2])):
+                w[r.randrange(len(w))] = "other"
+            best = decontam.similarity(grams(t.split()), grams(w))
+            if best >= 0.8:
+                text = " ".join([*r.choices(vocabulary, k=60), *w, *r.choices(vocabulary, k=60)])
+                tally[best >= 0.9, k in {m[0] for m in index.matches([text])[0]}] += 1
+    assert tally[True, True] > 100 and not tally[True, False] and tally[False, False] <= 0.02 * tally[False, True]
+
+
+def test_items_of_several_passes(spark):
     items, docs = leaky()
     df = spark.createDataFrame(docs, "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     one = sorted(tuple(r) for r in decontam.contaminated(df, bench).collect())
-    before, decontam.BLOCK = decontam.BLOCK, 200
+    before, decontam.ITEMS = decontam.ITEMS, 4
     try:
         assert sorted(tuple(r) for r in decontam.contaminated(df, bench).collect()) == one
         assert decontam.clean(df, bench).count() == len(docs) - len({r[0] for r in one})
     finally:
-        decontam.BLOCK = before
+        decontam.ITEMS = before
+
+
+def test_decontamination_odd_tables(spark):
+    """Ids that are words, repeated rows, null ids, one very long text, columns of the names that are used inside."""
+    items, _ = leaky()
+    long = " ".join(f"x{i % 7919}" for i in range(150_000)) + " " + items[8][1] + " " + " ".join(f"y{i}" for i in range(50_000))
+    rows = [("a", long, 1, 2), ("b", items[7][1], 1, 2), ("b", items[7][1], 1, 2), (None, items[7][1], 1, 2), ("c", "clean", 1, 2)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, rid int, i int")
+    bench = spark.createDataFrame([(str(i), t) for i, t in items], "item_id string, text string")
+    got = sorted(((r.doc_id, r.item_id, r.first_word) for r in decontam.contaminated(df, bench).collect()), key=str)
+    assert got == sorted([("a", "8", 150_000), ("b", "7", 0), ("b", "7", 0), (None, "7", 0)], key=str)
+    kept = decontam.clean(df, bench)
+    assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == [rows[4]]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
