@@ -161,6 +161,16 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
             spark.conf.set(name, before)
 
 
+def release_heap(spark: SparkSession) -> None:
+    """Let the executors collect garbage and give heap that they don't need back to the machine.
+
+    Their Python workers share the machine's memory with the heap, which stays as large as
+    the hungriest stage before has made it. A task for each core asks its executor.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def trim() -> None:
     """Give the memory of batches that are done back to the machine; a worker serves many tasks."""
     pa.default_memory_pool().release_unused()
