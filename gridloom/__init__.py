@@ -4,19 +4,27 @@ A cube is a DataFrame with integer dimension columns and value columns. Every op
 returns a lazy DataFrame or cube, so that Catalyst and adaptive execution plan the work.
 """
 
-from .cube import Cube
-from .functions.userfunc import create_function
-from .functions.stats import stat
-from .operators.aggregate import aggregate, count_map, mapreduce, mapslices, median, zonal
-from .operators.maps import broadcast, map_cells
-from .operators.moving import rolling, windowed
-from .operators.resample import Axis, interpolate, pyramid
-from .operators.windowed import InputArray, OutWindows, windowed_op
-from .operators.windows import Formula, InTable, Labels, Points, Ranges, Regular, Repeated, Sliding, Tumbling, Whole
-from .sources.layout import copy_to, planned_chunks, rechunk, run_blocks, write_cube
+from importlib import import_module
 
-__all__ = [
-    "Axis", "Cube", "Formula", "InTable", "InputArray", "Labels", "OutWindows", "Points", "Ranges", "Regular", "Repeated", "Sliding", "Tumbling", "Whole",
-    "aggregate", "broadcast", "copy_to", "count_map", "create_function", "interpolate", "map_cells", "mapreduce", "mapslices", "median", "planned_chunks",
-    "pyramid", "rechunk", "rolling", "run_blocks", "stat", "windowed", "windowed_op", "write_cube", "zonal",
-]
+#: The names that are offered here, by module. They are imported when they are first used, so
+#: that a Python worker that needs one module of the package doesn't load all of them.
+_PLACES = {
+    "cube": ("Cube",),
+    "functions.stats": ("stat",),
+    "functions.userfunc": ("create_function",),
+    "operators.aggregate": ("aggregate", "count_map", "mapreduce", "mapslices", "median", "zonal"),
+    "operators.maps": ("broadcast", "map_cells"),
+    "operators.moving": ("rolling", "windowed"),
+    "operators.resample": ("Axis", "interpolate", "pyramid"),
+    "operators.windowed": ("InputArray", "OutWindows", "windowed_op"),
+    "operators.windows": ("Formula", "InTable", "Labels", "Points", "Ranges", "Regular", "Repeated", "Sliding", "Tumbling", "Whole"),
+    "sources.layout": ("copy_to", "planned_chunks", "rechunk", "run_blocks", "write_cube"),
+}
+_MODULES = {name: module for module, names in _PLACES.items() for name in names}
+__all__ = sorted(_MODULES)
+
+
+def __getattr__(name: str):
+    if name not in _MODULES:
+        raise AttributeError(f"module {__name__!r} has no attribute {name!r}")
+    return getattr(import_module(f".{_MODULES[name]}", __name__), name)
