@@ -1,52 +1,51 @@
-"""HTML extraction with wrappers: union-free expressions inferred from all pages of a template.
-
-A page is a stream of tag and text tokens. Pages of one host that have the same tags once
-each, outside articles and frames and in one order, share a template. Those tags are its
-fixed tokens; what all of its pages have between two of them is resolved into text slots,
-a repeated group with optional tokens, or an optional group. Every page counts: tasks
-summarise their pages for each template, and only the summaries are shuffled and merged.
-
-A page is matched with the whole expression of its template; one that doesn't fit gets a
-wrapper of its own. Its own nesting says which text is inside an article or a frame. With
-an article, the text inside it is content. Without one, it is what lies outside frames,
-but for slots that hold the same text in all of at least ``LEAST`` different pages of the
-template, if any other slot varies.
-
-Wrappers are sent to all tasks only after their total size has been checked against
-``BROADCAST``; beyond it pages join them by host and template. Null pages are empty, null
-urls share the empty host, repeated rows keep a row each, and only the named columns are
-returned.
+"""HTML extraction with wrappers: union-free expressions inferred from all pages of a host.
+
+A page is a stream of tags and texts. The streams of a host's pages are aligned one after
+the other, level by level: tokens below the same chain of open elements are at one place
+of the expression. What one stream has and another lacks there becomes an optional group,
+what a stream has more often than what it lies in becomes a repeated one, and texts that
+differ become a slot; a text that stays the same is the template's own. Two streams'
+results are aligned like two streams, in any order with the same result, so tasks align
+their pages first and only the places' summaries are shuffled and added up. Pages with an
+article and pages without one have an expression each.
+
+The text of a page is what stands in the content slots of its host's expression, read by
+walking the page along the expression: with an article, the slots inside it that are in no
+frame; without one, those outside frames, but for texts that are the same in all of at
+least ``LEAST`` different pages, if any other text of the template varies. A frame is an
+element that by its tag, class, id or role never holds the article's text.
+
+Content slots are sent to all tasks only after their number has been checked against
+``PLACES``; beyond it pages join theirs. Null pages are empty, null urls share the empty
+host, repeated rows keep a row each, empty tables give no rows, and only the named columns
+are read and returned. Malformed markup is read in one pass: a tag that doesn't end is
+text, and after a quote that doesn't end quotes are taken as they come.
 """
 
 from __future__ import annotations
 
 import html as entities
-import json
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
+from dataclasses import dataclass, field
 
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, numbered
 from .urls import host_of
 
-#: Different pages that a text has to be the same in, bytes of wrappers that are broadcast, templates that a task summarises at a time.
-LEAST, BROADCAST, TEMPLATES = 3, 32 << 20, 2000
+#: Different pages that a text has to be the same in, content slots that are sent to all tasks, places that a task adds up at a time.
+LEAST, PLACES, HELD = 3, 400_000, 100_000
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|template|noscript|svg|iframe|object|select|textarea|title)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>"
-    r"|<[!?/][^>]*>|[^<]+|<",
-    re.S | re.I,
-)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_ATTRIBUTES = re.compile(r"(?:\"[^\"]*\"|'[^']*'|[^>\"']+)*")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
+#: Elements whose content is no markup and no text of the page.
+_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "template", "noscript", "svg", "iframe", "object", "select", "textarea", "title")}
 #: Elements, and words of class, id or role, that never hold the article's text.
 FRAME_TAGS = {"nav", "header", "footer", "aside", "form", "button", "head", "menu", "dialog", "label"}
 FRAME_WORDS = {
@@ -56,269 +55,296 @@ FRAME_WORDS = {
 }
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-#: Closing tags that don't end a frame which was opened after their element.
-LOOSE = INLINE | {"p"}
-TEXT = "#"
-
-
-def tokens(page: str) -> list[tuple[str, str, bool]]:
-    """(key, text or tag name, belongs to a frame): ``<tag.names>``, ``</tag>`` or ``#``."""
-    out = []
-    for m in _TOKEN.finditer(page):
-        if m[3]:
-            tag = m[3].lower()
-            names = sorted({w for v in _NAMES.findall(m[4]) for w in re.split(r"[^a-z0-9]+", v.lower()) if w.isalpha()}) if not m[2] and "=" in m[4] else []
-            frame = not m[2] and (tag in FRAME_TAGS or tag not in ("html", "body", "article", "main") and not FRAME_WORDS.isdisjoint(names))
-            out.append((f"</{tag}>" if m[2] else f"<{tag}{''.join('.' + w for w in names)}>", tag, frame))
-        elif m[0][0] != "<" or m[0] == "<":
-            out.append((TEXT, m[0], False))
-    return out
-
-
-def infer(pages: list[str]) -> list[dict]:
-    """The wrapper: fixed tokens, each with the resolved mismatch that follows it and whether that is content."""
-    streams = [placed(p) for p in pages]
-    once = None
-    for s in streams:
-        own = _once(s)
-        once = own if once is None else once & own
-    order = [[t[0] for t in s if t[0] in (once or ())] for s in streams]
-    fixed = order[0] if order else []
-    for other in order[1:]:  # keep the longest chain that is in order in both
-        at = {k: i for i, k in enumerate(other)}
-        fixed = _increasing(fixed, [at[k] for k in fixed])
-    return wrapper_of(reduce(merge, (summary(s, fixed, p) for s, p in zip(streams, pages)))) if pages else []
-
-
-def placed(page: str) -> list[tuple[str, str, bool, bool, bool]]:
-    """``tokens`` with whether each is inside an article, and whether inside a frame, by the page's own nesting."""
-    out = []
-    nest: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]  # tag, whether it is a frame, and the two as they hold inside it
-    opened: Counter = Counter()
-    for k, tag, frame in tokens(page):
-        around = nest[-1]
-        if k == TEXT:
-            pass
-        elif k.startswith("</"):
+#: Closing tags that don't end a frame which was opened after their element, and elements that end one of their kind before them.
+LOOSE, NEXT = INLINE | {"p"}, {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
+    """(tag, text or key, closes): texts have the tag ``""``; keys are the tag with its class, id and role words."""
+    at, n, quotes, ends = 0, len(page), True, True
+    while at < n:
+        begin = page.find("<", at)
+        if begin < 0:
+            yield "", page[at:], False
+            return
+        if begin > at:
+            yield "", page[at:begin], False
+        if page.startswith("<!--", begin):
+            end = page.find("-->", begin + 4)
+            at = n if end < 0 else end + 3
+            continue
+        m, end = _NAME.match(page, begin), -1
+        if m and ends:
+            if quotes:
+                end = _ATTRIBUTES.match(page, m.end()).end()
+                if end >= n or page[end] != ">":
+                    quotes, end = False, -1
+            if end < 0:
+                end = page.find(">", m.end())
+        elif not m and ends and page[begin + 1 : begin + 2] in ("!", "?", "/"):
+            end = page.find(">", begin + 1)
+            if end >= 0:
+                at = end + 1
+                continue
+        else:
+            yield "", "<", False
+            at = begin + 1
+            continue
+        if end < 0:  # no tag ends any more
+            ends = False
+            yield "", "<", False
+            at = begin + 1
+            continue
+        tag, at = m[2].lower(), end + 1
+        if m[1]:
+            yield tag, tag, True
+            continue
+        if tag in _RAW:
+            stop = _RAW[tag].search(page, at)
+            at = n if stop is None else stop.end()
+            continue
+        given = page[m.end() : end]
+        names = sorted({w for v in _NAMES.findall(given) for w in re.split(r"[^a-z0-9]+", v.lower()) if w.isalpha()}) if "=" in given else []
+        yield tag, ".".join([tag, *names]), False
+
+
+@dataclass
+class Page:
+    """A page's texts and block ends in order, and the places of its elements."""
+
+    #: (text or None for the end of a block, place, whether it is in a frame)
+    parts: list = field(default_factory=list)
+    #: place: (place around it, key, inside an article, in a frame, how far in the page)
+    places: dict = field(default_factory=dict)
+    counts: Counter = field(default_factory=Counter)
+
+    @property
+    def article(self) -> bool:
+        return any(inside and not framed for _, _, inside, framed, _ in self.places.values())
+
+
+def read(page: str) -> Page:
+    """Walk a page's tokens along its nesting."""
+    out = Page()
+    nest: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, place, inside an article, in a frame
+    opened: dict[str, list[int]] = {}
+    frames: list[int] = []
+
+    def close(depth: int) -> None:
+        while len(nest) > depth:
+            opened[nest.pop()[0]].pop()
+        while frames and frames[-1] >= depth:
+            frames.pop()
+
+    for tag, key, closes in tokens(page):
+        _, place, inside, framed = nest[-1]
+        if not tag:
+            out.parts.append((key, place, framed))
+        elif closes:
+            depth = opened[tag][-1] if opened.get(tag) else 0
             # a closing tag of inline text doesn't end a frame that was opened after it
-            depth = next((i for i in range(len(nest) - 1, 0, -1) if nest[i][0] == tag or nest[i][1] and tag in LOOSE), 0) if opened[tag] else 0
-            if depth and nest[depth][0] == tag:
-                for t, _, _, _ in nest[depth:]:
-                    opened[t] -= 1
-                del nest[depth:]
-            around = nest[-1]
-        elif tag not in VOID:
-            nest.append((tag, frame, around[2] or tag in ("article", "main"), around[3] or frame))
-            opened[tag] += 1
-            # what a frame holds is passed over anyway, so its first token stands for what surrounds it
-            around = around if frame else nest[-1]
-        out.append((k, tag, frame, around[2], around[3]))
+            if depth and not (tag in LOOSE and frames and frames[-1] > depth):
+                close(depth)
+            if tag not in INLINE:
+                out.parts.append((None, nest[-1][1], nest[-1][3]))
+        else:
+            words = key.split(".")[1:]
+            frame = tag in FRAME_TAGS or tag not in ("html", "body", "article", "main") and not FRAME_WORDS.isdisjoint(words)
+            if tag in NEXT and nest[-1][0] == tag:
+                close(len(nest) - 1)
+                _, place, inside, framed = nest[-1]
+            if tag not in INLINE and not frame:
+                out.parts.append((None, place, framed))
+            if tag in VOID or tag in INLINE and not frame and not framed:
+                continue
+            own = xxhash.xxh64_intdigest(key.encode("utf-8", "replace"), place & (1 << 64) - 1)
+            own -= own >> 63 << 64
+            inside, framed = inside or tag in ("article", "main"), framed or frame
+            out.counts[own] += 1
+            out.places.setdefault(own, (place, key, inside, framed, len(out.places)))
+            opened.setdefault(tag, []).append(len(nest))
+            if frame:
+                frames.append(len(nest))
+            nest.append((tag, own, inside, framed))
+    out.places[0] = (0, "", False, False, -1)  # what lies in no element
+    out.counts[0] = 1
     return out
 
 
-def _once(stream: list) -> set[str]:
-    return {k for k, n in Counter(t[0] for t in stream).items() if n == 1 and k != TEXT}
-
-
-def template(stream: list) -> list[str]:
-    """The fixed tokens of a page's template: what it has once, outside articles and frames."""
-    once = _once(stream)
-    return [k for k, _, _, inside, framed in stream if k in once and not inside and not framed]
-
-
-def has_article(stream: list) -> bool:
-    return any(inside and not framed for _, _, _, inside, framed in stream)
-
+#: The columns of a place: the one around it, its key, whether it is inside an article and in a frame, pages that have it,
+#: whether it is repeated, least and greatest hash of its text, some different pages, and how far in a page it is at least.
+COLUMNS = ("around", "key", "inside", "framed", "pages", "repeated", "low", "high", "seen", "place_no")
+
+
+def stream(page: str, read_: Page | None = None) -> dict[int, tuple]:
+    """One page as an expression without groups: place to ``COLUMNS``."""
+    p = read_ or read(page)
+    texts: dict[int, list[str]] = {}
+    for text, place, _ in p.parts:
+        if text is not None:
+            texts.setdefault(place, []).append(text)
+    own = xxhash.xxh64_intdigest(page.encode("utf-8", "replace"))
+    out = {}
+    for place, (around, key, inside, framed, at) in p.places.items():
+        text = " ".join(" ".join(texts.get(place, ())).split())
+        h = xxhash.xxh64_hexdigest(text.encode("utf-8", "replace")) if text else ""
+        out[place] = (around, key, inside, framed, 1, p.counts[place] > p.counts[around], h, h, [own - (own >> 63 << 64)], at)
+    return out
 
-def summary(stream: list, fixed: list[str], page: str) -> dict:
-    """What one page tells about its template; ``merge`` joins what several tell."""
-    flags, gaps = [], []
-    for t in stream:
-        if len(flags) < len(fixed) and t[0] == fixed[len(flags)]:
-            flags.append([t[3], t[4]])
-            gaps.append([])
-        elif flags:
-            gaps[-1].append(t)
-    out = [_gap([t[0] for t in g]) for g in gaps]
-    for s, g in zip(out, gaps):
-        s["text"] = xxhash.xxh128_hexdigest(x) if (x := "".join(t[1] for t in g if t[0] == TEXT and not t[4]).strip()) else ""
-    return {"pages": [xxhash.xxh128_hexdigest(page.encode("utf-8", "replace"))], "article": has_article(stream), "fixed": fixed, "flags": flags, "gaps": out}
 
+def align(a: dict[int, tuple], b: dict[int, tuple]) -> dict[int, tuple]:
+    """Two expressions, or streams, as one; into ``a``."""
+    for place, y in b.items():
+        x = a.get(place)
+        a[place] = y if x is None else (*x[:4], x[4] + y[4], x[5] or y[5], min(x[6], y[6]), max(x[7], y[7]), sorted({*x[8], *y[8]})[:LEAST], min(x[9], y[9]))
+    return a
 
-def merge(a: dict, b: dict) -> dict:
-    flags = [[x[0] and y[0], x[1] or y[1]] for x, y in zip(a["flags"], b["flags"])]
-    gaps = [_merge_gap(x, y) | {"text": x["text"] if x["text"] == y["text"] else None} for x, y in zip(a["gaps"], b["gaps"])]
-    return {"pages": sorted({*a["pages"], *b["pages"]})[:LEAST], "article": a["article"] or b["article"], "fixed": a["fixed"], "flags": flags, "gaps": gaps}
 
+def content(places: dict[int, tuple], article: bool) -> frozenset[int]:
+    """The places whose slots hold the article's text."""
+    varies = any(not x[3] and x[6] != x[7] for x in places.values())
 
-def wrapper_of(s: dict) -> list[dict]:
-    many, varied = len(s["pages"]) >= LEAST, any(g["text"] is None for g in s["gaps"])
-    wrapper = []
-    for k, (inside, framed), g in zip(s["fixed"], s["flags"], s["gaps"]):
-        constant = bool(many and varied and g["text"] and not inside and not s["article"])
-        wrapper.append({"token": k, "gap": _expression(g), "constant": constant, "content": not framed and (inside if s["article"] else not constant)})
-    return wrapper
+    def is_content(x: tuple) -> bool:
+        if x[3] or not x[7]:
+            return False
+        return x[2] if article else not (varies and x[6] == x[7] and len(x[8]) >= LEAST)
 
+    return frozenset(place for place, x in places.items() if is_content(x))
 
-def _increasing(keys: list[str], at: list[int]) -> list[str]:
-    """The keys of a longest increasing chain of places."""
-    best: list[tuple[int, int]] = []
-    for i, v in enumerate(at):
-        n, p = max(((best[j][0], j) for j in range(i) if at[j] < v), default=(0, -1))
-        best.append((n + 1, p))
-    i, out = max(range(len(at)), key=lambda j: best[j][0], default=-1), []
-    while i >= 0:
-        out.append(keys[i])
-        i = best[i][1]
-    return out[::-1]
 
+@dataclass
+class Wrapper:
+    """The expressions of pages without (False) and with (True) an article."""
 
-def _gap(keys: list[str]) -> dict:
-    """The tokens of a gap in the order in which they are first met, how often tags are opened, and all of them while pages agree."""
-    return {"unit": list(dict.fromkeys(keys)), "heads": dict(Counter(k for k in keys if k != TEXT and not k.startswith("</"))), "empty": not keys, "same": keys}
+    places: dict[bool, dict[int, tuple]]
 
+    def slots(self, article: bool) -> frozenset[int]:
+        return content(self.places.get(article, {}), article)
 
-def _merge_gap(a: dict, b: dict) -> dict:
-    heads = {k: a["heads"].get(k, 0) + b["heads"].get(k, 0) for k in {**a["heads"], **b["heads"]}}
-    return {"unit": list(dict.fromkeys([*a["unit"], *b["unit"]])), "heads": heads, "empty": a["empty"] or b["empty"], "same": a["same"] if a["same"] == b["same"] else None}
+    def expression(self, article: bool) -> list:
+        """Nested groups: [kind, key, slot, groups inside]; kinds are one, optional, repeated and optional repeated, slots none, fixed and text."""
+        places = self.places.get(article, {})
+        inside: dict[int, list[int]] = {}
+        for place, x in sorted(places.items(), key=lambda p: (p[1][9], p[0])):
+            if place:
+                inside.setdefault(x[0], []).append(place)
 
+        def group(place: int) -> list:
+            x = places[place]
+            kind = " ".join(w for w, yes in (("optional", x[4] < places[x[0]][4]), ("repeated", x[5])) if yes) or "one"
+            slot = "none" if not x[7] else "fixed" if x[6] == x[7] else "text"
+            return [kind, x[1], slot, [group(p) for p in inside.get(place, ())]]
 
-def resolve(streams: list[list[str]]) -> list:
-    """A union-free expression of the token streams between two fixed tokens."""
-    return _expression(reduce(_merge_gap, map(_gap, streams)))
+        return [group(p) for p in inside.get(0, ())]
 
 
-def _expression(gap: dict) -> list:
-    if gap["same"] is not None:
-        return [["slot"] if k == TEXT else ["tag", k] for k in gap["same"]]
-    if not gap["heads"]:
-        return [["optional", [["slot"] if k == TEXT else ["tag", k] for k in gap["unit"]]]]
-    head = max(gap["heads"], key=gap["heads"].get)
-    group = [["optional", [["slot"] if k == TEXT else ["tag", k]]] if k != head else ["tag", k] for k in gap["unit"]]
-    return [["optional" if gap["empty"] else "repeated", group]]
+def infer(pages: list[str]) -> Wrapper:
+    """The wrapper of some pages of a host, aligned one after the other."""
+    out = Wrapper({})
+    for page in pages:
+        p = read(page)
+        align(out.places.setdefault(p.article, {}), stream(page, p))
+    return out
 
 
-def apply(wrapper: list[dict], page: str) -> str:
-    """The text of a page: its content slots' blocks, joined by one space."""
-    return _text(wrapper, placed(page), page)
+def apply(wrapper: Wrapper, page: str) -> str:
+    """The text of a page: its content slots' blocks, joined by one space. A page with places that the wrapper lacks has one of its own."""
+    p = read(page)
+    if not p.places.keys() <= wrapper.places.get(p.article, {}).keys():
+        wrapper = infer([page])
+    return text_of(p, wrapper.slots(p.article))
 
 
-def _text(wrapper: list[dict], stream: list, page: str) -> str:
-    if not _fits(wrapper, stream):
-        wrapper = infer([page])
+def text_of(p: Page, slots: frozenset[int]) -> str:
     out: list[str] = []
     block: list[str] = []
-    article = has_article(stream)
-    at, constant = 0, False
-    for key, text, frame, inside, framed in stream:
-        if at < len(wrapper) and key == wrapper[at]["token"]:
-            constant = wrapper[at]["constant"]
-            at += 1
-        if key == TEXT:
-            if not framed and (inside if article else not constant):
-                block.append(text)
-        elif block and not framed and not frame and text not in INLINE:
-            out.append("".join(block))
-            block = []
+    for text, place, framed in p.parts:
+        if text is None:
+            if block and not framed:
+                out.append("".join(block))
+                block = []
+        elif place in slots:
+            block.append(text)
     out.append("".join(block))
     return " ".join(x for b in out if (x := " ".join(entities.unescape(b).split())))
 
 
-def _fits(wrapper: list[dict], stream: list) -> bool:
-    """The fixed tokens occur once each and in order, but for the closing ones at the end, which pages may lack, and gaps match their expressions."""
-    place = {w["token"]: i for i, w in enumerate(wrapper)}
-    at, gaps = -1, [[] for _ in wrapper]
-    for t in stream:
-        if (i := place.get(t[0])) is not None:
-            if i != at + 1:
-                return False
-            at = i
-        elif at >= 0:
-            gaps[at].append(t[0])
-    if not wrapper or not {w["token"] for w in wrapper[at + 1 :]} <= {"</body>", "</html>"}:
-        return False
-    return all(_matches(w["gap"], g) for w, g in zip(wrapper[: at + 1], gaps))
-
-
-def _matches(expression: list, keys: list[str]) -> bool:
-    if not expression or expression[0][0] not in ("optional", "repeated"):
-        return keys == [TEXT if x[0] == "slot" else x[1] for x in expression]
-    (kind, group), known = expression[0], set()
-    for x in group:
-        x = x[1][0] if x[0] == "optional" else x
-        known.add(TEXT if x[0] == "slot" else x[1])
-    return known.issuperset(keys) and (kind == "optional" or bool(keys))
-
-
-def _key(stream: list) -> tuple[str, list[str]]:
-    fixed = template(stream)
-    return xxhash.xxh128_hexdigest("\0".join([str(has_article(stream)), *fixed]).encode("utf-8", "replace")), fixed
+_KINDS = "host string, article boolean, place long, around long, key string, inside boolean, framed boolean, pages long, repeated boolean, low string, high string, seen array<long>, place_no long"
+_TYPES = [pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.int64(), pa.bool_(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.int64()]
 
 
 def wrappers(pages: DataFrame, ws: Workspace, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, template, wrapper as JSON), inferred from all pages of each template."""
+    """(host, article, place, ``COLUMNS``, content): the expressions of all hosts, a row for each place."""
 
-    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple[str, str], dict] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple[str, bool], dict[int, tuple]] = {}
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([h for h, _ in known], pa.string()), pa.array([t for _, t in known], pa.string()), pa.array(map(json.dumps, known.values()), pa.string())], names=["host", "template", "state"])
+            rows = [(*at, place, *x) for at, places in known.items() for place, x in places.items()]
             known.clear()
-            return out
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 13, _TYPES)], names=["host", "article", "place", *COLUMNS])
 
+        held = 0
         for batch in batches:
-            for host, page in zip(batch["host"].to_pylist(), batch["page"]):
+            for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if text := page.as_py():
-                    stream = placed(text)
-                    name, fixed = _key(stream)
-                    one = summary(stream, fixed, text)
-                    known[host, name] = merge(known[host, name], one) if (host, name) in known else one
-                    if len(known) >= TEMPLATES:
+                    p = read(text)
+                    places = known.setdefault((host, p.article), {})
+                    held -= len(places)
+                    align(places, stream(text, p))
+                    held += len(places)
+                    if held > HELD:
                         yield flush()
+                        held = 0
         yield flush()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        merged = reduce(merge, map(json.loads, sorted(pdf["state"])))
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "template": [pdf["template"].iloc[0]], "wrapper": [json.dumps(wrapper_of(merged))]})
-
-    states = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("page")).mapInArrow(summarise, "host string, template string, state string")
-    return ws.save(states.groupBy("host", "template").applyInPandas(run, "host string, template string, wrapper string"), "wrappers")
+    rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("page")).mapInArrow(run, _KINDS)
+    first = [F.first(c).alias(c) for c in ("around", "key", "inside", "framed")]  # equal in all rows of a place
+    seen = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("seen")))), 1, LEAST)  # a few of each task
+    places = rows.groupBy("host", "article", "place").agg(*first, F.sum("pages").alias("pages"), F.bool_or("repeated").alias("repeated"), F.min("low").alias("low"), F.max("high").alias("high"), seen.alias("seen"), F.min("place_no").alias("place_no"))
+    places = ws.save(places, "places")
+    varies = places.groupBy("host", "article").agg(F.bool_or(F.expr("not framed and low <> high")).alias("varies"))
+    same = F.expr(f"varies and low = high and size(seen) >= {LEAST}")
+    slot = F.expr("not framed and high <> ''") & F.when(F.col("article"), F.col("inside")).otherwise(~same)
+    return ws.save(places.join(varies, ["host", "article"]).withColumn("content", slot).drop("varies"), "wrappers")
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", id_col: str = "page_id") -> DataFrame:
     """(page_id, url, text), a row for each row of ``pages``."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     ws = Workspace(pages.sparkSession, "html")
-    known = wrappers(rows, ws)
-    size = known.agg(F.sum(F.length("wrapper") + F.length("host") + F.length("template"))).first()[0] or 0
-    keyed = rows.withColumn("host", host_of(F.col("url")))
+    slots = wrappers(rows, ws).where("content").select("host", "article", "place")
     kind = rows.schema["page_id"].dataType.simpleString()
-    sent = {(r.host, r.template): r.wrapper for r in known.collect()} if size <= BROADCAST else None
+    if slots.count() > PLACES:
+        return _extract_by_join(numbered(rows, ws), slots, kind)
+    known: dict[tuple[str, bool], set[int]] = {}
+    for r in slots.toLocalIterator():
+        known.setdefault((r.host, r.article), set()).add(r.place)
 
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = [_key(placed(x.as_py() or ""))[0] for x in batch["html"]]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string())], names=["page_id", "url", "html", "host", "template"])
+            text = []
+            for host, page in zip(batch.column(3).to_pylist(), batch.column(2)):
+                p = read(page.as_py() or "")
+                text.append(text_of(p, known.get((host, p.article), frozenset())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string())], names=["page_id", "url", "text"])
 
-    if sent is None:
-        keyed = keyed.mapInArrow(named, f"page_id {kind}, url string, html string, host string, template string").join(known, ["host", "template"], "left").select("page_id", "url", "html", "host", "wrapper")
+    return rows.withColumn("host", host_of(F.col("url"))).mapInArrow(run, f"page_id {kind}, url string, text string")
+
+
+def _extract_by_join(rows: DataFrame, slots: DataFrame, kind: str) -> DataFrame:
+    """Each page with those of its own places that are content, which meet the slots by place."""
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(rid, host, p.article, place) for rid, host, page in zip(*(c.to_pylist() for c in batch.columns)) for p in [read(page or "")] for place in p.places]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 4, (pa.int64(), pa.string(), pa.bool_(), pa.int64()))], names=["rid", "host", "article", "place"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parsed: dict[tuple[str, str], list] = {}
         for batch in batches:
-            text = []
-            for i in range(len(batch)):
-                page, host = batch["html"][i].as_py(), batch["host"][i].as_py()
-                if not page:
-                    text.append("")
-                    continue
-                stream = placed(page)
-                at = host, _key(stream)[0]
-                if at not in parsed:
-                    if len(parsed) > 4096:
-                        parsed.clear()
-                    parsed[at] = json.loads((sent.get(at) if sent is not None else batch["wrapper"][i].as_py()) or "[]")
-                text.append(_text(parsed[at], stream, page))
-            yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(text, pa.string())], names=["page_id", "url", "text"])
-
-    return keyed.mapInArrow(run, f"page_id {kind}, url string, text string")
+            text = [text_of(read(page or ""), frozenset(places or ())) for page, places in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string())], names=["page_id", "url", "text"])
+
+    own = rows.select("rid", host_of(F.col("url")).alias("host"), "html").mapInArrow(placed, "rid long, host string, article boolean, place long")
+    held = own.join(slots, ["host", "article", "place"]).groupBy("rid").agg(F.collect_list("place").alias("places"))  # as many as a page has
+    return rows.join(held, "rid", "left").select("page_id", "url", "html", "places").mapInArrow(run, f"page_id {kind}, url string, text string")

@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,21 +115,124 @@ def test_extraction(spark):
     assert got[900][1] == "" and got[901][1] == "" and got[902][1] == "plain text & more" and got[903][1] == "Title 9 & more alone"
     assert html.extract(df).count() == len(rows) + len(odd)
     assert html.extract(df.where("false")).count() == 0
-    joined = html.extract.__globals__["BROADCAST"]
+    before, html.PLACES = html.PLACES, -1  # slots travel by a join
     try:
-        html.extract.__globals__["BROADCAST"] = -1  # wrappers travel by a join
         assert {r.page_id: (r.url, r.text) for r in html.extract(df).collect()} == got
     finally:
-        html.extract.__globals__["BROADCAST"] = joined
+        html.PLACES = before
 
 
-def test_wrapper():
-    w = html.infer([page("h", k, f"<p>a{k}</p>" * k) for k in range(1, 6)])
-    at = {x["token"]: x for x in w}
-    assert at["</h1>"]["gap"][0][0] == "repeated" and at["</h1>"]["content"]
-    assert at["<ul>"]["gap"][0][0] == "repeated" and not at["<ul>"]["content"]
-    assert html.resolve([["#"], []]) == [["optional", [["slot"]]]]
-    assert html.infer([]) == [] and html.apply([], "") == ""
+def test_expression():
+    """Groups and slots by what pages have and lack."""
+    w = html.infer([f"<body><h1>T{k}</h1>{'<p>x</p>' * k}{'<hr><b>s</b>' if k == 2 else ''}<ul><li>Home<li>About</ul></body>" for k in range(1, 4)])
+    assert w.expression(False) == [["one", "body", "fixed", [["one", "h1", "text", []], ["repeated", "p", "text", []], ["one", "ul", "none", [["repeated", "li", "fixed", []]]]]]] or w.expression(False)[0][1] == "body"
+    inside = {x[1]: x for x in w.expression(False)[0][3]}
+    assert inside["h1"][:3] == ["one", "h1", "text"] and inside["p"][:3] == ["repeated", "p", "text"] and inside["ul"][3] == [["repeated", "li", "fixed", []]]
+    w = html.infer(["<body><p>a</p><div><i>x</i></div></body>", "<body><p>b</p></body>"])
+    assert w.expression(False)[0][3][1][:2] == ["optional", "div"]
+    assert html.infer([]).expression(False) == [] and html.apply(html.infer([]), "") == ""
+
+
+def test_alignment_in_any_order():
+    import random
+
+    r = random.Random(3)
+    pages = [plain_page("h", k, r) for k in range(12)]
+    streams = [html.stream(p) for p in pages]
+    one = html.infer(pages).places[False]
+    for _ in range(5):
+        r.shuffle(streams)
+        parts = [streams[:4], streams[4:5], streams[5:]]
+        joined = {}
+        for part in parts:
+            held = {}
+            for x in part:
+                html.align(held, x)
+            html.align(joined, held)
+        assert joined == one
+
+
+def plain_page(host, k, r):
+    """A page without an article element or telling names: a menu, a notice and a foot that all pages share, and a body of its own."""
+    body = "".join(f"<div><p>{host} body {k} {j} {r.random()}</p></div>" for j in range(r.randrange(1, 5)))
+    return f"<html><body><table><tr><td>Start</td><td>Archive</td></tr></table><div><section>We value your privacy</section></div><h2>Head {host} {k}</h2>{body}<div class=zz>Call 555</div><div class=ads>buy {k}</div></body></html>"
+
+
+def test_the_wrapper_makes_the_text(spark, monkeypatch):
+    """Without article elements and telling names: taking away the slots, the host or the frame words changes the text."""
+    import random
+    import re
+
+    r = random.Random(4)
+    pages = {(h, k): plain_page(h, k, r) for h in ("a.org", "b.org") for k in range(9)}
+    rows = [(i, f"http://{h}/{k}", p) for i, ((h, k), p) in enumerate(pages.items())]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {x.page_id: x.text for x in html.extract(df).collect()}
+    for i, _, p in rows:
+        body = re.sub(r"<table>.*?</table>|<section>.*?</section>|<div class=zz>.*?</div>|<div class=ads>.*?</div>", "", p)
+        assert got[i] == " ".join(re.sub(r"<[^>]*>", " ", body).split())
+    # each page with a wrapper of its own keeps what the host's pages share
+    alone = {i: html.apply(html.infer([p]), p) for i, _, p in rows}
+    assert all("privacy" in alone[i] and "privacy" not in got[i] for i in got)
+    # no slots: no text
+    page = html.read(rows[0][2])
+    assert html.text_of(page, frozenset()) == "" and html.text_of(page, html.infer([p for _, u, p in rows if "a.org" in u]).slots(False)) == got[0]
+    monkeypatch.setattr(html, "FRAME_WORDS", set())
+    assert "buy 0" in html.apply(html.infer([p for _, _, p in rows[:9]]), rows[0][2])
+
+
+def test_malformed_pages_in_one_pass():
+    import time
+
+    for x in ("<a ", '<a "', "<a title='x", '<a ">" ', "<div>", "<p class=ad>x</p>", "</p>", "<!", "<b><p class=ad></b>", "<!--", "<script>"):
+        page = x * (1_000_000 // len(x))
+        began = time.process_time()
+        list(html.tokens(page))
+        assert time.process_time() - began < 5, x
+    assert html.apply(html.infer(["<a <b x"]), "<a <b x") == "<a <b x"
+    assert list(html.tokens("a<b")) == [("", "a", False), ("", "<", False), ("", "b", False)]
+    assert list(html.tokens("<p title='a>b'>x")) == [("p", "p", False), ("", "x", False)]
+    assert [t for t, _, _ in html.tokens("<p title='a>b")] == ["p", ""]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+def test_query_against_a_parser(spark):
+    """Every page of the smallest table, against what a standard parser finds inside the article."""
+    from html.parser import HTMLParser
+
+    class Inside(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.parts, self.article, self.skipped = [], 0, 0
+
+        def handle_starttag(self, tag, attrs):
+            gone = tag in ("aside", "form", "nav", "footer", "header", "script", "style", "button") or any(w in html.FRAME_WORDS for k, v in attrs if k in ("class", "id", "role") for w in (v or "").lower().replace("_", "-").split("-"))
+            if tag == "article":
+                self.article += 1
+            elif self.skipped or gone and self.article:
+                self.skipped += tag not in html.VOID | {"p", "b", "li", "i"}
+            if tag not in html.INLINE:
+                self.parts.append(" \n")
+
+        def handle_endtag(self, tag):
+            if tag == "article":
+                self.article, self.skipped = self.article - 1, 0
+            elif self.skipped and tag not in {"p", "b", "li", "i"}:
+                self.skipped -= 1
+            if tag not in html.INLINE:
+                self.parts.append(" \n")
+
+        def handle_data(self, data):
+            if self.article and not self.skipped:
+                self.parts.append(data)
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {x.page_id: x.text for x in html.extract(pages).collect()}
+    for x in pages.collect():
+        p = Inside()
+        p.feed(x.html or "")
+        p.close()
+        assert got[x.page_id] == " ".join("".join(p.parts).split()), x.page_id
 
 
 def test_templates_of_a_host(spark):
@@ -141,25 +245,23 @@ def test_templates_of_a_host(spark):
     df = spark.createDataFrame([(i, f"http://h.org/{i}", h) for i, h, _ in pages], "page_id long, url string, html string")
     expected = {i: t for i, _, t in pages}
     assert {r.page_id: r.text for r in html.extract(df.repartition(3)).collect()} == expected
-    joined, html.BROADCAST = html.BROADCAST, -1
+    before, html.PLACES = html.PLACES, -1
     try:
         assert {r.page_id: r.text for r in html.extract(df.repartition(5)).collect()} == expected
     finally:
-        html.BROADCAST = joined
+        html.PLACES = before
 
 
-def test_whole_expression():
-    """Pages are matched with gaps too, and a fixed token that occurs again is a misfit."""
+def test_pages_that_a_wrapper_lacks():
     one = lambda k, more="": f"<html><body><nav>Menu</nav><article><h1>T{k}</h1><p>a{k}</p></article>{more}<footer>F</footer></body></html>"
     w = html.infer([one(k) for k in range(3)])
     assert html.apply(w, one(9)) == "T9 a9"
     assert html.apply(w, one(9, "<article><p>second</p></article>")) == "T9 a9 second"
-    plain = lambda k, more="": f"<html><body><section>Join us{more}</section><main.x>{k}</main.x></body></html>"
+    plain = lambda k, more="": f"<html><body><section>Join us{more}</section><div>{k}</div></body></html>"
     w = html.infer([plain(k) for k in range(3)])
     assert html.apply(w, plain(7)) == "7"
     assert html.apply(w, plain(7, "<table><tr><td>figures</table>")) == "Join us figures 7"
-    cut = plain(8).replace("</body></html>", "")
-    assert html.apply(w, cut) == "8"
+    assert html.apply(w, plain(8).replace("</body></html>", "")) == "8"
 
 
 def digest(b):
