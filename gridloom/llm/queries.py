@@ -23,7 +23,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return urls.filter_urls(pages, RULES, urls.fit_on(pages))
+    return urls.filter_urls(pages, RULES, urls.fit_on(pages, rules=RULES))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,19 @@
 
 Features of a URL: length, path depth, digit ratio, character entropy, parameter count,
 and for the host's last one, two and three labels the smoothed share of blocked URLs
-among the labelled ones. Shares are counted over all rows, pre-aggregated in each task;
-the trees are grown on a bounded labelled sample (``SAMPLE`` URLs, chosen by hash) on the
-driver. Scoring is map-only and reads one column, unless there are so many suffixes
-(over ``common.BROADCAST_ROWS``) that their shares join the URLs instead of being sent.
+among the labelled ones. Labels come from a column, or are the verdicts of the rules: the
+URLs that an explicit rule blocks or allows say how the others are to be judged. URLs
+without a label take no part in training; without any, or with labels of one kind only,
+no tree is grown and all URLs get that kind (allow, if there are none).
+
+Shares are counted over all labelled rows, pre-aggregated in each task; the trees are
+grown on a bounded labelled sample (``SAMPLE`` URLs, chosen by hash) on the driver.
+Scoring is map-only and reads one column, unless there are so many suffixes (over
+``common.BROADCAST_ROWS``) that their shares join the URLs instead of being sent.
 
 A null URL, or one without ``://``, has an empty host and path; it is scored like any
-other. Repeated rows keep a row each; other columns are not returned.
+other. URLs of any length are scored whole. Repeated rows keep a row each, an empty table
+gives no rows; other columns are neither read nor returned, so that they can't clash.
 """
 
 from __future__ import annotations
@@ -30,17 +36,6 @@ from .common import Workspace, sampled, sized
 SAMPLE, SUFFIXES = 4000, 200_000
 TREES, DEPTH, RATE, BINS = 30, 3, 0.3, 32
 FEATURES = ("length", "depth", "digit_ratio", "entropy", "parameters", "suffix1", "suffix2", "suffix3")
-#: Words in a host name that mark a URL as unwanted where labels are missing, by the usual categories of blocklists:
-#: adult, gambling, pharmacy and counterfeits, loans, advertising and tracking, spam and malware, piracy.
-SEED_WORDS = frozenset(
-    "adult cam cams escort escorts erotic hentai milf nude nudes porn porno pornos sex sexy xxx "
-    "bet bets betting bingo casino casinos gambling jackpot lottery poker roulette slots wager "
-    "cialis levitra pharma pharmacy pills steroids viagra counterfeit replica replicas "
-    "loan loans payday "
-    "ad ads adserver adservice adserving advert adverts banners clicks doubleclick popads popunder tracker trackers tracking "
-    "botnet keylogger malware phish phishing scam spam spammer spyware trojan virus "
-    "cracks keygen torrent torrents warez".split()
-)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -67,9 +62,11 @@ def _host(url: str) -> str:
     return m[1].lower() if m else ""
 
 
-def seed_label(url: str) -> int:
-    """1 if a word of the host is on the seed list."""
-    return int(any(w in SEED_WORDS for w in re.split(r"[^a-z0-9]+", _host(url))))
+def verdict_of(rule: Column, rules: list[tuple[str, str]]) -> Column:
+    out = F.lit(None).cast("string")
+    for verdict, r in rules:
+        out = F.when(rule == r, verdict).otherwise(out)
+    return out
 
 
 class UrlModel:
@@ -185,7 +182,7 @@ def _leaf(tree, x: np.ndarray) -> np.ndarray:
 
 
 def suffix_counts(labelled: DataFrame) -> DataFrame:
-    """(k, suffix, half, n, bad) over all rows of (u, y); the seed list labels rows whose y is null."""
+    """(k, suffix, half, n, bad) over all rows of (u, y)."""
     kind = "k int, suffix string, half int, n long, bad long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,8 +195,7 @@ def suffix_counts(labelled: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["k", "suffix", "half", "n", "bad"])
 
         for batch in batches:
-            urls = batch.column(0).to_pylist()
-            for k, s, half, n, bad in _counts(urls, [seed_label(u) if y is None else y for u, y in zip(urls, batch.column(1).to_pylist())]):
+            for k, s, half, n, bad in _counts(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 c = known.setdefault((k, s, half), [0, 0])
                 c[0], c[1] = c[0] + n, c[1] + bad
             if len(known) > SUFFIXES:
@@ -209,11 +205,18 @@ def suffix_counts(labelled: DataFrame) -> DataFrame:
     return labelled.select("u", "y").mapInArrow(run, kind).groupBy("k", "suffix", "half").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
 
 
-def fit_on(urls: DataFrame, url_col: str = "url", label_col: str | None = None, sample: int = SAMPLE) -> UrlModel:
-    """Suffix shares of all rows, and trees of at most ``sample`` rows of a scan, chosen by hash; without labels the seed list labels them."""
+def labelled(urls: DataFrame, url_col: str = "url", label_col: str | None = None, rules: list[tuple[str, str]] = ()) -> DataFrame:
+    """(u, y): the URLs that have a label, 1 for those to be blocked, from a column or else from the rules' verdicts."""
+    u = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
+    y = F.col(label_col) if label_col else (verdict_of(rule_of(host_of(u), path_of(u), rules), rules) == "block")
+    return urls.select(u.alias("u"), y.cast("int").alias("y")).where("y is not null")
+
+
+def fit_on(urls: DataFrame, url_col: str = "url", label_col: str | None = None, rules: list[tuple[str, str]] = (), sample: int = SAMPLE) -> UrlModel:
+    """Suffix shares of all labelled rows, and trees of at most ``sample`` of them, chosen by hash."""
     spark = urls.sparkSession
-    some = urls.select(F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("u"), (F.col(label_col) if label_col else F.lit(None)).cast("int").alias("y"))
     ws = Workspace(spark, "urls")
+    some = ws.save(labelled(urls, url_col, label_col, rules), "labelled")
     rows = sampled(some, sample, ws)
     counts = ws.save(suffix_counts(some), "suffixes")
     few = counts.count() <= common.BROADCAST_ROWS
@@ -221,13 +224,23 @@ def fit_on(urls: DataFrame, url_col: str = "url", label_col: str | None = None,
     if not few:  # the driver needs only the suffixes of the sample
         met = sorted({(k, s) for r in rows for k, s in enumerate(_suffixes(r.u), 1)})
         wanted = counts.join(F.broadcast(spark.createDataFrame(met, "k int, suffix string")), ["k", "suffix"]).select(counts.columns)
-    model = UrlModel.fit([r.u for r in rows], [seed_label(r.u) if r.y is None else r.y for r in rows], [tuple(r) for r in wanted.collect()])
+    model = UrlModel.fit([r.u for r in rows], [r.y for r in rows], [tuple(r) for r in wanted.collect()])
     if not few and model.trees:
         share = (F.sum("bad") + F.lit(model.mean)) / (F.sum("n") + 1)
         model.table = ws.save(counts.groupBy("k", "suffix").agg(share.alias("share")), "shares")
     return model
 
 
+def held_out(urls: DataFrame, url_col: str = "url", label_col: str | None = None, rules: list[tuple[str, str]] = (), sample: int = SAMPLE) -> tuple[int, float, float]:
+    """(URLs, precision, recall) of blocking on the labelled URLs of half the hosts, by a model of the other half's."""
+    some = labelled(urls, url_col, label_col, rules).withColumn("half", F.pmod(F.xxhash64(host_of(F.col("u"))), F.lit(2)))
+    model = fit_on(some.where("half = 0"), "u", "y", sample=sample)
+    other = some.where("half = 1").select(F.col("y").alias("page_id"), F.col("u").alias("url"))
+    blocked, bad = F.col("verdict") == "block", F.col("page_id") == 1
+    both, said, are, n = filter_urls(other, [], model).agg(F.sum((blocked & bad).cast("long")), F.sum(blocked.cast("long")), F.sum(bad.cast("long")), F.count("*")).first()
+    return n, both / said if said else 1.0, both / are if are else 1.0
+
+
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], model: UrlModel, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict, score); rules are (verdict, ``host/path``)."""
     url = F.col(url_col).cast("string")
@@ -257,7 +270,5 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], model: UrlModel,
     scored = rows.mapInArrow(run, f"page_id {kind}, u string, score double")
     parts = scored.select("page_id", "score", host_of(F.col("u")).alias("host"), path_of(F.col("u")).alias("path"))
     ruled = parts.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
-    verdict = F.when(F.col("score") >= 0.5, "block").otherwise("allow")
-    for v, r in rules:
-        verdict = F.when(F.col("rule") == r, v).otherwise(verdict)
+    verdict = F.coalesce(verdict_of(F.col("rule"), rules), F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
     return ruled.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")

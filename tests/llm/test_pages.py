@@ -68,9 +68,47 @@ def test_model_accuracy():
 
 
 def test_fit_on_table(spark):
-    df = spark.createDataFrame([(u, y) for u, y in labelled(300, 4)] + [(None, None)], "url string, y int")
-    assert urls.fit_on(df, label_col="y").trees and urls.fit_on(df).trees
-    assert urls.seed_label("http://a-casino.com/x") == 1 and urls.seed_label("http://news.com/casino") == 0
+    df = spark.createDataFrame([(u, y) for u, y in labelled(300, 4)] + [(None, None), (None, 0), ("x" * 200_000, 1)], "url string, y int")
+    assert urls.fit_on(df, label_col="y").trees and not urls.fit_on(df).trees
+    n, precision, recall = urls.held_out(df, label_col="y")
+    assert n > 50 and precision > 0.9 and recall > 0.9
+    one = urls.fit_on(df.where("y = 1"), label_col="y")
+    assert not one.trees and one.score(["http://a.com/"])[0] > 0.5 and urls.fit_on(df.where("false"), label_col="y").score(["u"])[0] < 0.5
+
+
+def brute_score(model, url):
+    """The model's sum over its trees, walked one by one over features worked out here."""
+    import math
+
+    host, _, rule = brute_rule(url)
+    rest = (url or "").split("://", 1)[1] if "://" in (url or "") else ""
+    path = "" if not rest else rest.split("?")[0].split("#")[0]
+    u = url or ""
+    share = {c: u.count(c) / len(u) for c in set(u)}
+    dots = host.split(".")
+    x = [len(u), len([p for p in path.split("/")[1:] if p]), sum(map(str.isdigit, u)) / len(u) if u else 0.0, -sum(p * math.log2(p) for p in share.values()), len([p for p in u.split("#")[0].partition("?")[2].split("&") if p])]
+    x += [model.shares[k].get(".".join(dots[-k - 1 :]), model.mean) for k in range(3)]
+    total = model.prior
+    for tree in model.trees:
+        while isinstance(tree, tuple):
+            tree = tree[2] if x[tree[0]] < tree[1] else tree[3]
+        total += urls.RATE * tree
+    return rule, 1 / (1 + math.exp(-total))
+
+
+def test_verdicts_by_brute_force(spark):
+    """Rules first, the trees' sum for the rest, over URLs that the rules label and others, some odd, some twice."""
+    some = [u for u, _ in labelled(200, 6)] + [f"http://{h}.example.{t}/{p}/{k}{q}" for h in ("a", "m.b", "c") for t in ("com", "net", "org") for p in ("en", "de", "es", "fr") for k in range(5, 9) for q in ("", "?x=1&y=2")]
+    rows = [(i, u) for i, u in enumerate([*some, *URLS, *URLS, "http://a.example.com/en/" + "9" * 100_000])]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    model = urls.fit_on(df, rules=RULES)
+    got = {r.page_id: r for r in urls.filter_urls(df, RULES, model).collect()}
+    assert model.trees and len(got) == len(rows)
+    for i, u in rows:
+        rule, score = brute_score(model, u)
+        assert got[i].score == pytest.approx(score, abs=1e-9), u
+        assert got[i].verdict == (dict((r, v) for v, r in RULES)[rule] if rule else "block" if score >= 0.5 else "allow")
+    assert {r.verdict for r in got.values()} == {"allow", "block"}
 
 
 def test_suffixes_of_all_rows(spark, tmp_path, monkeypatch):
