@@ -262,6 +262,70 @@ def test_pipeline(spark):
     assert again.agg(F.min("n_tokens")).first()[0] >= 0 and exact.FIRST > 0
 
 
+def tables(spark, top, docs, labels=(), items=()):
+    """A folder of tables; documents have further columns whose names the operators use inside."""
+    rows = [(i, t, "en", "s", len(t or ""), k, "g", 1.0) for k, (i, t) in enumerate(docs)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, rid int, gone_rid string, fp double").write.parquet(f"{top}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{top}/labels.parquet")
+    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(f"{top}/benchmark.parquet")
+    return str(top)
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows, clashing columns, tables without rows."""
+    r = random.Random(12)
+    prose = lambda n: " ".join(r.choices([f"word{i}" for i in range(3000)], k=n))
+    base, leak, long = [prose(60) for _ in range(6)], prose(40), prose(120_000)
+    docs = [*enumerate(base), (None, base[0]), (7, None), (8, ""), (9, " "), (9, base[1]), (9, base[1]), (10, leak + " tail"), (11, long), (None, None)]
+    top = tables(spark, tmp_path / "a", docs, items=[(1, leak), (None, None)])
+    first, seen = spark.read.parquet(f"{top}/documents.parquet"), {}
+    again = exact.exact_dedup(first)
+    now = first
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, now, top)
+        assert out.schema == first.schema, name
+        out.write.parquet(f"{top}/{name}")
+        now = spark.read.parquet(f"{top}/{name}")
+        seen[name] = [tuple(x) for x in now.collect()]
+        assert set(seen[name]) <= {tuple(x) for x in first.collect()}
+    assert len(seen["quality"]) == len(docs)
+    assert sorted(((x[0], x[1]) for x in seen["exact_dedup"]), key=str) == sorted([*((i, t) for i, t in enumerate(base) if i != 1), (1, base[1]), (10, leak + " tail"), (11, long), (9, " ")], key=str)
+    assert {x[0] for x in seen["decontamination"]} == {x[0] for x in seen["near_dedup"]} - {10}
+    done = corpus_pipeline.STAGES[-1][1](spark, now, top).collect()
+    assert sorted(x.doc_id for x in done) == sorted(x[0] for x in seen["decontamination"])
+    assert again.count() == len(docs)  # tables of other calls are still there
+    empty = tables(spark, tmp_path / "b", [])
+    assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_pipeline_when_cores_change(spark, tmp_path):
+    """Executors that come and go between a stage's jobs don't change which rows stay."""
+    from gridloom.llm import common
+
+    r = random.Random(13)
+    texts = [" ".join(r.choices([f"w{i}" for i in range(500)], k=30)) for _ in range(60)]
+    docs = [(i, texts[i % 60] + (" " if i % 3 else "")) for i in range(300)]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(8).write.parquet(str(tmp_path / "d"))
+    cores, kept = "spark.sql.leafNodeDefaultParallelism", common.sized
+
+    def later(df):
+        spark.conf.set(cores, "1" if spark.conf.get(cores, "8") == "8" else "8")
+        return kept(df)
+
+    try:
+        spark.conf.set(cores, "8")
+        common.sized = exact.sized = later
+        for stage in (corpus_pipeline.drop_exact_copies, corpus_pipeline.drop_near_copies):
+            got = stage(spark, spark.read.parquet(str(tmp_path / "d")), "")
+            left = {}
+            for i, t in docs:
+                left.setdefault(t.strip(), []).append((-len(t) if stage is corpus_pipeline.drop_exact_copies else 0, i))
+            assert {x.doc_id for x in got.collect()} == {min(x)[1] for x in left.values()}
+    finally:
+        common.sized = exact.sized = kept
+        spark.conf.unset(cores)
+
+
 def test_bounded_samples(spark, tmp_path):
     from gridloom.llm.common import sampled, sized
 

@@ -265,6 +265,55 @@ def test_substrings(spark, tmp_path):
     assert substrings.remove_repeats(empty.where("false")).count() == 0
 
 
+def test_phrases_know_no_places(spark, tmp_path):
+    """What documents are given is words alone, each at two places at least; the automaton finds where they are."""
+    r = random.Random(14)
+    words = [f"w{i}" for i in range(2000)]
+    passage, other = r.choices(words, k=90), r.choices(words, k=40)
+    docs = [r.choices(words, k=50) + passage[a:b] + r.choices(words, k=20) + (other if k % 3 == 0 else []) for k, (a, b) in enumerate([(0, 90), (10, 80), (0, 90), (30, 70), (5, 45), (0, 34)])]
+    texts = [" ".join(d) for d in docs] + [None, "x"]
+    df = docs_of(spark, tmp_path, texts)
+    ws = Workspace(spark, "t")
+    rows = numbered(df.select("doc_id", "text"), ws)
+    phrases = substrings.confirmed(rows, ws, "text", per=2)
+    assert phrases.columns == ["block", "words"]
+    for x in phrases.collect():
+        p = bytes(x.words).decode()
+        assert len(p.split()) == 35 and sum(t.count(p) for t in texts if t) >= 2
+    assert substrings.Phrases([]).covered([b"x"]) is None
+    # an occurrence that nothing handed over
+    found = substrings.Phrases([" ".join(passage[:35]).encode()]).covered([b"a", *(w.encode() for w in passage), b"b"])
+    assert found.tolist() == [False] + [True] * 35 + [False] * 56
+
+
+def test_substrings_of_odd_tables(spark, tmp_path):
+    """A very long text, repeated and null ids, other windows, and a scan that is cut otherwise later on."""
+    r = random.Random(15)
+    words = [f"w{i}" for i in range(4000)]
+    long, shared = r.choices(words, k=150_000), r.choices(words, k=60)
+    long[70_000:70_000] = shared
+    texts = [" ".join(long), " ".join(r.choices(words, k=40) + shared), "a b c", "a b c", None]
+    df, cores = docs_of(spark, tmp_path, texts, ids=[5, 5, None, None, 7]), "spark.sql.leafNodeDefaultParallelism"
+    kept = substrings.sized
+
+    def later(x):
+        spark.conf.set(cores, "1")
+        return kept(x)
+
+    try:
+        spark.conf.set(cores, "8")
+        substrings.sized = later
+        got = sorted((x.n_words, x.n_removed, bytes(x.kept).decode()) for x in substrings.remove_repeats(df).collect())
+    finally:
+        substrings.sized = kept
+        spark.conf.unset(cores)
+    assert got == sorted(brute_repeats(texts, 35).values())
+    for window, seed in ((3, 2), (100, 8), (35, 34)):
+        some = [" ".join(long[:300] + shared[:window]), " ".join(long[100:280]), *texts[1:]]
+        got = {x.doc_id: x.n_removed for x in substrings.remove_repeats(docs_of(spark, tmp_path, some, name=f"w{window}{seed}"), window=window, seed=seed).collect()}
+        assert got == {k: n for k, (_, n, _) in brute_repeats(some, window).items()}
+
+
 def test_permutation():
     import numpy as np
 
