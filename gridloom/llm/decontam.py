@@ -7,8 +7,11 @@ difference of two sums. Fingerprints are looked up in a multi-index: they are cu
 ``PARTS`` blocks of 16 bits, and as two within ``RADIUS`` bits differ by at most
 RADIUS // PARTS bits in one block at least, a table of each block's ball of that radius
 finds every item within the radius; the whole distance is checked next. The weighted
-Jaccard similarity of the shingles then decides exactly, from ``SIMILARITY`` on (windows
-that hold fewer shingles of any item than this needs are not worked out).
+Jaccard similarity of the shingles then decides exactly, from ``SIMILARITY`` on.
+
+Documents that hold, all in all, fewer shingles that any of the items might have than the
+shortest item needs to reach that similarity are passed over, as are windows at the end;
+that loses nothing, and says nothing of which item is where.
 
 A similarity of 0.8 puts about 10 of 64 bits apart, with a deviation of 3, so a radius of
 19 misses few such windows and none that are equal; README.md has the recall as measured.
@@ -131,6 +134,15 @@ class Index:
             if not len(s):
                 continue
             begin = np.cumsum(n) - n
+            known = np.concatenate([[0], np.cumsum(self.maybe[size][(s >> np.uint64(42)).astype(np.int64)])])
+            least_width = min(t.width for t, _ in tables)
+            need = self.least * (least_width + np.minimum(n, least_width)) / (1 + self.least)
+            rolled = [r if ok else r[:0] for r, ok in zip(rolled, (known[begin + n] - known[begin] >= need - 1e-9).tolist())]
+            n = np.array([len(r) for r in rolled], dtype=np.int64)
+            s = np.concatenate(rolled)
+            if not len(s):
+                continue
+            begin = np.cumsum(n) - n
             end = np.repeat(begin + n, n)  # where the document of each shingle ends
             known = np.concatenate([[0], np.cumsum(self.maybe[size][(s >> np.uint64(42)).astype(np.int64)])])
 
