@@ -16,8 +16,9 @@ windows have equal minimizers at equal places, so nothing is lost.
    word; only phrases that are equal in both are confirmed.
 4. Documents are dealt into shards of about ``SHARD`` characters. For each shard the
    distinct confirmed phrases of the kinds that occur anywhere in it are compiled to one
-   Aho-Corasick automaton. It knows no places: every document of the shard streams
-   through it whole, and every occurrence that it reports is removed.
+   Aho-Corasick automaton. It knows no places: every document of the shard that holds
+   any recurring segment streams through it whole (others can hold no phrase), and every
+   occurrence that it reports is removed.
 
 Work and shuffles are in proportion to the input, as a phrase goes only to shards in
 which its kind occurs. Candidate windows are compared by 128 bits of hash, phrases and
@@ -42,28 +43,35 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, numbered, sized, trim
+from .common import Workspace, blocks, numbered, sized, trim
 from .words import BASE, WordHashes, mix, rolling, window_argmin
 
 WINDOW, SEED = 35, 8
-#: Characters of the documents that share an automaton, and most windows of a segment.
-SHARD, LONGEST = 2_000_000, 62
+#: Characters of the documents that share an automaton, most windows of a segment, characters that are hashed together.
+SHARD, LONGEST, TEXTS = 2_000_000, 62, 1 << 20
 
 
-def segments(h: np.ndarray, window: int = WINDOW, seed: int = SEED) -> tuple[np.ndarray, ...]:
-    """(seed, segment hash, first window, windows) of each run of windows with one minimizer."""
+def segments(h: np.ndarray, n: np.ndarray, window: int = WINDOW, seed: int = SEED) -> tuple[np.ndarray, ...]:
+    """(seed, segment hash, document, first window, windows) of each run of windows with one minimizer.
+
+    ``h`` has the hashes of the words of documents side by side, ``n`` their numbers of words.
+    """
     w = rolling(h, window)
-    if not len(w):
-        return (np.zeros(0, dtype=np.int64),) * 4
+    begin = np.cumsum(n) - n
+    doc = np.repeat(np.arange(len(n)), np.maximum(n - window + 1, 0))  # of each window inside one document
+    own = np.arange(len(doc)) - np.repeat(np.cumsum(np.maximum(n - window + 1, 0)) - np.maximum(n - window + 1, 0), np.maximum(n - window + 1, 0))
+    if not len(doc):
+        return (np.zeros(0, dtype=np.int64),) * 5
+    g = begin[doc] + own
     s = rolling(h, seed)
-    at = window_argmin(s, window - seed + 1)
+    at = window_argmin(s, window - seed + 1)[g]
     # a run of windows with one minimizer is cut by how far before it they begin, which is the same wherever they occur
-    part = (at - np.arange(len(at))) // LONGEST
+    part = (at - g) // LONGEST
     first = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0))
     last = np.append(first[1:], len(at)) - 1
-    whole = mix(mix(w[first]) * np.uint64(5) + w[last] + (last - first).astype(np.uint64))
+    whole = mix(mix(w[g[first]]) * np.uint64(5) + w[g[last]] + (last - first).astype(np.uint64))
     key = s[at[first]] + part[first].astype(np.uint64) * np.uint64(BASE)
-    return key.view(np.int64), whole.view(np.int64), first, last - first + 1
+    return key.view(np.int64), whole.view(np.int64), doc[first], own[first], last - first + 1
 
 
 def _packed(docs: DataFrame, text_col: str, kind: str = "", id_col: str = "") -> DataFrame:
@@ -83,13 +91,12 @@ def _all_segments(docs: DataFrame, text_col: str, window: int, seed: int) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            out, n = [], []
-            for t in batch.column(1):
-                out.append(segments(hashes((t.as_py() or "").encode().split()), window, seed))
-                n.append(len(out[-1][0]))
-            rid = np.repeat(batch.column(0).to_numpy(), n)
-            cols = [np.concatenate(c) if c else np.zeros(0, dtype=np.int64) for c in zip(*out)]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(rid), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int32))], names=["seed", "seg", "rid", "a", "nw"])
+            rid, sizes = batch.column(0).to_numpy(), pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0)
+            for x, y in blocks(sizes.to_pylist(), TEXTS):
+                h = [hashes((t.as_py() or "").encode().split()) for t in batch.column(1).slice(x, y - x)]
+                key, seg, doc, a, nw = segments(np.concatenate(h), np.array([len(d) for d in h], dtype=np.int64), window, seed)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(seg), pa.array(rid[x:y][doc]), pa.array(a.astype(np.int32)), pa.array(nw.astype(np.int32))], names=["seed", "seg", "rid", "a", "nw"])
+            trim()
 
     return docs.select("rid", text_col).mapInArrow(run, "seed long, seg long, rid long, a int, nw int")
 
@@ -100,16 +107,22 @@ def _windows(reps: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two, z = WordHashes(), WordHashes(1), zstandard.ZstdDecompressor()
         for batch in batches:
-            parts: list[list[np.ndarray]] = [[], [], [], [], [], []]
-            for rid, data, listed in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                words = z.decompress(data.as_py()).split()
-                w1, w2 = rolling(one(words), window).view(np.int64), rolling(two(words), window).view(np.int64)
-                for x in listed:
-                    a, nw = x["a"], x["nw"]
-                    for p, v in zip(parts, (w1[a : a + nw], w2[a : a + nw], np.full(nw, x["cid"]), np.arange(nw), np.full(nw, rid), np.arange(a, a + nw))):
-                        p.append(v)
-            cols = [np.concatenate(p) if p else np.zeros(0, dtype=np.int64) for p in parts]
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(cols, ("i8", "i8", "i8", "i4", "i8", "i4"))], names=["w1", "w2", "cid", "o", "rid", "pos"])
+            rid = batch.column(0).to_numpy()
+            for x, y in blocks([len(data.as_py()) for data in batch.column(1)], TEXTS // 4):  # of packed bytes
+                words = [z.decompress(data.as_py()).split() for data in batch.column(1).slice(x, y - x)]
+                n = np.array([len(w) for w in words], dtype=np.int64)
+                every = [w for d in words for w in d]
+                w1, w2 = rolling(one(every), window).view(np.int64), rolling(two(every), window).view(np.int64)
+                lists = batch.column(2).slice(x, y - x)
+                cid, a, nw = (c.to_numpy() for c in lists.flatten().flatten())
+                doc = np.repeat(np.arange(y - x), pa.compute.list_value_length(lists).to_numpy())
+                total = int(nw.sum())
+                o = np.arange(total) - np.repeat(np.cumsum(nw) - nw, nw)
+                pos = np.repeat(a, nw) + o
+                at = np.repeat((np.cumsum(n) - n)[doc], nw) + pos
+                cols = ((w1[at], "i8"), (w2[at], "i8"), (np.repeat(cid, nw), "i8"), (o, "i4"), (np.repeat(rid[x:y][doc], nw), "i8"), (pos, "i4"))
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in cols], names=["w1", "w2", "cid", "o", "rid", "pos"])
+            trim()
 
     return reps.select("rid", "z", "listed").mapInArrow(run, "w1 long, w2 long, cid long, o int, rid long, pos int")
 
@@ -130,8 +143,11 @@ def _spelled(asked: DataFrame, window: int) -> DataFrame:
     return asked.select("z", "listed").mapInArrow(run, "k1 long, k2 long, words binary")
 
 
-def confirmed(docs: DataFrame, ws: Workspace, text_col: str, per: int, window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """(block, words): for each block of ``per`` documents, the phrases that occur in it and, word for word, at two places at least."""
+def confirmed(docs: DataFrame, ws: Workspace, text_col: str, per: int, window: int = WINDOW, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """(block, words): for each block of ``per`` documents, the phrases that occur in it and, word for word, at two places at least.
+
+    And (block, rids): the documents of each block that hold a recurring segment at all.
+    """
     every = ws.save(_all_segments(docs, text_col, window, seed), "segments")
     # counts are tables of their own: a join with an aggregate of the same keys would share its shuffle, which can't be split for a hot key
     seeds = sized(ws.save(every.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"), "seeds"))
@@ -147,7 +163,7 @@ def confirmed(docs: DataFrame, ws: Workspace, text_col: str, per: int, window: i
     ws.release()
     at = F.struct("rid", "pos")
     twice = ws.save(windows.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min(at).alias("rep"), F.max(at).alias("other")).where("n > 1").drop("n"), "twice")
-    hits = windows.join(sized(twice), ["w1", "w2"]).groupBy("cid").agg(F.collect_list(F.struct("o", "w1", "w2")).alias("hits"))
+    hits = windows.join(sized(twice.select("w1", "w2")), ["w1", "w2"]).groupBy("cid").agg(F.collect_list(F.struct("o", "w1", "w2")).alias("hits"))
     # runs of recurring windows in a kind: where they begin, and where they end
     copied = kinds.where("c > 1").select("cid", "seed", "seg", "nw", F.array(F.struct(F.lit(0).alias("o"), F.col("cid").alias("k1"), F.lit(-1).cast("long").alias("k2"))).alias("heads"),
                                          F.array(F.struct((F.col("nw") - 1).alias("o"), F.col("cid").alias("k1"), F.lit(-2).cast("long").alias("k2"))).alias("tails"))
@@ -159,7 +175,9 @@ def confirmed(docs: DataFrame, ws: Workspace, text_col: str, per: int, window: i
     order = Window.partitionBy("rid").orderBy("a")
     placed = found.join(runs.select("cid", "seed", "seg", "nw", F.expr("exists(heads, h -> h.o = 0)").alias("on"), F.expr("exists(tails, h -> h.o = nw - 1)").alias("open")), ["seed", "seg", "nw"])
     placed = placed.withColumn("goes", F.coalesce((F.lead("a").over(order) == F.col("a") + F.col("nw")) & F.lead("on").over(order), F.lit(False)))
-    needed = ws.save(placed.select(F.expr(f"rid div {per}").alias("block"), "cid", (F.col("open") & ~F.col("goes")).alias("ends")).distinct(), "needed")
+    placed = ws.save(placed.select("rid", F.expr(f"rid div {per}").alias("block"), "cid", (F.col("open") & ~F.col("goes")).alias("ends")), "placed")
+    needed = ws.save(placed.select("block", "cid", "ends").distinct(), "needed")
+    holding = placed.groupBy("block").agg(F.collect_set("rid").alias("rids"))  # at most ``per`` of a block
     ws.drop(found)
     ws.release()
     ends = F.expr("concat(heads, filter(tails, t -> ends or t.o < nw - 1))")
@@ -175,7 +193,7 @@ def confirmed(docs: DataFrame, ws: Workspace, text_col: str, per: int, window: i
     ws.drop(kinds)
     ws.drop(twice)
     ws.release()
-    return keys.join(phrases, ["k1", "k2"]).select("block", "words")
+    return keys.join(phrases, ["k1", "k2"]).select("block", "words"), holding
 
 
 class Phrases:
@@ -210,33 +228,39 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = numbered(docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col)), ws)
     n, size = docs.agg(F.count("*"), F.sum(F.length(text_col))).first()
     per = max(1, SHARD * n // max(size or 0, 1))
-    phrases = confirmed(docs, ws, text_col, per, window, seed)
+    phrases, holding = confirmed(docs, ws, text_col, per, window, seed)
     block = F.expr(f"rid div {per}").alias("block")
-    texts = _packed(docs, text_col, kind, id_col).select(block, F.lit(1).alias("part"), "id", "z")
-    # a shard's phrases come before its documents
-    both = texts.unionAll(phrases.select("block", F.lit(0).alias("part"), F.lit(None).cast(kind).alias("id"), F.col("words").alias("z")))
+    texts = _packed(docs, text_col, kind, id_col).select(block, F.lit(2).alias("part"), "rid", "id", "z")
+    # a shard's phrases, and the numbers of the documents that need a look, come before its documents
+    none = F.lit(None).cast(kind).alias("id")
+    given = phrases.select("block", F.lit(0).alias("part"), F.lit(-1).cast("long").alias("rid"), none, F.col("words").alias("z"))
+    asked = holding.select("block", F.explode("rids").alias("rid")).select("block", F.lit(1).alias("part"), "rid", none, F.lit(None).cast("binary").alias("z"))
+    both = texts.unionAll(given).unionAll(asked)
     dealt = both.repartition("block").sortWithinPartitions("block", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z, now, given, automaton = zstandard.ZstdDecompressor(), None, set(), None
+        z, now, given, looks, automaton = zstandard.ZstdDecompressor(), None, set(), set(), None
         for batch in batches:
             ids, counts, removed, left = [], [], [], []
-            for shard, part, i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+            for shard, part, rid, i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4)):
                 if shard != now:
-                    now, given, automaton = shard, set(), None
+                    now, given, looks, automaton = shard, set(), set(), None
                 if part == 0:
                     given.add(data.as_py())
                     continue
+                if part == 1:
+                    looks.add(rid)
+                    continue
                 if automaton is None:
                     automaton = Phrases(sorted(given))
                     given = set()
                 words = z.decompress(data.as_py()).split()
-                gone = automaton.covered(words)
+                gone = automaton.covered(words) if rid in looks else None
                 ids.append(i)
                 counts.append(len(words))
                 removed.append(0 if gone is None else int(gone.sum()))
                 left.append(b" ".join(words if gone is None else compress(words, (~gone).tolist())))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.types[2]), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(left, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.types[3]), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(left, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
             del ids, counts, removed, left
             trim()
 

@@ -275,7 +275,9 @@ def test_phrases_know_no_places(spark, tmp_path):
     df = docs_of(spark, tmp_path, texts)
     ws = Workspace(spark, "t")
     rows = numbered(df.select("doc_id", "text"), ws)
-    phrases = substrings.confirmed(rows, ws, "text", per=2)
+    phrases, holding = substrings.confirmed(rows, ws, "text", per=2)
+    look = {k for x in holding.collect() for k in x.rids}
+    assert {x.doc_id for x in rows.collect() if x.rid in look} == {0, 1, 2, 3, 4}
     assert phrases.columns == ["block", "words"]
     for x in phrases.collect():
         p = bytes(x.words).decode()
