@@ -223,6 +223,41 @@ def test_ball_links_find_every_pair(spark):
         simhash.ball_links(spark.createDataFrame([(1,)], "fp long"), radius=3)
 
 
+def brute_similar(texts, least=0.8):
+    """Components of pairs of texts by the sets of their five-word shingles."""
+    sets = []
+    for t in texts:
+        w = [x for x in regex.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) if x]
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    near = lambda a, b: sets[a] == sets[b] or len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])
+    return brute_components(range(len(texts)), near)
+
+
+def test_near_copies_by_similarity(spark, tmp_path):
+    """Groups of edited copies, some of which are similar to the original alone; what is less similar stays apart."""
+    r = random.Random(21)
+    words = [f"w{i}" for i in range(3000)]
+    texts = ["", None, "a b", "A  b", "a b c", "x " * 30]
+    for n, copies in ((40, 4), (150, 25), (150, 3), (400, 6)):
+        base, edited = r.choices(words, k=n), []
+        for _ in range(copies):
+            w = list(base)
+            for at in r.sample(range(n), max(1, n // 50)):
+                w[at] = r.choice(words)
+            edited.append(" ".join(w))
+        texts += [*edited, " ".join(base), " ".join(base[: int(n * 0.7)] + r.choices(words, k=n))]
+    shared = " ".join(r.choices(words, k=60))
+    texts += [shared + " " + " ".join(r.choices(words, k=90)) for _ in range(12)]
+    root = brute_similar(texts)
+    df = docs_of(spark, tmp_path, texts)
+    got = {x.rid: x.keep_rid for x in simhash.near_copies(df.withColumn("rid", F.col("doc_id")), "rid").collect()}
+    alone = {k for k in root if list(root.values()).count(root[k]) == 1}
+    assert got == {k: v for k, v in root.items() if k not in alone}
+    assert len(alone) > 14 and len(got) > 35
+    none = docs_of(spark, tmp_path, ["x"], name="none").withColumn("rid", F.col("doc_id"))
+    assert simhash.near_copies(none, "rid").count() == 0 and simhash.near_copies(none.where("false"), "rid").count() == 0
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(i, i + 1) for i in range(100, 160)] + [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(500, 500 + i) for i in range(1, 30)] + [(5, 5)]
