@@ -42,9 +42,9 @@ from pyspark.sql import functions as F
 from .common import blocks, trim
 
 #: Bytes, roughly, of a generation of words (and of decoded runs); a worker keeps two of each.
-CACHE = 16 << 20
+CACHE = 40 << 20
 #: Characters of text that are cut at once.
-BLOCK = 1 << 20
+BLOCK = 2 << 20
 #: Bytes of a piece, rows that a recursive query makes at most, and runs that are decoded at once.
 PIECE, STEPS, QUERY_RUNS = 96, 2_000_000, 30_000
 
@@ -256,7 +256,7 @@ class Codec:
     def decode(self, rows: list[bytes]) -> list[bytes]:
         """The bytes that each row of ids stands for."""
         out: list[bytes] = []
-        for a, b in blocks([len(x) for x in rows], 2 * BLOCK):
+        for a, b in blocks([len(x) for x in rows], BLOCK):
             cut = [self._cut(x) for x in rows[a:b]]
             self._spell(self.runs.missing(set().union(*cut)))
             get = self.runs.__getitem__
@@ -307,7 +307,7 @@ def _mapped(df: DataFrame, given: str, id_col: str, ranks_path: str, pattern: st
         codec = _codec(ranks, pattern)
         for batch in batches:
             values = batch.column(1)
-            for a, b in blocks(pa.compute.fill_null(pa.compute.binary_length(values), 0).to_pylist(), 4 * BLOCK):
+            for a, b in blocks(pa.compute.fill_null(pa.compute.binary_length(values), 0).to_pylist(), 2 * BLOCK):
                 some = [x or type(x or b"")() for x in values.slice(a, b - a).to_pylist()]
                 cols, ids = [batch.column(0).slice(a, b - a)], some
                 if "ids" in outputs:
