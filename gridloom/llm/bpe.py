@@ -42,11 +42,11 @@ from pyspark.sql import functions as F
 from .common import blocks, trim
 
 #: Bytes, roughly, of a generation of words (and of decoded runs); a worker keeps two of each.
-CACHE = 40 << 20
+CACHE = 64 << 20
 #: Characters of text that are cut at once.
-BLOCK = 2 << 20
+BLOCK = 4 << 20
 #: Bytes of a piece, rows that a recursive query makes at most, and runs that are decoded at once.
-PIECE, STEPS, QUERY_RUNS = 96, 2_000_000, 30_000
+PIECE, STEPS, QUERY_RUNS = 96, 4_000_000, 30_000
 
 _ENCODE = """
 with recursive s(k, tok, live) as (
@@ -184,10 +184,11 @@ class Codec:
                     waiting.append((run, more))
 
     def _contract(self, words: list[bytes]) -> list[bytes]:
-        """Of each short word its ids, packed: the recursive query."""
-        out: list[bytes] = []
-        for a, b in blocks([len(w) * len(w) for w in words], STEPS):
-            some = words[a:b]
+        """Of each short word its ids, packed: the recursive query, over words of about one length, which take as many steps."""
+        out: dict[bytes, bytes] = {}
+        inorder = sorted(words, key=len)
+        for a, b in blocks([len(w) * len(w) for w in inorder], STEPS):
+            some = inorder[a:b]
             n = np.fromiter(map(len, some), dtype=np.int64, count=len(some))
             self._table("words", {
                 "w": np.repeat(np.arange(len(some), dtype=np.uint32), n),
@@ -197,8 +198,8 @@ class Codec:
             got = self.con.sql(_ENCODE).to_arrow_table()
             ids = got["tok"].to_numpy().astype("<u4").tobytes()
             ends = (4 * np.cumsum(np.bincount(got["w"].to_numpy(), minlength=len(some)))).tolist()
-            out += [ids[x:y] for x, y in zip([0, *ends], ends)]
-        return out
+            out.update((w, ids[x:y]) for w, x, y in zip(some, [0, *ends], ends))
+        return list(map(out.__getitem__, words))
 
     def _spliced(self, w: str, b: bytes) -> Generator:
         """Asks for the pieces of a long word by lists, is sent their ids, and keeps the word's in the end."""
