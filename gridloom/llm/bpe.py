@@ -102,11 +102,12 @@ class Recent(dict):
             self.older, self.size = dict(self), 0
             self.clear()
         out, older = [], self.older
-        for x in met.difference(self):
-            if (v := older.get(x)) is None:
-                out.append(x)
-            else:
-                self.add(x, v)
+        for x in met:  # a set's difference from a kind of dict would go over all of the dict
+            if x not in self:
+                if (v := older.get(x)) is None:
+                    out.append(x)
+                else:
+                    self.add(x, v)
         return out
 
 
