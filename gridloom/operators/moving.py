@@ -19,6 +19,8 @@ from .windows import Windows
 
 #: Indices of a block of ``rolling``; a block's rows are sorted in one task.
 BLOCK = 65_536
+#: Cells that the frames of a block of ``neighbourhood`` hold together, at most.
+CELLS = 4_000_000
 
 
 def rolling(cube: Cube, dim: str, before: int, after: int, f: Callable[[Column], Column], full_only: bool = False, block: int = BLOCK) -> Cube:
@@ -54,18 +56,19 @@ def windowed(cube: Cube, f, windows: Mapping[str, Windows], skipmissing: bool =
 SEPARABLE = {"sum": F.sum, "mean": F.sum, "nvalid": F.sum, "minimum": F.min, "maximum": F.max}
 
 
-def neighbourhood(cube: Cube, reach: Mapping[str, int], f, skipmissing: bool = True, side: int = 64) -> Cube:
+def neighbourhood(cube: Cube, reach: Mapping[str, int], f, skipmissing: bool = True, side: int | None = None) -> Cube:
     """The statistic ``f`` of the cells within ``reach`` of each index in every named dimension, clipped at the edges.
 
     Sums, means, counts and extremes are taken one dimension after the other, by rolling
     frames. For the median and the variance the cube is cut into blocks of ``side`` indices
-    with a halo of ``reach``, and a task works on one block at a time as a dense array; for
-    anything else each cell is sent to the windows that hold it.
+    (by default as many as ``CELLS`` cells of all of a block's frames allow) with a halo of
+    ``reach``, and a task works on one block at a time as a dense array; for anything else each cell is sent to the windows that hold it.
     """
     if f in SEPARABLE:
         return _by_dimension(cube, reach, f, skipmissing)
     if f in ("median", "variance") and len(cube.values) == 1:
-        return _by_block(cube, reach, f, skipmissing, side)
+        frame = math.prod(2 * r + 1 for r in reach.values())
+        return _by_block(cube, reach, f, skipmissing, side or max(1, min(BLOCK, int((CELLS / frame) ** (1 / len(reach))))))
     c = cube.measured()
     rows = c.df
     for d, r in reach.items():

@@ -63,11 +63,14 @@ class Axis:
         return np.clip(p, 0.0, float(self.n - 1))
 
 
+def _place(p: Column, n: int, method: str) -> Column:
+    return {"nearest": F.least(F.floor(p + 0.5), F.lit(n - 1)), "previous": F.floor(p), "next": F.ceil(p)}[method]
+
+
 def _nodes(p: Column, n: int, method: str) -> Column:
     """The array of (s, w): the nodes, from 0, that make up a target at place ``p``, and their weights."""
     if method != "linear":
-        at = {"nearest": F.least(F.floor(p + 0.5), F.lit(n - 1)), "previous": F.floor(p), "next": F.ceil(p)}[method]
-        return F.array(F.struct(at.cast("long").alias("s"), F.lit(1.0).alias("w")))
+        return F.array(F.struct(_place(p, n, method).cast("long").alias("s"), F.lit(1.0).alias("w")))
     i = F.floor(p)
     part = p - i
     one = F.struct(i.cast("long").alias("s"), (1 - part).alias("w"))
@@ -93,8 +96,12 @@ def _spread(rows: DataFrame, dim: str, origin: int, src: Axis, dst: Axis, method
         rows = rows.where(i.between(0, src.n - 1)).withColumn("__t", F.explode(F.when(first <= last, F.sequence(first.cast("long"), last.cast("long")))))
         # by the coordinate, as a target would be placed, so that weights are the same in all of its nodes
         p = F.least(F.greatest((F.lit(dst.x0) + F.col("__t") * dst.step - src.x0) / src.step, F.lit(0.0)), F.lit(float(src.n - 1)))
-        mine = F.filter(_nodes(p, src.n, method), lambda x: x["s"] == i)
-        return rows.withColumn("__w", F.element_at(F.when(F.size(mine) > 0, mine), 1)["w"]).where("__w is not null")
+        if method == "linear":
+            low, part = F.floor(p), p - F.floor(p)
+            own = F.when(i == low, 1 - part).when((i == low + 1) & (part > 0), part)
+        else:
+            own = F.when(i == _place(p, src.n, method), F.lit(1.0))
+        return rows.withColumn("__w", own).where("__w is not null")
     spark = rows.sparkSession
     if dst.listed is None:
 
