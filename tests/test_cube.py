@@ -313,3 +313,30 @@ def test_grid(spark):
     holes = Cube(c.df.where("value <> 4"), c.dims, c.values, c.shape, c.origin).densify().collect()
     assert holes[2, 2] is None and len(holes) == 6
     assert finite(F.lit(1)) is not None
+
+
+def test_own_statistics_fold_many_groups_a_batch(spark):
+    """Groups that begin, go on and end anywhere in a batch, and keys that are null, NaN or beyond a double's integers."""
+    n = 700
+    rows = spark.range(n).select(
+        F.when(F.col("id") % 7 != 3, F.floor(F.col("id") % 40 / 4) + (1 << 60)).alias("k"), F.when(F.col("id") % 5 > 0, F.lit(float("nan"))).alias("z"),
+        F.when(F.col("id") % 11 > 0, F.col("id").cast("double")).alias("value"),
+    ).repartition(5)
+    want = {}
+    for i in range(n):
+        want.setdefault(((i % 40) // 4 + (1 << 60) if i % 7 != 3 else None, i % 5 > 0), []).append(i if i % 11 else None)
+    total = Mergeable(lambda: (0, 0.0), lambda a, x: (a[0] + 1, a[1] + x), lambda a, b: (a[0] + b[0], a[1] + b[1]), lambda a: a[1])
+    strict = Mergeable(lambda: 0.0, lambda a, x: a + x, lambda a, b: a + b, lambda a: a, skipmissing=False, fit_many=lambda a, x: a + float(x.sum()))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("3", "64", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            got = {(r.k, r.z is not None): r.value for r in total.aggregate(rows, ["k", "z"], "value").collect()}
+            assert got == {k: sum(x for x in v if x is not None) for k, v in want.items()}
+            got = {(r.k, r.z is not None): r.value for r in strict.aggregate(rows, ["k", "z"], "value").collect()}
+            assert got == {k: None if None in v else sum(v) for k, v in want.items()}
+            assert [r.value for r in total.aggregate(rows, [], "value").collect()] == [sum(i for i in range(n) if i % 11)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert total.aggregate(rows.where("k < 0"), ["k"], "value").collect() == []
+    assert "FlatMapGroupsInPandas" not in inspect.nodes(total.aggregate(rows, ["k", "z"], "value"))
