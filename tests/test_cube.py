@@ -340,3 +340,40 @@ def test_own_statistics_fold_many_groups_a_batch(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     assert total.aggregate(rows.where("k < 0"), ["k"], "value").collect() == []
     assert "FlatMapGroupsInPandas" not in inspect.nodes(total.aggregate(rows, ["k", "z"], "value"))
+
+
+@pytest.mark.parametrize("ranges", [
+    {"i": [(a, a + 6) for a in range(0, 300, 7)]},  # the last one is cut
+    {"i": [(a, min(a + 9, 299)) for a in range(0, 300, 4)]},  # overlapping
+    {"i": [(a, a + 2) for a in range(0, 300, 5)]},  # with gaps
+    {"i": [(0, 3), (4, 50), (51, 51), (60, 299), (2, 8)]},  # listed, overlapping
+    {"i": [(a, a + 39) for a in range(0, 300, 40)], "j": [(0, 0), (1, 1), (2, 2), (3, 3)]},
+])
+def test_blocks_in_batches(spark, tmp_path, ranges):
+    """Many blocks in few jobs: each is what it is on its own, a batch that failed is made once more, the others aren't."""
+    c = Cube(spark.range(1200).select((F.col("id") % 300).alias("i"), F.floor(F.col("id") / 300).alias("j"), (F.col("id") * 1.5).alias("value")), ("i", "j"), ("value",), {"i": 300, "j": 4}, {"i": 0, "j": 0})
+    blocks, path, made = blocks_of(list(ranges.values())), str(tmp_path / "run"), []
+
+    def sums(part, fails):
+        numbers = range(part.origin["block"], part.origin["block"] + part.shape["block"])
+        if fails and len(blocks) // 2 in numbers:
+            raise RuntimeError("stopped")
+        made.append(numbers)
+        return aggregate(part, "sum", {"i": None, "j": None}, keepdims=False).df
+
+    with pytest.raises(RuntimeError, match="stopped"):
+        run_blocks(c, lambda p: sums(p, True), ranges, path, parallel=1, batches=4)
+    with pytest.raises(ValueError, match="batches"):
+        run_blocks(c, lambda p: p.df, ranges, path, mode="continue")
+    told = []
+    out = run_blocks(c, lambda p: sums(p, False), ranges, path, mode="continue", batches=2, progress=lambda n, of: told.append((n, of)))
+    assert len(made) <= 4 and sorted(n for m in made for n in m) == list(range(len(blocks)))
+    assert told[-1] == (len(blocks), len(blocks))
+    want = {}
+    for n, b in enumerate(blocks):
+        spans = dict(zip(ranges, b))
+        (a, z), (p, q) = spans["i"], spans.get("j", (0, 3))
+        want[n] = sum((i + 300 * j) * 1.5 for i in range(a, min(z, 299) + 1) for j in range(p, q + 1))
+    assert {r.block: r.value for r in out.collect()} == want
+    with pytest.raises(ValueError, match="column block"):
+        run_blocks(c, lambda p: p.df.select("value"), ranges, str(tmp_path / "lost"), batches=4)
