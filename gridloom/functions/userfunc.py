@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +22,10 @@ class UserFunction:
 
     An expression function maps columns to a column, or to several for several outputs.
     A Python function (``python=True``) maps pandas series to a series. A block function
-    maps the pandas frame of a block, which carries absolute indices, to a frame.
+    maps the pandas frame of a block, which carries absolute indices, to a frame. With
+    ``together`` it maps the frame of many whole blocks, to which a second argument, a series,
+    numbers the blocks; integers and booleans are pandas' nullable ones there. That is for
+    small blocks, where a call for each is nearly all of the work.
     """
 
     f: Callable
@@ -35,6 +39,7 @@ class UserFunction:
     merge: Callable | None = None
     args: tuple = ()
     kwargs: dict = field(default_factory=dict)
+    together: bool = False
 
     # -- cells -------------------------------------------------------------------------
     def columns(self, *cols: Column) -> list[Column]:
@@ -71,25 +76,50 @@ class UserFunction:
     def on_blocks(self, cube: Cube, blocks: dict[str, int | None]) -> DataFrame:
         """A block function over blocks of the given sizes (None: the whole dimension).
 
-        A block is a group in one task, so blocks are sized to fit in memory. Of blocks that
-        a filter skips, the outputs of all cells are missing.
+        A block is in one task, in order of its indices, so blocks are sized to fit in memory.
+        Many blocks come to Python together and are cut there. Of blocks that a filter skips,
+        the outputs of all cells are missing.
         """
         if not self.is_blockfunction:
             raise ValueError("not a block function")
         keys = {f"__b_{d}": F.lit(0).cast("long") if w is None else F.floor((F.col(d) - cube.origin.get(d, 0)) / w) for d, w in blocks.items()}
         rows = cube.df.select(*(k.alias(n) for n, k in keys.items()), *cube.dims, *cube.values)
-        f, args, kwargs, gone = self.f, self.args, self.kwargs, list(keys)
-
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            return f(pdf.drop(columns=gone), *args, **kwargs)
+        # pandas tells no nulls from numbers in columns of these kinds, and what they become is a block's own matter
+        plain = [v for v in cube.values if rows.schema[v].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint", "boolean")]
+        sent = rows.select(*keys, *cube.dims, *((F.coalesce(v, F.lit(0).cast(rows.schema[v].dataType)).alias(v) if v in plain else F.col(v)) for v in cube.values), *(F.isnull(v).alias(f"__null_{v}") for v in plain))
+        # the rows of a block are together from here on, whatever join follows
+        met = sent.repartition(*keys)
+        if self.filters:
+            met = met.join(rows.groupBy(*keys).agg(_skip(self.filters, F.col(cube.values[0])).alias("__skip")), list(keys))
+        f, args, kwargs, gone, dims, given, outputs, filtered, together = self.f, self.args, self.kwargs, list(keys), list(cube.dims), [*cube.dims, *cube.values], list(self.outputs), bool(self.filters), self.together
+
+        def one(cells: pd.DataFrame, nulls: dict[str, Any], a: int, b: int) -> pd.DataFrame:
+            part = cells.iloc[a:b].reset_index(drop=True)
+            for v, at in nulls.items():
+                if at[a:b].any():
+                    lost = part[v].dtype == bool
+                    part[v] = part[v].astype(object if lost else float).mask(at[a:b], None if lost else np.nan)
+            return f(part, *args, **kwargs)
+
+        def many(cells: pd.DataFrame, nulls: dict[str, Any], at: list[int], ends: list[int], skipped: np.ndarray) -> list[pd.DataFrame]:
+            for v, lost in nulls.items():
+                cells = cells.assign(**{v: cells[v].astype("boolean" if cells[v].dtype == bool else "Int64").mask(lost)})
+            number = pd.Series(np.repeat(np.arange(len(at)), np.subtract(ends, at)))[~skipped].reset_index(drop=True)
+            return [f(cells[~skipped].reset_index(drop=True), number, *args, **kwargs)] if len(number) else []
+
+        def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf, at in whole_blocks(frames, gone):
+                ends = [*at[1:], len(pdf)]
+                skipped = pdf["__skip"].to_numpy(dtype=bool, na_value=False) if filtered else np.zeros(len(pdf), bool)
+                cells, nulls = pdf[given], {v: pdf[f"__null_{v}"].to_numpy(dtype=bool) for v in plain}
+                done = many(cells, nulls, at, ends, skipped) if together else [one(cells, nulls, a, b) for a, b in zip(at, ends) if not skipped[a]]
+                if done:
+                    yield done[0] if len(done) == 1 else pd.concat(done, ignore_index=True)
+                if skipped.any():
+                    yield pdf.loc[skipped, dims].assign(**{k: None for k in outputs})
 
         schema = ", ".join([*(f"{d} {cube.df.schema[d].dataType.simpleString()}" for d in cube.dims), *(f"{k} {t}" for k, t in self.outputs.items())])
-        if not self.filters:
-            return rows.groupBy(*keys).applyInPandas(run, schema)
-        judged = rows.groupBy(*keys).agg(_skip(self.filters, F.col(cube.values[0])).alias("__skip"))
-        marked = rows.join(judged, list(keys))
-        done = marked.where(~F.col("__skip")).drop("__skip").groupBy(*keys).applyInPandas(run, schema)
-        return done.unionAll(marked.where("__skip").select(*cube.dims, *(F.lit(None).cast(t).alias(k) for k, t in self.outputs.items())))
+        return met.sortWithinPartitions(*keys, *dims).mapInPandas(run, schema)
 
     # -- folds -------------------------------------------------------------------------
     def reduce(self, cube: Cube, dims: Sequence[str]) -> DataFrame:
@@ -121,11 +151,40 @@ class UserFunction:
         return both_.select(*kept, F.when(~F.col("__skip"), F.col(value)).alias(value))
 
 
+def whole_blocks(frames: Iterable[pd.DataFrame], keys: Sequence[str]) -> Iterator[tuple[pd.DataFrame, list[int]]]:
+    """Frames in order of ``keys``, cut anew so that no block is in two, with the places where blocks begin."""
+    held: list[pd.DataFrame] = []  # what there is of the last block
+    last = None
+
+    def joined() -> pd.DataFrame:
+        return held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+
+    for pdf in frames:
+        if not len(pdf):
+            continue
+        at = pdf[list(keys)].to_numpy()
+        ahead = at[:1] if last is None else last
+        both = np.concatenate([ahead, at])
+        new = np.flatnonzero(((both[1:] != both[:-1]) & ~(pd.isna(both[1:]) & pd.isna(both[:-1]))).any(axis=1)).tolist()
+        last = at[-1:]
+        if not new:
+            held.append(pdf)
+            continue
+        # the open block, then those that begin and end here
+        before = sum(map(len, held))
+        if new[-1]:
+            held.append(pdf.iloc[: new[-1]])
+        yield joined(), [0, *(before + k for k in new[:-1])]
+        held = [pdf.iloc[new[-1] :]]
+    if held:
+        yield joined(), [0]
+
+
 def _skip(filters: Sequence[Callable[[Column], Column]], x: Column) -> Column:
     return reduce(lambda a, b: a | b, (f(x) for f in filters))
 
 
-def create_function(f: Callable, outtypes, *, is_blockfunction: bool = False, python: bool = False, red: Callable | None = None, init: Any = 0, finalize: Callable | None = None, merge: Callable | None = None, filters: Sequence = (), args: Sequence = (), kwargs: dict | None = None) -> UserFunction:
+def create_function(f: Callable, outtypes, *, is_blockfunction: bool = False, python: bool = False, red: Callable | None = None, init: Any = 0, finalize: Callable | None = None, merge: Callable | None = None, filters: Sequence = (), args: Sequence = (), kwargs: dict | None = None, together: bool = False) -> UserFunction:
     """One factory for all user functions; ``outtypes`` is a type, several, or {name: type}."""
     if isinstance(outtypes, str):
         outputs = {"value": outtypes}
@@ -135,4 +194,6 @@ def create_function(f: Callable, outtypes, *, is_blockfunction: bool = False, py
         outputs = {f"value{k}": t for k, t in enumerate(outtypes, 1)}
     if red is not None and len(outputs) != 1:
         raise ValueError("a reduction has one output")
-    return UserFunction(f, outputs, is_blockfunction, python, red, init, finalize or (lambda x: x), tuple(filters), merge, tuple(args), dict(kwargs or {}))
+    if together and not is_blockfunction:
+        raise ValueError("only block functions take blocks together")
+    return UserFunction(f, outputs, is_blockfunction, python, red, init, finalize or (lambda x: x), tuple(filters), merge, tuple(args), dict(kwargs or {}), together)

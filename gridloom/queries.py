@@ -710,7 +710,7 @@ def udaf_filtered(spark, d):
 @_query("select event_id as i, case when event_id // 10 % 4 = 0 then null else round(value - avg(value) over (partition by event_id // 10), 6) end as z from events")
 def udf_block_filtered(spark, d):
     rows = events(spark, d).df.select("i", F.when(F.floor(F.col("i") / 10) % 4 != 0, F.col("value")).alias("value"))
-    f = create_function(lambda pdf: pdf.assign(z=pdf["value"] - pdf["value"].mean())[["i", "z"]], {"z": "double"}, is_blockfunction=True, filters=[maps.all_missing])
+    f = create_function(lambda pdf, block: pdf.assign(z=pdf["value"] - pdf["value"].groupby(block).transform("mean"))[["i", "z"]], {"z": "double"}, is_blockfunction=True, filters=[maps.all_missing], together=True)
     return _rounded(f.on_blocks(Cube(rows, ("i",), ("value",), {}, {"i": 0}), {"i": 10}), "z")
 
 

@@ -377,3 +377,40 @@ def test_blocks_in_batches(spark, tmp_path, ranges):
     assert {r.block: r.value for r in out.collect()} == want
     with pytest.raises(ValueError, match="column block"):
         run_blocks(c, lambda p: p.df.select("value"), ranges, str(tmp_path / "lost"), batches=4)
+
+
+def test_block_functions_get_whole_blocks_in_order(spark):
+    """Blocks that lie across batches, with null integers in some, and skipped ones: one call a block, its cells in order."""
+    n = 203
+    rows = spark.range(n).select(F.col("id").alias("i"), F.when((F.col("id") % 9 > 0) & (F.floor(F.col("id") / 5) % 3 > 0), F.col("id") + (1 << 60)).alias("value")).repartition(6)
+    c = Cube(rows, ("i",), ("value",), {}, {"i": 0})
+
+    def running(pdf):
+        present = pdf["value"].dropna()
+        whole = str(pdf["value"].dtype) == "int64" and int(pdf["value"].iloc[-1]) == int(pdf["i"].iloc[-1]) + (1 << 60)
+        return pdf.assign(first=pdf["i"].iloc[0], place=pdf.index, n=len(present), whole=whole)[["i", "first", "place", "n", "whole"]]
+
+    kinds = {"first": "long", "place": "int", "n": "int", "whole": "boolean"}
+    f = create_function(running, kinds, is_blockfunction=True, filters=[maps.all_missing])
+    values = [i if i % 9 and i // 5 % 3 else None for i in range(n)]
+    want = {}
+    for i in range(n):
+        block = [values[j] for j in range(i // 5 * 5, min(i // 5 * 5 + 5, n))]
+        present = [x for x in block if x is not None]
+        want[i] = (i // 5 * 5, i % 5, len(present), len(present) == len(block)) if present else (None,) * 4
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("2", "5", "48", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            out = f.on_blocks(c, {"i": 5})
+            got = out.collect()
+            assert len(got) == n and {r.i: (r["first"], r.place, r.n, r.whole) for r in got} == want
+            both = create_function(lambda pdf, block: pdf.assign(first=pdf["i"].groupby(block).transform("min"), n=pdf["value"].groupby(block).transform("count"), high=pdf["value"].groupby(block).transform("max"))[["i", "first", "n", "high"]], {"first": "long", "n": "int", "high": "long"}, is_blockfunction=True, filters=[maps.all_missing], together=True)
+            got = both.on_blocks(c, {"i": 5}).collect()
+            assert len(got) == n and {r.i: (r["first"], r.n) for r in got} == {i: (w[0], w[2]) for i, w in want.items()}
+            assert all(r.high == (max(j for j in range(r["first"], min(r["first"] + 5, n)) if values[j] is not None) + (1 << 60) if r.n else None) for r in got)
+            one = create_function(running, kinds, is_blockfunction=True).on_blocks(c, {"i": None}).collect()
+            assert sorted((r.i, r["first"], r.place) for r in one) == [(i, 0, i) for i in range(n)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert "FlatMapGroupsInPandas" not in inspect.nodes(out)
