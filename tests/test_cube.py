@@ -414,3 +414,17 @@ def test_block_functions_get_whole_blocks_in_order(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     assert "FlatMapGroupsInPandas" not in inspect.nodes(out)
+
+
+def test_filtered_fold_of_many_small_groups(spark):
+    """Few calls for many groups, and each group as the filter and the start value have it."""
+    n = 7000
+    rows = spark.range(n).select(F.col("id").alias("i"), F.floor(F.col("id") / 7).alias("k"), F.when(F.col("id") * F.col("id") % 11 > 3, F.col("id").cast("double")).alias("value")).repartition(3)
+    f = create_function(lambda x: x, "double", red=lambda a, b: a + b, init=5.0, filters=[maps.n_valid(2)])
+    out = f.reduce(Cube(rows, ("i", "k"), ("value",)), ["i"])
+    want = {}
+    for k in range(n // 7):
+        present = [i for i in range(7 * k, 7 * k + 7) if i * i % 11 > 3]
+        want[k] = sum(present) + 5 if len(present) > 2 else None
+    assert {r.k: r.value for r in out.collect()} == want
+    assert "FlatMapGroupsInPandas" not in inspect.nodes(out)
