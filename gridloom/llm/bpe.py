@@ -6,7 +6,10 @@ query joins neighbouring tokens with the merge table and contracts, in every wor
 leftmost pair of minimum rank, until no word has a pair left. Decoding: the ids are cut
 into runs that begin at tokens with a leading space or newline (any cut is right, as
 decoding is a homomorphism; words repeat), and an ordered aggregation over
-(run, position, id) rows joined with the vocabulary concatenates each distinct run.
+(position, id) rows joined with the vocabulary concatenates the distinct runs of a block.
+
+Words and runs are dealt with as Arrow dictionaries: only the distinct ones of a block
+become Python objects or rows, and results are gathered by their numbers.
 
 The recursion takes as many steps over a word as it has merges, so words are contracted
 in pieces. Where no token of the vocabulary holds the two bytes around a place, no merge
@@ -41,12 +44,12 @@ from pyspark.sql import functions as F
 
 from .common import blocks, trim
 
-#: Bytes, roughly, of a generation of words (and of decoded runs); a worker keeps two of each.
-CACHE = 64 << 20
+#: Bytes, roughly, of a generation of words; a worker keeps two.
+CACHE = 96 << 20
 #: Characters of text that are cut at once.
 BLOCK = 4 << 20
-#: Bytes of a piece, rows that a recursive query makes at most, and runs that are decoded at once.
-PIECE, STEPS, QUERY_RUNS = 96, 4_000_000, 30_000
+#: Bytes of a piece, rows that a recursive query makes at most, and ids that are decoded at once.
+PIECE, STEPS, QUERY_IDS = 96, 4_000_000, 400_000
 
 _ENCODE = """
 with recursive s(k, tok, live) as (
@@ -70,7 +73,7 @@ select (k >> 20)::uinteger as w, tok from s where not live order by k
 """
 
 _DECODE = """
-select w, string_agg(chars, '' order by pos) as chars from runs join vocabulary using (id) group by w
+select string_agg(chars, '' order by pos) from runs join vocabulary using (id)
 """
 
 #: Latin-1 letters, numbers and white space by the Unicode properties that the split pattern names.
@@ -96,7 +99,7 @@ class Recent(dict):
         self[key] = value
         self.size += len(key) + len(value) + 160  # what two objects and their places take besides
 
-    def missing(self, met: set) -> list:
+    def missing(self, met: list) -> list:
         """Of ``met``, what has to be worked out; the rest is at hand afterwards."""
         if self.size > self.most:
             self.older, self.size = dict(self), 0
@@ -137,7 +140,7 @@ class Codec:
         self._table("merges", {"pair": np.array([p for p, _ in pairs], dtype=np.uint32), "m": np.array([m for _, m in pairs], dtype=np.uint32)})
         # bytes are shown as the characters from U+0100 on, so that none is a NUL
         self._table("vocabulary", {"id": np.fromiter(ranks.values(), dtype=np.uint32, count=len(ranks)), "chars": [b.decode("latin-1").translate(_UP) for b in ranks]})
-        self.ids, self.runs = Recent(), Recent()
+        self.ids = Recent()
 
     def _table(self, name: str, columns: dict) -> None:
         self.con.register("given", pa.table(columns))
@@ -145,16 +148,24 @@ class Codec:
         self.con.unregister("given")
 
     def split(self, text: str) -> list[str]:
-        return (_LATIN if self.latin and (text.isascii() or max(text) < "Ā") else self.pattern).findall(text)
+        return (_LATIN if self.latin and _is_latin(text) else self.pattern).findall(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Of each text, its ids as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
-        for a, b in blocks([len(t) for t in texts], BLOCK):
-            words = [self.split(t) for t in texts[a:b]]
-            self._learn(self.ids.missing(set().union(*words)))
-            get = self.ids.__getitem__
-            out += [b"".join(map(get, w)) for w in words]
+        for a, b in blocks([len(t) for t in texts], 2 * BLOCK):
+            some, at = [], [0]
+            for x, y in blocks([len(t) for t in texts[a:b]], BLOCK // 4):  # the words of a few texts are Python's at once
+                words, n = [], at[-1]
+                for t in texts[a + x : a + y]:
+                    words += self.split(t)
+                    at.append(n + len(words))
+                some.append(pa.array(words, pa.string()))
+            met = pa.concat_arrays(some).dictionary_encode()
+            del some
+            distinct = met.dictionary.to_numpy(zero_copy_only=False).tolist()
+            self._learn(self.ids.missing(distinct))
+            out += _gathered(pa.array(map(self.ids.__getitem__, distinct), pa.binary()), met.indices, at)
         return out
 
     def _learn(self, words: list[str]) -> None:
@@ -258,34 +269,59 @@ class Codec:
     def decode(self, rows: list[bytes]) -> list[bytes]:
         """The bytes that each row of ids stands for."""
         out: list[bytes] = []
-        for a, b in blocks([len(x) for x in rows], BLOCK):
-            cut = [self._cut(x) for x in rows[a:b]]
-            self._spell(self.runs.missing(set().union(*cut)))
-            get = self.runs.__getitem__
-            out += [b"".join(map(get, c)) for c in cut]
+        for a, b in blocks([len(x) for x in rows], 4 * BLOCK):
+            runs, at = self._cut(rows[a:b])
+            met = runs.dictionary_encode()
+            out += _gathered(self._spell(met.dictionary), met.indices, at)
         return out
 
-    def _cut(self, packed: bytes) -> list[bytes]:
+    def _cut(self, rows: list[bytes]) -> tuple[pa.Array, list[int]]:
+        """The runs of all rows, one after the other, and which run each row begins with."""
+        if any(len(x) % 4 for x in rows):
+            raise ValueError("ids take four bytes each")
+        packed = b"".join(rows)
         ids = np.frombuffer(packed, dtype="<u4")
         if len(ids) and (ids.max() >= self.size or not self.known[ids].all()):
             raise ValueError("an id is not in the vocabulary")
-        at = self.begins[ids]
-        at[::256] = True  # bounds a run
-        at = (4 * np.flatnonzero(at)).tolist()
-        return [packed[x:y] for x, y in zip(at, [*at[1:], len(packed)])]
-
-    def _spell(self, runs: list[bytes]) -> None:
-        for a in range(0, len(runs), QUERY_RUNS):
-            some = runs[a : a + QUERY_RUNS]
-            n = np.fromiter((len(x) // 4 for x in some), dtype=np.int64, count=len(some))
-            self._table("runs", {
-                "w": np.repeat(np.arange(len(some), dtype=np.uint32), n),
-                "pos": (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint32),
-                "id": np.frombuffer(b"".join(some), dtype="<u4"),
-            })
-            got = self.con.sql(_DECODE).to_arrow_table()
-            for w, chars in zip(got["w"].to_pylist(), got["chars"].to_pylist()):
-                self.runs.add(some[w], chars.encode("utf-16-le")[::2])
+        ends = np.cumsum([0, *(len(x) // 4 for x in rows)])
+        begins = self.begins[ids]
+        begins[::256] = True  # bounds a run
+        begins[ends[ends < len(ids)]] = True
+        first = np.flatnonzero(begins)
+        places = np.append(4 * first, len(packed)).astype(np.int32)
+        runs = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(places), pa.py_buffer(packed)])
+        return runs, np.searchsorted(first, ends).tolist()
+
+    def _spell(self, runs: pa.Array) -> pa.Array:
+        """The bytes of each run."""
+        if not len(runs):
+            return pa.array([], pa.binary())
+        places = np.frombuffer(runs.buffers()[1], dtype=np.int32)[: len(runs) + 1] // 4
+        ids = np.frombuffer(runs.buffers()[2], dtype="<u4")[: places[-1]]
+        chars = []
+        for a in range(0, len(ids), QUERY_IDS):
+            some = ids[a : a + QUERY_IDS]
+            self._table("runs", {"pos": np.arange(len(some), dtype=np.uint32), "id": some})
+            chars.append(self.con.sql(_DECODE).fetchall()[0][0].encode("utf-16-le")[::2])
+        ends = np.concatenate([[0], np.cumsum(self.sizes[ids])])[places].astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(runs), [None, pa.py_buffer(ends), pa.py_buffer(b"".join(chars))])
+
+
+def _is_latin(text: str) -> bool:
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
+
+
+def _gathered(values: pa.Array, numbers: pa.Array, at: list[int]) -> list[bytes]:
+    """Of each row, which begins at a place in ``numbers``, the values of its numbers, side by side."""
+    if not len(numbers):
+        return [b""] * (len(at) - 1)
+    joined = values.take(numbers)
+    places = np.frombuffer(joined.buffers()[1], dtype=np.int32)[at].tolist()
+    data = memoryview(joined.buffers()[2])
+    return [bytes(data[x:y]) for x, y in zip(places, places[1:])]
 
 
 _UP = {i: i + 256 for i in range(256)}

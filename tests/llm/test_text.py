@@ -104,6 +104,26 @@ def test_words_are_kept_by_bytes():
         assert some["always"] == b"1234" and len(some) + len(some.older) < 15
 
 
+def test_codec_takes_a_block_together(monkeypatch):
+    """The words of a whole block are contracted together, and its distinct runs decoded together, whichever rows they are in."""
+    monkeypatch.setattr(bpe, "BLOCK", 100_000)
+    c, contracted, asked = bpe.Codec(RANKS, public_tokenizers.PATTERN), [], []
+    monkeypatch.setattr(c, "_contract", lambda words, f=c._contract: contracted.append(len(words)) or f(words))
+    monkeypatch.setattr(c, "con", type("", (), {"__getattr__": lambda _, k, con=c.con: (asked.append(k) if k == "sql" else None) or getattr(con, k)})())
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("aeinrstéßж", k=rng.randint(1, 12))) for _ in range(200)) for _ in range(90)] + ["", "x" * 300_000 + "!"]
+    want = [packed(LIBRARY.encode_ordinary(t)) for t in texts[:-1]]
+    assert bpe.BLOCK < sum(map(len, texts[:-1])) < 2 * bpe.BLOCK
+    assert c.encode(texts[:-1]) == want and len([n for n in contracted if n]) == 1
+    asked.clear()
+    assert c.decode(want) == [t.encode() for t in texts[:-1]] and len(asked) < 3
+    whole = c.encode(texts[-1:])
+    assert c.decode(whole + [b""] + want[:2]) == [texts[-1].encode(), b"", texts[0].encode(), texts[1].encode()]
+    for bad in ([b"ab", b"cd"], [packed([2**31])]):
+        with pytest.raises(ValueError):
+            c.decode(bad)
+
+
 def test_numbers_when_cores_change(spark, tmp_path):
     """Row numbers stay when executors come or go between two evaluations, for scans and for anything else."""
     cores = "spark.sql.leafNodeDefaultParallelism"
