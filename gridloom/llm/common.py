@@ -8,9 +8,10 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,6 +72,9 @@ class Workspace:
     def release(self) -> None:
         """Let the context cleaner delete the shuffle files of finished steps."""
         gc.collect()
+        bus = self.spark.sparkContext._jsc.sc().listenerBus()
+        with suppress(Py4JJavaError):  # events that wait hold the plans of their steps; a busy bus is no failure
+            bus.waitUntilEmpty(5000)
         self.spark.sparkContext._jvm.System.gc()
 
     def close(self) -> None:

@@ -20,6 +20,8 @@ windows have equal minimizers at equal places, so nothing is lost.
    any recurring segment streams through it whole (others can hold no phrase), and every
    occurrence that it reports is removed.
 
+Words are hashed where they lie in a block of texts, all at once.
+
 Work and shuffles are in proportion to the input, as a phrase goes only to shards in
 which its kind occurs. Candidate windows are compared by 128 bits of hash, phrases and
 occurrences word for word. Counts are pre-aggregated on the map side, joins are
@@ -33,8 +35,9 @@ names can't clash.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import compress
+from itertools import chain, compress, count, repeat
 
 import ahocorasick
 import numpy as np
@@ -44,7 +47,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, blocks, numbered, sized, trim
-from .words import BASE, WordHashes, mix, rolling, window_argmin
+from .words import BASE, mix, rolling, window_argmin, word_hashes
 
 WINDOW, SEED = 35, 8
 #: Characters of the documents that share an automaton, most windows of a segment, characters that are hashed together.
@@ -89,12 +92,11 @@ def _packed(docs: DataFrame, text_col: str, kind: str = "", id_col: str = "") ->
 
 def _all_segments(docs: DataFrame, text_col: str, window: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             rid, sizes = batch.column(0).to_numpy(), pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0)
             for x, y in blocks(sizes.to_pylist(), TEXTS):
-                h = [hashes((t.as_py() or "").encode().split()) for t in batch.column(1).slice(x, y - x)]
-                key, seg, doc, a, nw = segments(np.concatenate(h), np.array([len(d) for d in h], dtype=np.int64), window, seed)
+                n, (h,) = word_hashes([t or b"" for t in batch.column(1).slice(x, y - x).cast(pa.binary()).to_pylist()], 0)
+                key, seg, doc, a, nw = segments(h, n, window, seed)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(seg), pa.array(rid[x:y][doc]), pa.array(a.astype(np.int32)), pa.array(nw.astype(np.int32))], names=["seed", "seg", "rid", "a", "nw"])
             trim()
 
@@ -105,14 +107,12 @@ def _windows(reps: DataFrame, window: int) -> DataFrame:
     """(w1, w2, cid, o, rid, pos): two hashes of each window of the listed segments, its place in the segment and in the document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two, z = WordHashes(), WordHashes(1), zstandard.ZstdDecompressor()
+        z = zstandard.ZstdDecompressor()
         for batch in batches:
             rid = batch.column(0).to_numpy()
             for x, y in blocks([len(data.as_py()) for data in batch.column(1)], TEXTS // 4):  # of packed bytes
-                words = [z.decompress(data.as_py()).split() for data in batch.column(1).slice(x, y - x)]
-                n = np.array([len(w) for w in words], dtype=np.int64)
-                every = [w for d in words for w in d]
-                w1, w2 = rolling(one(every), window).view(np.int64), rolling(two(every), window).view(np.int64)
+                n, (one, two) = word_hashes([z.decompress(data) for data in batch.column(1).slice(x, y - x).to_pylist()], 0, 1)
+                w1, w2 = rolling(one, window).view(np.int64), rolling(two, window).view(np.int64)
                 lists = batch.column(2).slice(x, y - x)
                 cid, a, nw = (c.to_numpy() for c in lists.flatten().flatten())
                 doc = np.repeat(np.arange(y - x), pa.compute.list_value_length(lists).to_numpy())
@@ -200,10 +200,10 @@ class Phrases:
     """An Aho-Corasick automaton over the distinct phrases of a shard."""
 
     def __init__(self, phrases: list[bytes]):
-        self.numbers: dict[bytes, int] = {}
+        self.numbers: dict[bytes, int] = defaultdict(count(1).__next__)
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
         for p in phrases:
-            self.automaton.add_word(tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in p.split()))
+            self.automaton.add_word(tuple(map(self.numbers.__getitem__, p.split())))
         if self.numbers:
             self.automaton.make_automaton()
 
@@ -211,11 +211,10 @@ class Phrases:
         """Which words an occurrence of a phrase covers; None if there is none."""
         if not self.numbers or not words:
             return None
-        get = self.numbers.get
-        hits = list(self.automaton.iter(tuple([get(w, 0) for w in words])))
-        if not hits:
+        hits = np.fromiter(chain.from_iterable(self.automaton.iter(tuple(map(self.numbers.get, words, repeat(0))))), dtype=np.int64)
+        if not len(hits):
             return None
-        ends, n = np.array(hits, dtype=np.int64).T
+        ends, n = hits[::2], hits[1::2]
         edge = np.bincount(ends - n + 1, minlength=len(words) + 1)
         edge -= np.bincount(ends + 1, minlength=len(words) + 1)
         return np.cumsum(edge[:-1]) > 0
@@ -229,6 +228,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n, size = docs.agg(F.count("*"), F.sum(F.length(text_col))).first()
     per = max(1, SHARD * n // max(size or 0, 1))
     phrases, holding = confirmed(docs, ws, text_col, per, window, seed)
+    ws.release()  # what the last step shuffled is held until its frames are gone
     block = F.expr(f"rid div {per}").alias("block")
     texts = _packed(docs, text_col, kind, id_col).select(block, F.lit(2).alias("part"), "rid", "id", "z")
     # a shard's phrases, and the numbers of the documents that need a look, come before its documents

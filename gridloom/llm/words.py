@@ -28,6 +28,40 @@ class WordHashes:
             return np.array([known[w] for w in words], dtype=np.uint64)
 
 
+#: Whether ``bytes.split()`` splits at a byte, the least 0 to 8 bytes of a number, and the length from which words are hashed one by one.
+_WHITE = np.isin(np.arange(256), np.frombuffer(b" \t\n\x0b\x0c\r", dtype=np.uint8))
+_LEAST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+_LONG = 256
+
+
+def word_hashes(texts: list[bytes], *seeds: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The number of words of each text, and for each seed the hashes of all words, text after text.
+
+    The texts lie side by side in one buffer; all words take their first eight bytes at
+    once, then those that are longer take their next ones. No word is an object.
+    """
+    data = b" ".join((b"", *texts, b" " * 8))
+    raw = np.frombuffer(data, dtype=np.uint8)
+    white = _WHITE[raw]
+    edges = np.flatnonzero(white[1:] != white[:-1]) + 1
+    first, size = edges[::2], edges[1::2] - edges[::2]
+    begins = np.cumsum([1, *(len(t) + 1 for t in texts)])
+    counts = np.diff(np.searchsorted(first, begins))
+    eight = np.ndarray(len(raw) - 7, dtype="<u8", buffer=data, strides=(1,))  # the eight bytes from each place on
+    out = [mix(size.astype(np.uint64) + np.uint64((s + 1) * BASE & _MASK)) for s in seeds]
+    rest, done = np.flatnonzero(size < _LONG), 0
+    while len(rest):
+        part = eight[first[rest] + done] & _LEAST[np.minimum(size[rest] - done, 8)]
+        for h in out:
+            h[rest] = mix(h[rest] * np.uint64(BASE) + part)
+        done += 8
+        rest = rest[size[rest] > done]
+    for i in np.flatnonzero(size >= _LONG).tolist():
+        for s, h in zip(seeds, out):
+            h[i] = xxhash.xxh64_intdigest(data[first[i] : first[i] + size[i]], s)
+    return counts, out
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)

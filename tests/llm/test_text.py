@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, exact, shards, simhash, substrings
+from gridloom.llm import bpe, exact, shards, simhash, substrings, words
 from gridloom.llm.components import components
 from gridloom.llm.common import Workspace, numbered
 
@@ -320,6 +320,22 @@ def test_substrings(spark, tmp_path):
     assert substrings.remove_repeats(empty.where("false")).count() == 0
 
 
+def test_word_hashes_of_a_block():
+    """All words of many texts at once: the words that ``bytes.split`` finds, equal hashes for equal words alone."""
+    r = random.Random(16)
+    parts = ["", "a", "abcdefgh", "abcdefgh\0", "abcdefg\0", "\0" * 8, "\0" * 9, "\0" * 16, "x" * 255, "x" * 256, "x" * 257, "x" * 5000, "\x1c\x1f", "\x85\xa0", "é", "日本語"] + ["".join(r.choices("ab", k=r.randint(1, 40))) for _ in range(3000)]
+    texts = ["".join(x + r.choice([" ", "\t", "\n", "\x0b", "\x0c", "\r", " \n "]) for x in r.choices(parts, k=r.randint(0, 60))).encode() for _ in range(400)] + [b"", b" ", b"a", b" a", b"a "]
+    n, (one, two) = words.word_hashes(texts, 0, 1)
+    every = [w for t in texts for w in t.split()]
+    assert n.tolist() == [len(t.split()) for t in texts] and len(one) == len(two) == len(every)
+    for h in (one, two):
+        assert len(set(h.tolist())) == len(set(every)) == len(set(zip(every, h.tolist())))
+    assert not (one == two).any()
+    again, (alone,) = words.word_hashes([texts[7]], 1)
+    assert alone.tolist() == two[n[:7].sum() :][: again[0]].tolist()
+    assert words.word_hashes([], 0)[0].tolist() == [] and words.word_hashes([b"", b" "], 0)[0].tolist() == [0, 0]
+
+
 def test_phrases_know_no_places(spark, tmp_path):
     """What documents are given is words alone, each at two places at least; the automaton finds where they are."""
     r = random.Random(14)
