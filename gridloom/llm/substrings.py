@@ -46,12 +46,12 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, blocks, numbered, sized, trim
+from .common import Workspace, blocks, numbered, release_heap, sized, trim
 from .words import BASE, mix, rolling, window_argmin, word_hashes
 
 WINDOW, SEED = 35, 8
-#: Characters of the documents that share an automaton, most windows of a segment, characters that are hashed together.
-SHARD, LONGEST, TEXTS = 2_000_000, 62, 1 << 20
+#: Characters of the documents that share an automaton, most windows of a segment, characters that are hashed together, and bytes that are returned at once.
+SHARD, LONGEST, TEXTS, OUT = 2_000_000, 62, 1 << 20, 4 << 20
 
 
 def segments(h: np.ndarray, n: np.ndarray, window: int = WINDOW, seed: int = SEED) -> tuple[np.ndarray, ...]:
@@ -159,6 +159,7 @@ def confirmed(docs: DataFrame, ws: Workspace, text_col: str, per: int, window: i
     mixed = sized(ws.save(kinds.groupBy("seed").agg(F.count("*").alias("d")).where("d > 1").select("seed"), "mixed"))
     packed = _packed(docs, text_col)
     reps = kinds.join(mixed, "seed").select(F.col("rep.rid").alias("rid"), F.struct("cid", F.col("rep.a").alias("a"), "nw").alias("x")).groupBy("rid").agg(F.collect_list("x").alias("listed"))
+    release_heap(docs.sparkSession)  # the joins before have grown it, and texts need the memory now
     windows = ws.save(_windows(packed.join(reps, "rid"), window), "windows")
     ws.release()
     at = F.struct("rid", "pos")
@@ -228,6 +229,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n, size = docs.agg(F.count("*"), F.sum(F.length(text_col))).first()
     per = max(1, SHARD * n // max(size or 0, 1))
     phrases, holding = confirmed(docs, ws, text_col, per, window, seed)
+    release_heap(docs.sparkSession)
     ws.release()  # what the last step shuffled is held until its frames are gone
     block = F.expr(f"rid div {per}").alias("block")
     texts = _packed(docs, text_col, kind, id_col).select(block, F.lit(2).alias("part"), "rid", "id", "z")
@@ -240,8 +242,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z, now, given, looks, automaton = zstandard.ZstdDecompressor(), None, set(), set(), None
+        ids, counts, removed, left, size = [], [], [], [], 0
+
+        def done(kind_of_id: pa.DataType) -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(ids, kind_of_id), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(left, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
+            for x in (ids, counts, removed, left):
+                x.clear()
+            return out
+
         for batch in batches:
-            ids, counts, removed, left = [], [], [], []
             for shard, part, rid, i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4)):
                 if shard != now:
                     now, given, looks, automaton = shard, set(), set(), None
@@ -260,8 +269,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 counts.append(len(words))
                 removed.append(0 if gone is None else int(gone.sum()))
                 left.append(b" ".join(words if gone is None else compress(words, (~gone).tolist())))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.types[3]), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(left, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
-            del ids, counts, removed, left
+                size += len(left[-1])
+                if size > OUT:
+                    yield done(batch.schema.types[3])
+                    size = 0
+            yield done(batch.schema.types[3])
+            size = 0
             trim()
 
     return dealt.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept binary")
